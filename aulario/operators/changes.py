@@ -86,10 +86,13 @@ def update_rows(state: DataFrame, updates: DataFrame, keys: list[str]) -> DataFr
     return state.join(renamed, keys, "left").select(*kept)
 
 
+def shaped_like(state: DataFrame, rows: DataFrame) -> DataFrame:
+    """The columns of ``state`` taken from ``rows``, in its types."""
+    return rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in state.schema])
+
+
 def insert_rows(state: DataFrame, rows: DataFrame) -> DataFrame:
-    """State plus the new rows, brought to the column types of the state."""
-    typed = rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in state.schema])
-    return state.unionByName(typed)
+    return state.unionByName(shaped_like(state, rows))
 
 
 def delete_rows(state: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:

@@ -13,6 +13,7 @@ from aulario.operators.changes import (
     first_reason,
     insert_rows,
     mark_first,
+    shaped_like,
     split,
     update_rows,
 )
@@ -101,7 +102,7 @@ def update_rooms(changes: DataFrame, t: Tables, as_of: Date) -> ChangeResult:
         "capacidad",
         "tipo_sala",
     )
-    return ChangeResult(t.with_tables(sala=insert_rows(t.sala.limit(0), moved)), accepted, rejected)
+    return ChangeResult(t.with_tables(sala=shaped_like(t.sala, moved)), accepted, rejected)
 
 
 def delete_rooms(asked: DataFrame, t: Tables, as_of: Date) -> ChangeResult:
