@@ -68,8 +68,10 @@ def with_views(sql: str, extra: dict[str, str] | None = None) -> str:
     if not needed:
         return sql
     ctes = ",\n".join(f"{v} AS ({views[v]})" for v in views if v in needed)
-    own = re.match(r"\s*WITH\b(.*)", sql, re.DOTALL)
-    return f"WITH {ctes},{own.group(1)}" if own else f"WITH {ctes}\n{sql}"
+    own = re.match(r"\s*WITH\b( RECURSIVE)?(.*)", sql, re.DOTALL)
+    if own is None:
+        return f"WITH {ctes}\n{sql}"
+    return f"WITH{own.group(1) or ''} {ctes},{own.group(2)}"
 
 
 def big(expr: str) -> str:
@@ -239,5 +241,137 @@ BASIC_REPORTS: dict[str, str] = {
 }
 
 
+LISTINGS: dict[str, str] = {
+    "l1_reservas_recientes": """
+        SELECT id_reserva, nombre_sala, edificio, fecha, id_turno, hora_inicio, hora_fin, estado,
+               hora_inicio || ' - ' || hora_fin AS horario,
+               count(ci_participante) AS num_participantes
+        FROM reserva JOIN turno USING (id_turno) LEFT JOIN rp USING (id_reserva) GROUP BY ALL
+        ORDER BY fecha DESC, hora_inicio DESC, id_reserva DESC LIMIT 100""",
+    "l2_reservas_detalle": """
+        SELECT id_reserva, nombre_sala, edificio, fecha, id_turno, estado, hora_inicio, hora_fin,
+               hora_inicio || ' - ' || hora_fin AS horario, capacidad, tipo_sala,
+               upper(estado) AS estado_texto
+        FROM reserva JOIN turno USING (id_turno) JOIN sala USING (nombre_sala, edificio)""",
+    "l3_reservas_con_participantes": """
+        WITH persona AS (
+            SELECT id_reserva, '{"ci_participante":' || ci || ',"nombre":"' || nombre
+                   || '","apellido":"' || apellido || '","email":"' || email
+                   || '","asistencia":' || coalesce(CAST(asistencia AS VARCHAR), 'null') || '}' AS txt,
+                   ci
+            FROM rp JOIN participante ON ci = ci_participante)
+        SELECT id_reserva, 0 AS pagina, 1 AS paginas,
+               '[' || coalesce(string_agg(txt, ',' ORDER BY ci), '') || ']' AS participantes
+        FROM reserva JOIN sala USING (nombre_sala, edificio) LEFT JOIN persona USING (id_reserva)
+        GROUP BY id_reserva""",
+    "l3_participantes_de_reservas": """
+        SELECT id_reserva, ci_participante, nombre, apellido, email, asistencia
+        FROM rp JOIN participante ON ci = ci_participante""",
+    "l4_reservas_por_participante": """
+        SELECT * EXCLUDE (hora_inicio) FROM (
+            SELECT ci_participante, id_reserva, nombre_sala, edificio, fecha, hora_inicio, estado,
+                   hora_inicio || ' - ' || hora_fin AS horario, asistencia,
+                   CAST(row_number() OVER (PARTITION BY ci_participante
+                        ORDER BY fecha DESC, hora_inicio DESC, id_reserva DESC) AS INTEGER) AS orden
+            FROM rp JOIN reserva USING (id_reserva) JOIN turno USING (id_turno))
+        WHERE orden <= 20""",
+    "l6_salas": """
+        SELECT nombre_sala, s.edificio, capacidad, tipo_sala, direccion,
+               nombre_sala || ' (' || s.edificio || ')' AS etiqueta,
+               upper(tipo_sala[1]) || tipo_sala[2:] AS tipo_texto
+        FROM sala AS s JOIN edificio AS e ON e.nombre_edificio = s.edificio""",
+    "l8_edificios": "SELECT nombre_edificio, direccion FROM edificio",
+    "l10_participantes": """
+        SELECT ci, nombre, apellido, email, nombre || ' ' || apellido AS nombre_completo,
+               string_agg(rol || ' en ' || nombre_programa, ', '
+                          ORDER BY rol || ' en ' || nombre_programa) AS programas
+        FROM participante LEFT JOIN inscripcion ON ci_participante = ci GROUP BY ALL""",
+    "l11_participantes_con_programas": """
+        SELECT ci, nombre, apellido, email,
+               '[' || coalesce(string_agg('{"nombre_programa":"' || nombre_programa || '","rol":"'
+                   || rol || '"}', ',' ORDER BY nombre_programa, rol), '') || ']' AS programas
+        FROM participante LEFT JOIN inscripcion ON ci_participante = ci GROUP BY ALL""",
+    "l12_programas": "SELECT * FROM programa",
+    "l13_sanciones": f"""
+        SELECT id_sancion, ci_participante, nombre, apellido, email, fecha_inicio, fecha_fin,
+               {state(S)} AS estado, fecha_fin - fecha_inicio AS duracion_dias
+        FROM sancion JOIN participante ON ci = ci_participante""",
+    "l15_sanciones_por_participante": f"""
+        SELECT ci_participante, id_sancion, fecha_inicio, fecha_fin, {state(S)} AS estado
+        FROM sancion""",
+    "l16_disponibles_por_reserva": """
+        SELECT id_reserva,
+               (SELECT count(*) FROM participante) - count(ci_participante) AS disponibles
+        FROM reserva LEFT JOIN rp USING (id_reserva) GROUP BY id_reserva""",
+    "l17_pertenencias": """
+        WITH pedido AS (
+            SELECT id_reserva, ci_participante FROM rp
+            UNION ALL SELECT id_reserva, ci_participante + 1 FROM rp)
+        SELECT id_reserva, ci_participante FROM pedido AS q
+        WHERE EXISTS (SELECT 1 FROM rp WHERE rp.id_reserva = q.id_reserva
+                      AND rp.ci_participante = q.ci_participante)""",
+    "l18_docentes": """
+        SELECT * FROM participante
+        WHERE ci IN (SELECT ci_participante FROM inscripcion WHERE rol = 'docente')""",
+    "l19_sanciones_vigentes": f"""
+        SELECT * FROM (SELECT ci_participante, id_sancion, fecha_inicio, fecha_fin FROM sancion
+                       WHERE {S} BETWEEN fecha_inicio AND fecha_fin)
+        QUALIFY row_number() OVER (PARTITION BY ci_participante
+                                   ORDER BY fecha_fin DESC, id_sancion DESC) = 1""",
+    "s5_reservas_json": """
+        SELECT '{"nombre_edificio":' || edificio || ',"total_reservas":' || count(*) || '}' AS json
+        FROM reserva GROUP BY edificio""",
+}
+
+KPIS: dict[str, str] = {
+    "k1_tablero": f"""
+        SELECT (SELECT count(*) FROM participante) AS total_participantes,
+               (SELECT count(*) FROM sala) AS total_salas,
+               (SELECT count(*) FROM reserva WHERE estado = 'activa') AS reservas_activas,
+               (SELECT count(*) FROM sancion WHERE {S} BETWEEN fecha_inicio AND fecha_fin)
+               AS sanciones_activas""",
+    "k2_estadisticas_sala": f"""
+        SELECT {ROOM}, count(id_reserva) AS total_reservas,
+               count(*) FILTER (WHERE estado = 'activa') AS reservas_activas,
+               coalesce({pct("count(*) FILTER (WHERE estado = 'cancelada')", "count(id_reserva)")}, 0)
+               AS tasa_cancelacion
+        FROM sala LEFT JOIN reserva USING ({ROOM}) GROUP BY {ROOM}""",
+    "k3_estadisticas_sanciones": f"""
+        SELECT count(*) FILTER (WHERE vigente) AS activas, count(*) AS totales,
+               count(DISTINCT ci_participante) FILTER (WHERE vigente) AS participantes_sancionados,
+               ((20 * {big("sum(fecha_fin - fecha_inicio)")} + count(*)) // (2 * count(*))) / 10.0
+               AS duracion_promedio_dias
+        FROM (SELECT *, {S} BETWEEN fecha_inicio AND fecha_fin AS vigente FROM sancion)""",
+    "k4_estados_pagina": """
+        SELECT estado, count(*) AS total
+        FROM (SELECT estado FROM reserva JOIN turno USING (id_turno)
+              ORDER BY fecha DESC, hora_inicio DESC, id_reserva DESC LIMIT 100)
+        GROUP BY estado""",
+    "k4_estados_todas": "SELECT estado, count(*) AS total FROM reserva GROUP BY estado",
+    "k5_sanciones_por_estado": f"""
+        SELECT {state(S)} AS estado, count(*) AS total
+        FROM sancion JOIN participante ON ci = ci_participante GROUP BY 1""",
+    "k6_lugares_restantes": """
+        SELECT id_reserva, capacidad, count(ci_participante) AS num_participantes,
+               capacidad - count(ci_participante) AS lugares_restantes,
+               count(ci_participante) >= capacidad AS completa
+        FROM reserva JOIN sala USING (nombre_sala, edificio) LEFT JOIN rp USING (id_reserva)
+        GROUP BY id_reserva, capacidad""",
+    "k7_nivel_cancelacion": f"""
+        SELECT *, CASE WHEN porcentaje_cancelacion > 20 THEN 'danger'
+                       WHEN porcentaje_cancelacion > 10 THEN 'warning' ELSE 'success' END AS nivel
+        FROM (SELECT edificio AS nombre_edificio,
+                     {pct("count(*) FILTER (WHERE estado = 'cancelada')", "count(*)")}
+                     AS porcentaje_cancelacion
+              FROM reserva GROUP BY edificio)""",
+    "k8_reservas_propias": """
+        SELECT ci, least(count(id_reserva), 20) AS reservas
+        FROM participante LEFT JOIN rp ON ci_participante = ci GROUP BY ci""",
+}
+
+
 def all_sql() -> dict[str, str]:
-    return {name: with_views(sql) for name, sql in {**REPORTS, **BASIC_REPORTS}.items()}
+    from checks.oracle_changes import CHANGE_VIEWS, CHANGES, RULES
+
+    plain = {**REPORTS, **BASIC_REPORTS, **LISTINGS, **KPIS, **RULES, **CHANGES}
+    return {name: with_views(sql, CHANGE_VIEWS) for name, sql in plain.items()}
