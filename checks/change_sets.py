@@ -150,7 +150,7 @@ class Source:
             .join(target, "destino")
             .select(
                 "id_solicitud",
-                (event() * 2 - event() % 4).alias("id_reserva"),
+                ((event() - event() % 4) * 2).alias("id_reserva"),
                 "nombre_sala",
                 "edificio",
                 "fecha",
@@ -163,7 +163,7 @@ class Source:
         states = ["activa", "cancelada", "sin asistencia", "finalizada", "otra"]
         return self._requests("view").select(
             "id_solicitud",
-            (event() * 2 - event() % 4).alias("id_reserva"),
+            ((event() - event() % 4) * 2).alias("id_reserva"),
             pick(states, event()).alias("estado"),
             "solicitada_en",
         )

@@ -294,7 +294,7 @@ LISTINGS: dict[str, str] = {
     "l12_programas": "SELECT * FROM programa",
     "l13_sanciones": f"""
         SELECT id_sancion, ci_participante, nombre, apellido, email, fecha_inicio, fecha_fin,
-               {state(S)} AS estado, fecha_fin - fecha_inicio AS duracion_dias
+               {state(S)} AS estado, CAST(fecha_fin - fecha_inicio AS INTEGER) AS duracion_dias
         FROM sancion JOIN participante ON ci = ci_participante""",
     "l15_sanciones_por_participante": f"""
         SELECT ci_participante, id_sancion, fecha_inicio, fecha_fin, {state(S)} AS estado

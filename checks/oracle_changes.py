@@ -7,11 +7,13 @@ after the other.
 
 from __future__ import annotations
 
-from checks.oracle import S, B
+from checks.oracle import B, S
 
 SLOT = "nombre_sala, edificio, fecha, id_turno"
 TURN = "solicitada_en, id_solicitud"
 STATE_AS_OF = "DATE '2024-01-30'"
+# Early enough that only some participants have a sanction in force.
+REQUESTS_AS_OF = "DATE '2024-01-02'"
 
 
 def _slot_events(event_type: str) -> str:
@@ -56,12 +58,12 @@ CHANGE_VIEWS: dict[str, str] = {
         FROM sancion JOIN events ON event_id = id_sancion""",
     "sancion_nombrada": """SELECT event_id AS id_solicitud, event_id - event_id % 2 AS id_sancion,
         ts AS solicitada_en FROM events WHERE event_type IN ('error', 'click')""",
-    "mudanza": """SELECT event_id AS id_solicitud, event_id * 2 - event_id % 4 AS id_reserva,
+    "mudanza": """SELECT event_id AS id_solicitud, (event_id - event_id % 4) * 2 AS id_reserva,
         nombre_sala, edificio, fecha, CAST(id_turno + event_id % 3 AS INTEGER) AS id_turno,
         ts AS solicitada_en
         FROM events JOIN reserva AS r ON r.id_reserva = event_id + user_id
         WHERE event_type IN ('click', 'view')""",
-    "cambio_estado": """SELECT event_id AS id_solicitud, event_id * 2 - event_id % 4 AS id_reserva,
+    "cambio_estado": """SELECT event_id AS id_solicitud, (event_id - event_id % 4) * 2 AS id_reserva,
         ['activa', 'cancelada', 'sin asistencia', 'finalizada', 'otra'][event_id % 5 + 1] AS nuevo,
         ts AS solicitada_en FROM events WHERE event_type = 'view'""",
     "baja_reserva": """SELECT event_id AS id_solicitud, event_id * 2 AS id_reserva
@@ -121,7 +123,7 @@ def touches(a: str, b: str) -> str:
 
 
 NO_SANCTION = f"""NOT EXISTS (SELECT 1 FROM sancion AS x WHERE x.ci_participante = q.ci_participante
-    AND {S} BETWEEN x.fecha_inicio AND x.fecha_fin)"""
+    AND {REQUESTS_AS_OF} BETWEEN x.fecha_inicio AND x.fecha_fin)"""
 SAME_DAY = """(SELECT count(*) FROM compra AS c
     WHERE c.ci_participante = q.ci_participante AND c.fecha = q.fecha)"""
 SAME_WEEK = """(SELECT count(*) FROM compra AS c WHERE c.ci_participante = q.ci_participante

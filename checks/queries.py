@@ -36,6 +36,7 @@ Build = Callable[[Source], DataFrame]
 
 B, S = AS_OF_BOOKINGS, AS_OF_SANCTIONS
 STATE_AS_OF = "2024-01-30"
+REQUESTS_AS_OF = "2024-01-02"
 
 # Reports whose reference date is a sanction date.
 _SANCTION_REPORTS = {"sanciones_por_tipo", "participantes_sancionados"}
@@ -113,12 +114,12 @@ def _all_participants(s: Source) -> DataFrame:
 RULES: dict[str, Build] = {
     "s2_restricciones": lambda s: constraints.check_constraints(s.t),
     "v0_todas_las_reglas": lambda s: _rule(
-        rules.evaluate_requests(s.booking_requests(), s.booking_state(), S),
+        rules.evaluate_requests(s.booking_requests(), s.booking_state(), REQUESTS_AS_OF),
         "sin_sancion", "sala_permitida", "privilegiado", "en_limite_dia", "en_limite_semana",
         "turno_libre",
     ),
     "v1_sin_sancion": lambda s: _rule(
-        rules.no_sanction(s.booking_requests(), s.t, S), "sin_sancion"
+        rules.no_sanction(s.booking_requests(), s.t, REQUESTS_AS_OF), "sin_sancion"
     ),
     "v2_limite_dia": lambda s: _rule(
         rules.within_daily_limit(s.booking_requests(), s.booking_state()), "en_limite_dia"
@@ -181,7 +182,7 @@ def _finished(s: Source) -> Tables:
 
 CHANGES: dict[str, Build] = {
     "m1_admitir_reservas": lambda s: bc.admit_bookings(
-        s.booking_requests(), s.booking_state(), S
+        s.booking_requests(), s.booking_state(), REQUESTS_AS_OF
     ).outcomes(),
     "m2_mover_reservas": lambda s: bc.move_bookings(s.moves(), s.t).outcomes(),
     "m2_reservas_movidas": lambda s: bc.move_bookings(s.moves(), s.t).tables.reserva,
