@@ -218,13 +218,15 @@ def first_per_booking(df: DataFrame, limit: str) -> DataFrame:
     """The first ``limit`` requests of each booking, ranked in two steps.
 
     Each booking is spread over salts, ranked and cut there; only the survivors, at
-    most ``limit`` per salt, meet in the final ranking.
+    most ``limit`` per salt, meet in the final ranking. The explicit shuffle keeps an
+    earlier partitioning by booking from putting all salts into one task.
     """
     salt = F.pmod(F.xxhash64(ID), F.lit(SALTS))
     parts = Window.partitionBy("id_reserva", "sal").orderBy(*ORDER)
     whole = Window.partitionBy("id_reserva").orderBy(*ORDER)
     return (
         df.withColumn("sal", salt)
+        .repartition("id_reserva", "sal")
         .withColumn("n", F.row_number().over(parts))
         .filter(F.col("n") <= F.col(limit))
         .withColumn("n", F.row_number().over(whole))

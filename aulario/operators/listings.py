@@ -109,8 +109,8 @@ def bookings_with_participants(
 
     A list is one value in one row, so a booking with very many participants is
     spread over ``paginas`` rows of about ``page_size`` each; every booking that
-    fits one page is one row. Pages come from a hash of the participant, which
-    splits a crowded booking over tasks before anything is collected.
+    fits one page is one row. Pages come from a hash of the participant, and rows are
+    shuffled by booking and page, so a crowded booking is collected by many tasks.
     """
     people = booking_participants(t, id_reserva)
     pages = F.greatest(F.ceil(F.col("num_participantes") / page_size), F.lit(1)).cast("int")
@@ -122,6 +122,8 @@ def bookings_with_participants(
         people.join(sized.filter("paginas > 1"), "id_reserva", "left")
         .withColumn("paginas", F.coalesce("paginas", F.lit(1)))
         .withColumn("pagina", F.pmod(F.xxhash64("ci_participante"), "paginas").cast("int"))
+        # Without this the partitioning of the join, by booking alone, would be kept.
+        .repartition("id_reserva", "pagina")
         .groupBy("id_reserva", "pagina", "paginas")
         .agg(F.array_sort(F.collect_list(person)).alias("participantes"))
     )

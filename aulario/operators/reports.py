@@ -6,7 +6,7 @@ DataFrame. Ties of a ranked report are broken by its key columns.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from aulario.functions.scalar import (
@@ -28,13 +28,21 @@ from aulario.operators.aggregates import (
     sanctions_by_participant,
     usage_by_room,
 )
-from aulario.tables import ROOM, Tables
+from aulario.tables import MONTH, ROOM, Tables
 
 TOP = 10
 OCCUPANCY_DAYS = 30
 TREND_WEEKS = 8
 
 
+def bookings_since(reserva: DataFrame, first: Column) -> DataFrame:
+    """Bookings from a date on; of bookings stored by month only the months needed are read."""
+    since = reserva.filter(F.col("fecha") >= first)
+    if MONTH in reserva.columns:
+        since = since.filter(F.col(MONTH) >= F.date_format(first, "yyyy-MM"))
+    return since
+
+
 def most_booked_rooms(t: Tables, as_of: Date) -> DataFrame:
     usage = usage_by_room(t.reserva)
     return (
@@ -120,7 +128,7 @@ def occupancy_by_building(t: Tables, as_of: Date) -> DataFrame:
     The date bound narrows the bookings before the outer joins, so buildings
     without recent bookings, or without rooms, stay in the result.
     """
-    recent = t.reserva.filter(F.col("fecha") >= F.date_sub(day(as_of), OCCUPANCY_DAYS))
+    recent = bookings_since(t.reserva, F.date_sub(day(as_of), OCCUPANCY_DAYS))
     rooms = (
         t.sala.join(usage_by_room(recent), ROOM, "left")
         .groupBy("edificio")
@@ -232,7 +240,7 @@ def booking_outcomes(t: Tables, as_of: Date) -> DataFrame:
 
 
 def _trend_rows(t: Tables, as_of: Date) -> DataFrame:
-    return t.reserva.filter(F.col("fecha") >= F.date_sub(day(as_of), 7 * TREND_WEEKS))
+    return bookings_since(t.reserva, F.date_sub(day(as_of), 7 * TREND_WEEKS))
 
 
 def booked_hours_by_week(t: Tables, as_of: Date) -> DataFrame:

@@ -131,11 +131,13 @@ def admit_in_order(
     while True:
         marked = cut(_mark_granted(undecided, limits))
         granted = marked.filter("concedida")
-        if granted.isEmpty():
+        if granted.isEmpty():  # only when nothing was left to decide
             break
         parts.append(granted.select(*columns))
-        undecided = _use_up(marked.filter("NOT concedida"), granted, limits).select(*columns)
-        left = undecided.limit(tail_rows + 1).count() if tail_rows else tail_rows + 1
+        undecided = cut(
+            _use_up(marked.filter("NOT concedida"), granted, limits).select(*columns)
+        )
+        left = undecided.count()
         if left <= tail_rows:
             if left:
                 parts.append(cut(_finish(undecided, limits).select(*columns)))

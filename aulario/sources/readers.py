@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from aulario.sources.schemas import SCHEMAS
-from aulario.tables import Tables
+from aulario.tables import MONTH, Tables
 
 # Compares text without regard to case and accents.
 FOLDING_COLLATION = "UNICODE_CI_AI"
@@ -27,22 +27,29 @@ def _folded(df: DataFrame, collation: str | None) -> DataFrame:
 
 
 def load_tables(
-    spark: SparkSession, path: str, fmt: str = "parquet", collation: str | None = None
+    spark: SparkSession,
+    path: str,
+    fmt: str = "parquet",
+    collation: str | None = None,
+    monthly: bool = False,
 ) -> Tables:
     """Read ``path/<table>`` with the declared schemas; nothing is inferred.
 
     ``fmt`` is parquet, orc, json or csv. With ``collation`` the text columns compare
-    and sort by it, e.g. ``FOLDING_COLLATION``.
+    and sort by it, e.g. ``FOLDING_COLLATION``. With ``monthly`` the bookings keep the
+    month column of a snapshot partitioned by it, and date-bound reports prune by it.
     """
     reader = spark.read.format(fmt)
     if fmt == "csv":
         reader = reader.option("header", "true")
-    return Tables(
-        **{
-            name: _folded(reader.schema(schema).load(f"{path}/{name}"), collation)
-            for name, schema in SCHEMAS.items()
-        }
-    )
+
+    def one(name: str, schema: T.StructType) -> DataFrame:
+        keep = schema.names + ([MONTH] if monthly and name == "reserva" else [])
+        if MONTH in keep:
+            schema = T.StructType([*schema, T.StructField(MONTH, T.StringType())])
+        return _folded(reader.schema(schema).load(f"{path}/{name}").select(*keep), collation)
+
+    return Tables(**{name: one(name, schema) for name, schema in SCHEMAS.items()})
 
 
 def load_jdbc(

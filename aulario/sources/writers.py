@@ -5,25 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from aulario.tables import Tables
-
-# Date-bound reports read only the months they need.
-MONTHLY = {"reserva": "fecha"}
-
+from aulario.tables import MONTH, Tables
 
 def write_snapshot(tables: Tables, path: str, fmt: str = "parquet", monthly: bool = False) -> None:
     """Write all tables under a new ``path``.
 
     A folder that already exists is refused: the state being replaced may still be read by
     the plans that lead to the new one. With ``monthly`` the bookings are partitioned by
-    month (column ``mes``) of their date.
+    month (column ``mes``) of their date, so that date-bound reports read only those needed.
     """
     for name, df in tables.items():
         writer = df
         by: list[str] = []
-        if monthly and name in MONTHLY:
-            writer = df.withColumn("mes", F.date_format(MONTHLY[name], "yyyy-MM"))
-            by = ["mes"]
+        if monthly and name == "reserva":
+            writer = df.withColumn(MONTH, F.date_format("fecha", "yyyy-MM"))
+            by = [MONTH]
         out = writer.write.mode("errorifexists").format(fmt)
         if fmt == "csv":
             out = out.option("header", "true")

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 
 ROOM = ["nombre_sala", "edificio"]
 SLOT = ["nombre_sala", "edificio", "fecha", "id_turno"]
+# Partition column of bookings stored by month; present only when loaded with it.
+MONTH = "mes"
 
 
 @dataclass(frozen=True)

@@ -120,14 +120,15 @@ def tables(spark: SparkSession, sf_dir: str) -> Tables:
         )
         .agg(
             F.min("l_shipdate").alias("fecha_solicitud_reserva"),
-            F.max("l_returnflag").alias("marca"),
+            # The code of the one-letter flag: numbers are combined in a hash aggregate.
+            F.max(F.ascii("l_returnflag")).alias("marca"),
         )
         .select(
             "ci_participante",
             "id_reserva",
             "fecha_solicitud_reserva",
-            F.when(F.col("marca") == "A", True)
-            .when(F.col("marca") == "R", False)
+            F.when(F.col("marca") == ord("A"), True)
+            .when(F.col("marca") == ord("R"), False)
             .alias("asistencia"),
         ),
         sancion_participante=sanctions(source("events").filter(F.col("event_type") == "error")),
