@@ -300,48 +300,46 @@ def remove_participants(requests: DataFrame, t: Tables, enforce: bool = True) ->
 
     Only a batch that names every participant of a booking has a removal refused by that
     rule: the last of their first requests. Once a single one is left, every later request
-    is refused. So no ranking is needed. The rule is checked before membership.
+    is refused. So bookings need counts and the last turns, not a ranking; these come from
+    one row per person asked for. The rule is checked before membership.
     """
     columns = requests.columns
+    person = ["id_reserva", CI]
     inside = _touched_people(t, requests)
-    judged = mark(requests, inside, ["id_reserva", CI], "dentro")
-    judged = mark_first(judged, ["id_reserva", CI], "primera", F.col("dentro"))
-    useful = F.col("dentro") & F.col("primera")
-    if not enforce:
-        judged = judged.withColumn("ultimo", F.lit(False))
-    else:
-        asked = (
-            judged.filter(useful)
-            .groupBy("id_reserva")
-            .agg(F.count("*").alias("pedidos"), F.max(turn()).alias("final"))
-        )
-        judged = judged.join(
-            participants_by_booking(inside).join(asked, "id_reserva", "left"),
-            "id_reserva",
-            "left",
-        )
-        everyone = F.coalesce(F.col("pedidos") == F.col("num_participantes"), F.lit(False))
-        granted = useful & ~(everyone & (turn() == F.col("final")))
-        one_left = F.coalesce(F.col("pedidos") >= F.col("num_participantes") - 1, F.lit(False))
-        down_to_one = (
-            judged.filter(one_left & granted)
-            .groupBy("id_reserva")
-            .agg(F.max(turn()).alias("uno_desde"))
-        )
-        judged = judged.join(down_to_one, "id_reserva", "left").withColumn(
-            "ultimo",
-            (or_zero("num_participantes") <= 1)
-            | F.coalesce(F.col("uno_desde") < turn(), F.lit(False)),
-        )
+    asked = requests.groupBy(*person).agg(F.min(turn()).alias("turno"))
+    useful = cut(asked.join(inside.select(*person), person, "left_semi"))
+    sizes = participants_by_booking(inside)
+    last = useful.groupBy("id_reserva").agg(
+        F.count("*").alias("pedidos"), F.max("turno").alias("final")
+    )
+    bookings = sizes.join(last, "id_reserva", "left")
+    everyone = F.col("pedidos") == F.col("num_participantes")
+    next_to_last = (
+        useful.join(bookings.filter(everyone), "id_reserva")
+        .filter(F.col("turno") < F.col("final"))
+        .groupBy("id_reserva")
+        .agg(F.max("turno").alias("anterior"))
+    )
+    bookings = bookings.join(next_to_last, "id_reserva", "left").select(
+        "id_reserva",
+        "num_participantes",
+        F.when(everyone, F.col("anterior"))
+        .when(F.col("pedidos") == F.col("num_participantes") - 1, F.col("final"))
+        .alias("uno_desde"),
+    )
+    judged = requests.join(useful, person, "left").join(bookings, "id_reserva", "left")
+    alone = (or_zero("num_participantes") <= 1) | F.coalesce(
+        F.col("uno_desde") < turn(), F.lit(False)
+    )
     judged = judged.withColumn(
         "motivo",
         first_reason(
-            ("ultimo_participante", ~F.col("ultimo")),
-            ("no_participa", useful),
+            ("ultimo_participante", ~alone if enforce else F.lit(True)),
+            ("no_participa", F.col("turno") == turn()),
         ),
     )
     accepted, rejected = split(judged, *columns)
-    kept = delete_rows(t.reserva_participante, accepted, ["id_reserva", CI])
+    kept = delete_rows(t.reserva_participante, accepted, person)
     return ChangeResult(t.with_tables(reserva_participante=kept), accepted, rejected)
 
 

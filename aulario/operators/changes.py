@@ -48,7 +48,12 @@ def first_reason(*checks: tuple[str, Column]) -> Column:
 
 
 def split(judged: DataFrame, *columns: str) -> tuple[DataFrame, DataFrame]:
-    """Accepted requests, and rejected ones with ``motivo``."""
+    """Accepted requests, and rejected ones with ``motivo``.
+
+    The verdicts are materialised first: the new state, the accepted and the rejected part
+    all follow from them, and must not disagree or be worked out three times.
+    """
+    judged = cut(judged.select(*columns, "motivo"))
     accepted = judged.filter(F.col("motivo").isNull()).select(*columns)
     rejected = judged.filter(F.col("motivo").isNotNull()).select(*columns, "motivo")
     return accepted, rejected
@@ -59,7 +64,10 @@ def mark_first(df: DataFrame, keys: list[str], name: str, eligible: Column | Non
 
     The winner is found by aggregation, so a key asked for very often is reduced
     before the shuffle, and marked by its unique id, so no task sees all its rows.
+    The requests judged so far are materialised: they are read for both steps and again
+    for the accepted and the rejected part.
     """
+    df = cut(df)
     pool = df if eligible is None else df.filter(eligible)
     winners = pool.groupBy(*keys).agg(F.min(turn()).alias("t")).select(f"t.{ID}")
     return mark(df, winners, [ID], name)

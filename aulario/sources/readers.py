@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,17 +41,17 @@ def load_tables(
     and sort by it, e.g. ``FOLDING_COLLATION``. With ``monthly`` the bookings keep the
     month column of a snapshot partitioned by it, and date-bound reports prune by it.
     """
-    reader = spark.read.format(fmt)
-    if fmt == "csv":
-        reader = reader.option("header", "true")
 
     def one(name: str, schema: T.StructType) -> DataFrame:
+        reader = spark.read.format(fmt)
+        if fmt == "csv":
+            reader = reader.option("header", "true")
         keep = schema.names + ([MONTH] if monthly and name == "reserva" else [])
         if MONTH in keep:
             schema = T.StructType([*schema, T.StructField(MONTH, T.StringType())])
         return _folded(reader.schema(schema).load(f"{path}/{name}").select(*keep), collation)
 
-    return Tables(**{name: one(name, schema) for name, schema in SCHEMAS.items()})
+    return Tables(**{name: partial(one, name, schema) for name, schema in SCHEMAS.items()})
 
 
 def load_jdbc(
@@ -88,4 +90,4 @@ def load_jdbc(
             ]
         )
 
-    return Tables(**{name: one(name, schema) for name, schema in SCHEMAS.items()})
+    return Tables(**{name: partial(one, name, schema) for name, schema in SCHEMAS.items()})

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, fields, replace
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
@@ -12,9 +12,12 @@ SLOT = ["nombre_sala", "edificio", "fecha", "id_turno"]
 MONTH = "mes"
 
 
-@dataclass(frozen=True)
 class Tables:
-    """One lazy DataFrame per table; operators never read files themselves."""
+    """The tables as lazy DataFrames; operators never read files themselves.
+
+    A table is given as a DataFrame or as a function that opens it. Functions are called
+    when the table is first used, so an operator does not pay for the ones it ignores.
+    """
 
     facultad: DataFrame
     programa_academico: DataFrame
@@ -27,12 +30,27 @@ class Tables:
     reserva_participante: DataFrame
     sancion_participante: DataFrame
 
+    def __init__(self, **tables: DataFrame | Callable[[], DataFrame]):
+        if set(tables) != set(self.names()):
+            raise ValueError(f"expected exactly the tables {', '.join(self.names())}")
+        self._openers = {n: t for n, t in tables.items() if not isinstance(t, DataFrame)}
+        self.__dict__.update({n: t for n, t in tables.items() if isinstance(t, DataFrame)})
+
+    def __getattr__(self, name: str) -> DataFrame:
+        if name.startswith("_") or name not in self._openers:
+            raise AttributeError(name)
+        self.__dict__[name] = self._openers[name]()
+        return self.__dict__[name]
+
     def with_tables(self, **changed: DataFrame) -> Tables:
-        return replace(self, **changed)
+        unchanged = {
+            n: self.__dict__[n] if n in self.__dict__ else self._openers[n] for n in self.names()
+        }
+        return Tables(**{**unchanged, **changed})
 
     def items(self) -> list[tuple[str, DataFrame]]:
-        return [(f.name, getattr(self, f.name)) for f in fields(self)]
+        return [(name, getattr(self, name)) for name in self.names()]
 
     @classmethod
     def names(cls) -> list[str]:
-        return [f.name for f in fields(cls)]
+        return list(Tables.__annotations__)

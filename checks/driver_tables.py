@@ -46,92 +46,113 @@ def tables(spark: SparkSession, sf_dir: str) -> Tables:
     def source(name: str) -> DataFrame:
         return read(spark, sf_dir, name)
 
-    nation = source("nation")
-    supplier = source("supplier")
-    customer = source("customer")
-
-    first = supplier.join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select(
-        F.col("s_suppkey").alias("ci_participante"),
-        F.col("n_name").alias("nombre_programa"),
-        F.when(F.col("s_suppkey") % 5 == 0, "docente").otherwise("alumno").alias("rol"),
-    )
-    second = (
-        supplier.filter(F.col("s_suppkey") % 4 == 0)
-        .join(nation, (F.col("s_nationkey") + 7) % 25 == F.col("n_nationkey"))
-        .select(
-            F.col("s_suppkey").alias("ci_participante"),
-            F.col("n_name").alias("nombre_programa"),
-            F.lit("alumno").alias("rol"),
-        )
-    )
-    even = F.col("o_orderkey") % 2 == 0
-    return Tables(
-        facultad=source("region").select(
-            F.col("r_regionkey").alias("id_facultad"), F.col("r_name").alias("nombre")
-        ),
-        programa_academico=nation.select(
+    def programmes() -> DataFrame:
+        return source("nation").select(
             F.col("n_name").alias("nombre_programa"),
             F.col("n_regionkey").alias("id_facultad"),
             F.when(F.col("n_nationkey") % 3 == 0, "posgrado").otherwise("grado").alias("tipo"),
-        ),
-        participante=supplier.select(
+        )
+
+    def participants() -> DataFrame:
+        number = F.col("s_suppkey").cast("string")
+        return source("supplier").select(
             F.col("s_suppkey").alias("ci"),
             F.col("s_name").alias("nombre"),
             F.concat(F.lit("A"), F.col("s_nationkey").cast("string")).alias("apellido"),
-            F.concat(F.lit("p"), F.col("s_suppkey").cast("string"), F.lit("@campus.test")).alias(
-                "email"
-            ),
-        ),
-        participante_programa_academico=first.withColumn(
-            "id_alumno_programa", F.col("ci_participante") * 2
-        ).unionByName(second.withColumn("id_alumno_programa", F.col("ci_participante") * 2 + 1)),
-        edificio=nation.select(
-            F.col("n_nationkey").alias("nombre_edificio"),
-            F.col("n_name").alias("direccion"),
-            F.concat(F.lit("D"), F.col("n_regionkey").cast("string")).alias("departamento"),
-        ),
-        sala=customer.select(
-            F.col("c_custkey").alias("nombre_sala"),
+            F.concat(F.lit("p"), number, F.lit("@campus.test")).alias("email"),
+        )
+
+    def enrolments() -> DataFrame:
+        nation, supplier = source("nation"), source("supplier")
+        person = F.col("s_suppkey")
+        first = supplier.join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select(
+            (person * 2).alias("id_alumno_programa"),
+            person.alias("ci_participante"),
+            F.col("n_name").alias("nombre_programa"),
+            F.when(person % 5 == 0, "docente").otherwise("alumno").alias("rol"),
+        )
+        second = (
+            supplier.filter(person % 4 == 0)
+            .join(nation, (F.col("s_nationkey") + 7) % 25 == F.col("n_nationkey"))
+            .select(
+                (person * 2 + 1).alias("id_alumno_programa"),
+                person.alias("ci_participante"),
+                F.col("n_name").alias("nombre_programa"),
+                F.lit("alumno").alias("rol"),
+            )
+        )
+        return first.unionByName(second)
+
+    def rooms() -> DataFrame:
+        key = F.col("c_custkey")
+        return source("customer").select(
+            key.alias("nombre_sala"),
             F.col("c_nationkey").alias("edificio"),
-            (F.col("c_custkey") % 12 + 1).cast("int").alias("capacidad"),
-            F.when(F.col("c_custkey") % 3 == 0, "libre")
-            .when(F.col("c_custkey") % 3 == 1, "posgrado")
+            (key % 12 + 1).cast("int").alias("capacidad"),
+            F.when(key % 3 == 0, "libre")
+            .when(key % 3 == 1, "posgrado")
             .otherwise("docente")
             .alias("tipo_sala"),
-        ),
-        turno=turnos(spark),
-        reserva=source("orders")
-        .join(customer, F.col("o_custkey") == F.col("c_custkey"))
-        .select(
-            F.col("o_orderkey").alias("id_reserva"),
-            F.col("c_custkey").alias("nombre_sala"),
-            F.col("c_nationkey").alias("edificio"),
-            F.col("o_orderdate").cast("date").alias("fecha"),
-            F.substring("o_orderpriority", 1, 1).cast("int").alias("id_turno"),
-            F.when(F.col("o_orderstatus") == "F", "finalizada")
-            .when(F.col("o_orderstatus") == "O", "activa")
-            .when(even, "cancelada")
-            .otherwise("sin asistencia")
-            .alias("estado"),
-        ),
-        reserva_participante=source("lineitem")
-        .groupBy(
-            F.col("l_suppkey").alias("ci_participante"), F.col("l_orderkey").alias("id_reserva")
         )
-        .agg(
-            F.min("l_shipdate").alias("fecha_solicitud_reserva"),
-            # The code of the one-letter flag: numbers are combined in a hash aggregate.
-            F.max(F.ascii("l_returnflag")).alias("marca"),
+
+    def bookings() -> DataFrame:
+        status = F.col("o_orderstatus")
+        return (
+            source("orders")
+            .join(source("customer"), F.col("o_custkey") == F.col("c_custkey"))
+            .select(
+                F.col("o_orderkey").alias("id_reserva"),
+                F.col("c_custkey").alias("nombre_sala"),
+                F.col("c_nationkey").alias("edificio"),
+                F.col("o_orderdate").cast("date").alias("fecha"),
+                F.substring("o_orderpriority", 1, 1).cast("int").alias("id_turno"),
+                F.when(status == "F", "finalizada")
+                .when(status == "O", "activa")
+                .when(F.col("o_orderkey") % 2 == 0, "cancelada")
+                .otherwise("sin asistencia")
+                .alias("estado"),
+            )
+        )
+
+    def participations() -> DataFrame:
+        # The code of the one-letter flag: numbers are combined in a hash aggregate.
+        flag = F.col("marca")
+        return (
+            source("lineitem")
+            .groupBy(
+                F.col("l_suppkey").alias("ci_participante"), F.col("l_orderkey").alias("id_reserva")
+            )
+            .agg(
+                F.min("l_shipdate").alias("fecha_solicitud_reserva"),
+                F.max(F.ascii("l_returnflag")).alias("marca"),
+            )
+            .select(
+                "ci_participante",
+                "id_reserva",
+                "fecha_solicitud_reserva",
+                F.when(flag == ord("A"), True).when(flag == ord("R"), False).alias("asistencia"),
+            )
         )
-        .select(
-            "ci_participante",
-            "id_reserva",
-            "fecha_solicitud_reserva",
-            F.when(F.col("marca") == ord("A"), True)
-            .when(F.col("marca") == ord("R"), False)
-            .alias("asistencia"),
+
+    return Tables(
+        facultad=lambda: source("region").select(
+            F.col("r_regionkey").alias("id_facultad"), F.col("r_name").alias("nombre")
+        ),
+        programa_academico=programmes,
+        participante=participants,
+        participante_programa_academico=enrolments,
+        edificio=lambda: source("nation").select(
+            F.col("n_nationkey").alias("nombre_edificio"),
+            F.col("n_name").alias("direccion"),
+            F.concat(F.lit("D"), F.col("n_regionkey").cast("string")).alias("departamento"),
+        ),
+        sala=rooms,
+        turno=lambda: turnos(spark),
+        reserva=bookings,
+        reserva_participante=participations,
+        sancion_participante=lambda: sanctions(
+            source("events").filter(F.col("event_type") == "error")
         ),
-        sancion_participante=sanctions(source("events").filter(F.col("event_type") == "error")),
     )
 
 
