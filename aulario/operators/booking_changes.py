@@ -29,9 +29,6 @@ from aulario.operators.sequencing import TAIL_ROWS, Limit, admit_in_order
 from aulario.sources.schemas import MAX_BOOKINGS_PER_DAY, MAX_BOOKINGS_PER_WEEK
 from aulario.tables import ROOM, SLOT, Tables
 
-# Room capacities bound the ranks of M5; the salt spreads one crowded booking.
-SALTS = 32
-
 
 def _earlier(turns: str) -> Column:
     """How many of the collected turns come before the row's own."""
@@ -217,11 +214,13 @@ def _without_bookings(t: Tables, gone: DataFrame) -> Tables:
 def first_per_booking(df: DataFrame, limit: str) -> DataFrame:
     """The first ``limit`` requests of each booking, ranked in two steps.
 
-    Each booking is spread over salts, ranked and cut there; only the survivors, at
-    most ``limit`` per salt, meet in the final ranking. The explicit shuffle keeps an
-    earlier partitioning by booking from putting all salts into one task.
+    Each booking is spread over as many salts as there are shuffle partitions, ranked and
+    cut there; only the survivors, at most ``limit`` (the seats of a room) per salt, meet in
+    the final ranking. The explicit shuffle keeps an earlier partitioning by booking from
+    putting all salts into one task.
     """
-    salt = F.pmod(F.xxhash64(ID), F.lit(SALTS))
+    salts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    salt = F.pmod(F.xxhash64(ID), F.lit(salts))
     parts = Window.partitionBy("id_reserva", "sal").orderBy(*ORDER)
     whole = Window.partitionBy("id_reserva").orderBy(*ORDER)
     return (

@@ -28,6 +28,8 @@ CONSOLE_LIMIT = 50
 OWN_LIMIT = 20
 DASHBOARD_LIMIT = 10
 PAGE_SIZE = 1000
+# A page of ids up to this size is small enough to send to every task.
+BROADCAST_IDS = 10_000
 
 
 def _is(**values: object) -> Column | None:
@@ -46,14 +48,15 @@ def _pick(df: DataFrame, **values: object) -> DataFrame:
 def latest_bookings(t: Tables, limit: int = LISTING_LIMIT) -> DataFrame:
     """The newest bookings with slot label and number of participants.
 
-    The page is cut before participants are counted. It holds at most ``limit``
-    rows, so its ids may be broadcast and the participations are only scanned.
+    The page is cut before participants are counted. It holds at most ``limit`` rows;
+    up to ``BROADCAST_IDS`` its ids are broadcast and the participations only scanned.
     """
     newest = [F.desc("fecha"), F.desc("hora_inicio"), F.desc("id_reserva")]
     page = t.reserva.join(t.turno, "id_turno").orderBy(*newest).limit(limit)
-    people = participants_by_booking(
-        t.reserva_participante.join(F.broadcast(page.select("id_reserva")), "id_reserva")
-    )
+    ids = page.select("id_reserva")
+    if limit <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    people = participants_by_booking(t.reserva_participante.join(ids, "id_reserva"))
     return (
         page.join(people, "id_reserva", "left")
         .select(

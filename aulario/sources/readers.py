@@ -54,6 +54,11 @@ def load_tables(
     return Tables(**{name: partial(one, name, schema) for name, schema in SCHEMAS.items()})
 
 
+def load_catalog(spark: SparkSession, database: str) -> Tables:
+    """Tables saved in the catalog, with the bucketing they were saved with."""
+    return Tables(**{name: partial(spark.table, f"{database}.{name}") for name in SCHEMAS})
+
+
 def load_jdbc(
     spark: SparkSession,
     url: str,

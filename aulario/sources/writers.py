@@ -28,6 +28,26 @@ def write_snapshot(tables: Tables, path: str, fmt: str = "parquet", monthly: boo
         out.save(f"{path}/{name}")
 
 
+# Both fact tables lie in the same buckets of the booking they belong to.
+BUCKET_KEYS = {"reserva": "id_reserva", "reserva_participante": "id_reserva"}
+
+
+def save_bucketed(tables: Tables, database: str, path: str, buckets: int) -> None:
+    """Save all tables in the catalog, bookings and participations bucketed by booking.
+
+    Joining and counting by booking then needs no shuffle. Choose ``buckets`` so that one
+    bucket of participations fits the memory of a task.
+    """
+    tables.reserva.sparkSession.sql(f"CREATE DATABASE IF NOT EXISTS {database}")
+    for name, df in tables.items():
+        key = BUCKET_KEYS.get(name)
+        # One file per bucket: rows arrive in the partitioning they are stored in.
+        writer = (df.repartition(buckets, key) if key else df).write.format("parquet")
+        if key:
+            writer = writer.bucketBy(buckets, key).sortBy(key)
+        writer.option("path", f"{path}/{name}").saveAsTable(f"{database}.{name}")
+
+
 def export(df: DataFrame, path: str, fmt: str = "csv") -> None:
     """Write a report as csv (with header), json or parquet."""
     if fmt not in ("csv", "json", "parquet"):

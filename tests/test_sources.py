@@ -7,9 +7,15 @@ import json
 import pytest
 
 from aulario.plans.registry import report
-from aulario.sources.readers import FOLDING_COLLATION, load_tables
+from aulario.sources.readers import FOLDING_COLLATION, load_catalog, load_tables
 from aulario.sources.schemas import SCHEMAS, room_types
-from aulario.sources.writers import export, json_array, json_rows, write_snapshot
+from aulario.sources.writers import (
+    export,
+    json_array,
+    json_rows,
+    save_bucketed,
+    write_snapshot,
+)
 from aulario.tables import Tables
 from tests.conftest import TODAY, rows
 
@@ -40,6 +46,23 @@ def test_monthly_bookings_are_pruned(spark, seed, tmp_path):
     assert "PartitionFilters: [isnotnull(mes" in plan
 
 
+def test_bucketed_bookings_join_without_a_shuffle(spark, seed, tmp_path):
+    save_bucketed(seed, "aulario_prueba", str(tmp_path / "db"), 4)
+    stored = load_catalog(spark, "aulario_prueba")
+    joined = stored.reserva.join(stored.reserva_participante, "id_reserva").hint("merge")
+    counted = stored.reserva_participante.groupBy("id_reserva").count()
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for df in (joined, counted):
+            assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+        same = report("promedio_participantes")
+        assert rows(same(stored, TODAY)) == rows(same(seed, TODAY))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        spark.sql("DROP DATABASE aulario_prueba CASCADE")
+
+
 def test_folding_collation(spark, seed, tmp_path):
     write_snapshot(seed, str(tmp_path / "s"))
     folded = load_tables(spark, str(tmp_path / "s"), collation=FOLDING_COLLATION)
