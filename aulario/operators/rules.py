@@ -285,8 +285,8 @@ def overlaps_sanction(
 
 
 def complete(df: DataFrame, required: list[str]) -> DataFrame:
-    """``completa``: every required field is present and not empty."""
-    filled = [F.coalesce(F.trim(F.col(c).cast("string")) != "", F.lit(False)) for c in required]
+    """``completa``: every required field is present and not the empty text."""
+    filled = [F.coalesce(F.col(c).cast("string") != "", F.lit(False)) for c in required]
     test = filled[0]
     for f in filled[1:]:
         test = test & f
@@ -300,9 +300,14 @@ def valid_status(df: DataFrame, column: str = "estado") -> DataFrame:
 
 
 def parse_requests(raw: DataFrame) -> DataFrame:
-    """Typed ``fecha`` and ``id_turno`` from text, and whether both could be read."""
+    """Typed ``fecha`` and ``id_turno`` from text, and whether both could be read.
+
+    Dates are year-month-day with four digits for the year and one or two for the rest.
+    """
+    date = F.col("fecha")
+    readable = date.rlike(r"^\d{4}-\d{1,2}-\d{1,2}$")
     return (
-        raw.withColumn("fecha", F.try_to_date(F.trim(F.col("fecha")), "yyyy-MM-dd"))
+        raw.withColumn("fecha", F.when(readable, F.try_to_date(date, "yyyy-M-d")))
         .withColumn("id_turno", F.trim(F.col("id_turno")).try_cast("int"))
         .withColumn("datos_validos", F.col("fecha").isNotNull() & F.col("id_turno").isNotNull())
     )

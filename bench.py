@@ -68,7 +68,7 @@ def main() -> None:
                 "value": round(sum(seconds.values()), 3),
                 "unit": "sec",
                 "queries": seconds,
-                "sf": Path(sf_dir).name.removeprefix("sf"),
+                "sf": float(Path(sf_dir).name.removeprefix("sf")),
                 "spark": spark.version,
                 "cpus": int(cpus),
                 "shuffle_partitions": int(cpus),

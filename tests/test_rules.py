@@ -130,11 +130,14 @@ def test_moves_and_deletions(spark, seed):
 
 def test_form_data(spark, seed):
     raw = frame(spark, [(1, "2026-12-01", "3", "activa"), (2, "01/12/2026", "3", "otra"), (3, "2026-12-01", "tres", None),
-                        (4, " ", "3", "finalizada")], "id_solicitud int, fecha string, id_turno string, estado string")
+                        (4, "", "3", "finalizada"), (5, "2026-2-9", " 4 ", "activa"), (6, "2026-02-30", "4", "activa"),
+                        (7, "2026-012-05", "1.0", "activa")], "id_solicitud int, fecha string, id_turno string, estado string")
     got = rules.valid_status(rules.parse_requests(rules.complete(raw, ["fecha", "id_turno"]))).orderBy("id_solicitud")
     assert [(r.completa, r.datos_validos, r.estado_valido) for r in got.collect()] == [
-        (True, True, True), (True, False, False), (True, False, False), (False, False, True),
+        (True, True, True), (True, False, False), (True, False, False), (False, False, True), (True, True, True),
+        (True, False, True), (True, False, True),
     ]
+    assert [r.fecha for r in got.collect()][4] == dt.date(2026, 2, 9)
     asked = frame(spark, [(1, "12345678"), (2, "0")], "id_solicitud int, ci_participante string")
     found = rules.exists_in(asked, seed.participante, {"ci_participante": "ci"}, "existe")
     assert dict(rows(found.select("id_solicitud", "existe"))) == {1: True, 2: False}

@@ -230,7 +230,7 @@ def test_register_participants(spark, seed, tail):
     ]
     batch += [(90, "12345678", "N", "A", "new@x", "Derecho", "alumno", T0),
               (91, "n1", "N", "A", "ana.martinez@uni.edu", "Derecho", "alumno", T0),
-              (92, "n2", "N", " ", "n2@x", "Derecho", "alumno", T0),
+              (92, "n2", "N", "", "n2@x", "Derecho", "alumno", T0),
               (93, "n3", "N", "A", "n3@x", "Otro", "alumno", T0),
               (94, "n4", "N", "A", "n4@x", "Derecho", "jefe", T0)]
     numbers, mails, expected = set(), set(), {}
