@@ -52,17 +52,26 @@ def active_bookings_by_day(t: Tables, people: DataFrame) -> DataFrame:
 
 
 def booked_that_day(requests: DataFrame, t: Tables) -> DataFrame:
-    """Add ``activas_dia`` and ``activas_semana``, the active bookings the quotas count."""
-    daily = active_bookings_by_day(t, requests)
-    weekly = daily.groupBy(CI, week_start(F.col("fecha")).alias("lunes")).agg(
-        F.sum("activas").alias("activas_semana")
+    """Add ``activas_dia`` and ``activas_semana``, the active bookings the quotas count.
+
+    Days travel as a map inside their week (at most seven entries), so the requests are
+    joined once.
+    """
+    weekly = (
+        active_bookings_by_day(t, requests)
+        .groupBy(CI, week_start(F.col("fecha")).alias("lunes"))
+        .agg(
+            F.sum("activas").alias("activas_semana"),
+            F.map_from_entries(F.collect_list(F.struct("fecha", "activas"))).alias("por_dia"),
+        )
     )
     return (
         requests.withColumn("lunes", week_start(F.col("fecha")))
-        .join(daily.withColumnRenamed("activas", "activas_dia"), [CI, "fecha"], "left")
         .join(weekly, [CI, "lunes"], "left")
+        .withColumn("activas_dia", F.try_element_at("por_dia", F.col("fecha")))
         .withColumn("activas_dia", or_zero("activas_dia"))
         .withColumn("activas_semana", or_zero("activas_semana"))
+        .drop("por_dia")
     )
 
 

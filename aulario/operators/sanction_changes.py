@@ -48,14 +48,13 @@ def _earliest_disjoint(batch: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({ID: keep})
 
 
-def _disjoint_in_order(requests: DataFrame) -> DataFrame:
-    """Requests one-at-a-time processing would accept among themselves, per participant.
+def candidates(requests: DataFrame) -> DataFrame:
+    """The requests that could be kept when periods of a participant must not touch.
 
-    Kept periods exclude each other, so their order matters and a participant's requests
-    have to be walked through. What is walked is bounded by the calendar, not by the number
-    of requests: a request can only be kept if no earlier one lies inside its period (that
-    one was kept, or something touching it was). Of equal periods only the first is left,
-    and of those starting on one day only ever shorter ones.
+    A request can only be kept if no earlier one lies inside its period: that one was kept,
+    or something touching it was. Of equal periods only the first is left, and of those
+    starting on one day only ever shorter ones, so the calendar bounds what remains of a
+    participant, not the number of requests.
     """
     first = F.min(turn()).alias("t")
     distinct = (
@@ -68,12 +67,21 @@ def _disjoint_in_order(requests: DataFrame) -> DataFrame:
         .orderBy(*ORDER)
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    shortest = F.min("fecha_fin").over(same_start)
-    candidates = distinct.withColumn("corta", shortest).filter(
-        F.col("corta").isNull() | (F.col("fecha_fin") < F.col("corta"))
+    return (
+        distinct.withColumn("corta", F.min("fecha_fin").over(same_start))
+        .filter(F.col("corta").isNull() | (F.col("fecha_fin") < F.col("corta")))
+        .select(CI, *PERIOD, *ORDER)
     )
+
+
+def _disjoint_in_order(requests: DataFrame) -> DataFrame:
+    """Requests one-at-a-time processing would accept among themselves, per participant.
+
+    Kept periods exclude each other, so their order matters and the candidates of a
+    participant have to be walked through.
+    """
     kept = (
-        candidates.select(CI, *PERIOD, *ORDER)
+        candidates(requests)
         .groupBy(CI)
         .applyInPandas(_earliest_disjoint, requests.select(ID).schema)
     )

@@ -281,10 +281,6 @@ class Source:
             )
         )
 
-    def unbooked_rooms(self) -> Tables:
-        """State in which only the rooms with purchases have bookings."""
-        return self.booking_state()
-
     def room_ids(self) -> DataFrame:
         """Every room, and as many unknown ones, asked to be deleted."""
         known = self.t.sala.select(

@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from aulario.operators import listings
+from aulario.operators import listings, sanction_changes
 from aulario.operators.sequencing import Limit, admit_in_order
 from aulario.plans.registry import report
 from aulario.session import ensure_checkpoint_dir
@@ -114,6 +114,28 @@ def test_rounds_end_quickly_with_a_hot_key(spark, tail):
     assert got == expected
 
 
+def test_sanctions_of_one_person_are_bounded_by_the_calendar(spark, seed):
+    """However many requests one person gets, few have to be walked through in order."""
+    i = F.col("id")
+    n = 20_000
+    start = F.date_add(F.lit("2027-01-01").cast("date"), ((i * 37) % 90).cast("int"))
+    asked = spark.range(n, numPartitions=4).select(
+        i.alias("id_solicitud"),
+        F.lit("23456789").alias("ci_participante"),
+        start.alias("fecha_inicio"),
+        F.date_add(start, ((i * 11) % 40 + 1).cast("int")).alias("fecha_fin"),
+        ((i * 7919) % n).alias("solicitada_en"),
+    )
+    result = sanction_changes.create_sanctions(asked, seed)
+    kept = []
+    for r in sorted(asked.collect(), key=lambda r: (r.solicitada_en, r.id_solicitud)):
+        if all(r.fecha_fin < a or r.fecha_inicio > b for a, b, _ in kept):
+            kept.append((r.fecha_inicio, r.fecha_fin, r.id_solicitud))
+    assert {r.id_solicitud for r in result.accepted.collect()} == {k[2] for k in kept}
+    assert set(rows(result.rejected.select("motivo").distinct())) == {("periodo_solapado",)}
+    assert sanction_changes.candidates(asked).count() < 90 * 40
+
+
 def test_checkpoint_folder_of_the_session_is_used(spark):
     ensure_checkpoint_dir(spark)
     assert spark.sparkContext.getCheckpointDir() is not None
