@@ -32,7 +32,9 @@ def spark():
 @pytest.fixture(scope="session")
 def seed(spark, tmp_path_factory):
     path = str(tmp_path_factory.mktemp("seed") / "snapshot")
-    write_snapshot(seed_tables(spark, TODAY), path)
+    tables = seed_tables(spark, TODAY)
+    one_file = {name: df.coalesce(1) for name, df in tables.items()}
+    write_snapshot(tables.with_tables(**one_file), path)
     return load_tables(spark, path)
 
 
@@ -41,5 +43,5 @@ def rows(df) -> list[tuple]:
 
 
 def frame(spark, data: list[tuple], schema: str):
-    """A small local table; going through pandas keeps it a local relation."""
+    """A small local table in one partition."""
     return spark.createDataFrame(data, schema).coalesce(1)
