@@ -2,6 +2,71 @@
 
 from __future__ import annotations
 
+OP2_SUBSTRING_DEDUP = r"""
+WITH texts AS (
+    SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), windows AS (
+    SELECT doc_id, i, array_to_string(words[i : i + 12], ' ') AS w
+    FROM (SELECT doc_id, words, unnest(range(1, len(words) - 11)) AS i FROM texts)
+), firsts AS (
+    SELECT w, min(doc_id) AS first_doc FROM windows GROUP BY w
+), covered AS (
+    SELECT DISTINCT doc_id, i + j AS i
+    FROM windows JOIN firsts USING (w), range(0, 13) AS steps(j)
+    WHERE first_doc < doc_id
+), kept AS (
+    SELECT p.doc_id, string_agg(p.word, ' ' ORDER BY p.i) AS text, count(*) AS n
+    FROM (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM texts) p
+    ANTI JOIN covered c ON p.doc_id = c.doc_id AND p.i = c.i
+    GROUP BY p.doc_id
+)
+SELECT t.doc_id, len(t.words)::BIGINT AS n_words, (len(t.words) - coalesce(k.n, 0))::BIGINT AS n_removed,
+    sha256(coalesce(k.text, '')) AS kept_sha256
+FROM texts t LEFT JOIN kept k USING (doc_id)
+"""
+
+OP7_BENCHMARK_DECONTAMINATION = r"""
+WITH texts AS (
+    SELECT doc_id, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+    FROM documents
+), items AS (
+    SELECT item_id, words, least(10, len(words)) AS n
+    FROM (
+        SELECT item_id, regexp_extract_all(
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+        FROM benchmark
+    )
+    WHERE len(words) > 0
+), tests AS (
+    SELECT DISTINCT item_id, n, array_to_string(words[i : i + n - 1], ' ') AS w
+    FROM (SELECT item_id, n, words, unnest(range(1, len(words) - n + 2)) AS i FROM items)
+), windows AS (
+    SELECT doc_id, i, n, array_to_string(words[i : i + n - 1], ' ') AS w
+    FROM (
+        SELECT doc_id, words, n, unnest(range(1, len(words) - n + 2)) AS i
+        FROM texts, (SELECT DISTINCT n FROM tests)
+    )
+), found AS (
+    SELECT doc_id, i, n, item_id FROM windows JOIN tests USING (n, w)
+), hit AS (
+    SELECT doc_id, count(DISTINCT i + j) AS n_hit
+    FROM found, range(0, 10) AS steps(j) WHERE j < n GROUP BY doc_id
+), named AS (
+    SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+    FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM found) GROUP BY doc_id
+)
+SELECT t.doc_id, len(t.words)::BIGINT AS n_words, coalesce(h.n_hit, 0)::BIGINT AS n_hit,
+    coalesce(x.n_items, 0)::BIGINT AS n_items, sha256(coalesce(x.items, '')) AS items_sha256,
+    coalesce(h.n_hit, 0) > 0 AS contaminated
+FROM texts t LEFT JOIN hit h USING (doc_id) LEFT JOIN named x USING (doc_id)
+"""
+
 
 def corpus_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op2_substring_dedup": OP2_SUBSTRING_DEDUP,
+        "op7_benchmark_decontamination": OP7_BENCHMARK_DECONTAMINATION,
+    }
