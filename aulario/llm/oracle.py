@@ -2,6 +2,20 @@
 
 from __future__ import annotations
 
+OP1_EXACT_TOP_K = """
+WITH vectors AS (
+    SELECT vec_id, [floor(1024 * x::DOUBLE) FOR x IN embedding] AS v
+    FROM embeddings
+    WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+), scored AS (
+    SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+    FROM vectors q JOIN vectors c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id
+)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
+FROM scored
+QUALIFY rank <= 10
+"""
+
 OP2_SUBSTRING_DEDUP = r"""
 WITH texts AS (
     SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
@@ -67,6 +81,7 @@ FROM texts t LEFT JOIN hit h USING (doc_id) LEFT JOIN named x USING (doc_id)
 
 def corpus_sql() -> dict[str, str]:
     return {
+        "op1_exact_top_k": OP1_EXACT_TOP_K,
         "op2_substring_dedup": OP2_SUBSTRING_DEDUP,
         "op7_benchmark_decontamination": OP7_BENCHMARK_DECONTAMINATION,
     }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aulario.llm import decontamination, sentencepiece, simhash, substrings
+from aulario.llm import decontamination, sentencepiece, simhash, substrings, topk
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,11 @@ def digest(column: Column) -> Column:
     return F.sha2(column.cast("binary"), 256)
 
 
+def op1_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = topk.integer_vectors(table(spark, sf_dir, "embeddings"), scale=1024)
+    return topk.top_k(vectors.where("vec_id % 100 = 0"), vectors, k=10)
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substrings.remove_repeated_passages(table(spark, sf_dir, "documents"), window=13)
     return found.select("doc_id", "n_words", "n_removed", digest(F.col("kept")).alias("kept_sha256"))
@@ -55,5 +60,5 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def corpus_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op2_substring_dedup, op5_simhash_near_dedup, op7_benchmark_decontamination, op9_sentencepiece]
+    found = [op1_exact_top_k, op2_substring_dedup, op5_simhash_near_dedup, op7_benchmark_decontamination, op9_sentencepiece]
     return {f.__name__: f for f in found}
