@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aulario.llm import decontamination, sentencepiece, simhash, substrings, topk
+from aulario.llm import decontamination, sentencepiece, simhash, substrings, topk, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,23 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", digest(F.col("kept")).alias("kept_sha256"))
 
 
+def held_out(rest: int, by: int) -> Column:
+    """Whether crc32 of the doc_id as text leaves this remainder."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % by == rest
+
+
+def learned_labels(labels: DataFrame, column: str, rest: int, by: int) -> DataFrame:
+    return labels.where(~held_out(rest, by)).select("doc_id", F.col(column).alias("label"))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, learned_labels(table(spark, sf_dir, "labels"), "toxic", 1, 3))
+    return toxicity.score(docs, model).select(
+        "doc_id", held_out(1, 3).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted")
+    )
+
+
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, distance=4)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
@@ -60,5 +77,5 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def corpus_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_exact_top_k, op2_substring_dedup, op5_simhash_near_dedup, op7_benchmark_decontamination, op9_sentencepiece]
+    found = [op1_exact_top_k, op2_substring_dedup, op3_toxicity, op5_simhash_near_dedup, op7_benchmark_decontamination, op9_sentencepiece]
     return {f.__name__: f for f in found}
