@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aulario.llm import decontamination, sentencepiece, simhash, substrings, topk, toxicity
+from aulario.llm import decontamination, quality, sentencepiece, simhash, substrings, topk, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,6 +76,14 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.train(docs, learned_labels(table(spark, sf_dir, "labels"), "quality", 0, 5))
+    return quality.score(docs, model).select(
+        "doc_id", held_out(0, 5).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted")
+    )
+
+
 def corpus_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_exact_top_k, op2_substring_dedup, op3_toxicity, op5_simhash_near_dedup, op7_benchmark_decontamination, op9_sentencepiece]
+    found = [op1_exact_top_k, op2_substring_dedup, op3_toxicity, op5_simhash_near_dedup, op7_benchmark_decontamination, op9_sentencepiece, op10_quality_classifier]
     return {f.__name__: f for f in found}
