@@ -25,13 +25,13 @@ BITS = 22
 UNIT = 300
 MOST = 2.0
 #: Features are the strongest so many of those in at least LEAST_TEXTS training texts.
-FEATURES = 1 << 15
+FEATURES = 1 << 14
 LEAST_TEXTS = 5
 SMOOTHING = 1.0
 RIDGE = 1e-4
 ROUNDS = 200
 #: Labelled texts that the classifier is fitted on, at most, of each class: those whose ids have the least hashes.
-SAMPLE_PER_CLASS = 3000
+SAMPLE_PER_CLASS = 2000
 
 
 def _features(
@@ -145,8 +145,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS)
     sample, counts = labelled_sample(docs, labels, per_class)
     toxic, other = counts.get(1, 0), counts.get(0, 0)
     prior = float(np.log((toxic + 0.5) / (other + 0.5)))
-    sizes = {r[0]: r[1] for r in sample.groupBy("label").count().collect()}
-    strongest = _strongest(sample) if len(sizes) == 2 else []
+    strongest = _strongest(sample) if sample.select("label").distinct().count() == 2 else []
     if not strongest:
         return Model(np.zeros(0, np.int64), np.zeros(0), prior)
     chosen = np.array([b for b, _ in strongest], dtype=np.int64)
@@ -157,7 +156,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS)
         for batch in batches:
             for part in slices(batch):
                 _, bucket, value, bounds = _features(part.column(1).to_pylist(), wanted)
-                columns, value = np.searchsorted(chosen, bucket).astype("<u4"), value.astype("<f4")
+                columns, value = np.searchsorted(chosen, bucket).astype("<u2"), value.astype("<f2")
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0),
@@ -168,10 +167,12 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS)
                 )
 
     rows = sample.mapInArrow(run, "label int, columns binary, value binary").toArrow()
-    columns = [np.frombuffer(x, "<u4") for x in rows.column("columns").to_pylist()]
-    value = np.frombuffer(b"".join(rows.column("value").to_pylist()), "<f4").astype(np.float64)
     y = rows.column("label").to_numpy().astype(np.float64)
-    x = Rows(np.repeat(np.arange(len(y)), [len(c) for c in columns]), np.concatenate(columns), len(y), len(chosen))
+    sizes = [len(x) // 2 for x in rows.column("columns").to_pylist()]
+    columns = np.frombuffer(b"".join(rows.column("columns").to_pylist()), "<u2").astype(np.int32)
+    value = np.frombuffer(b"".join(rows.column("value").to_pylist()), "<f2").astype(np.float32)
+    del rows
+    x = Rows(np.repeat(np.arange(len(y), dtype=np.int32), sizes), columns, len(y), len(chosen))
     weight, bias = _logistic(x, value, np.array([r for _, r in strongest]), y)
     share = np.log(y.sum() / (len(y) - y.sum()))
     return Model(chosen, weight.astype(np.float32), bias + prior - float(share))
