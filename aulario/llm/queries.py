@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aulario.llm import decontamination, quality, sentencepiece, simhash, substrings, topk, toxicity
+from aulario.llm import decontamination, quality, sentencepiece, sharding, simhash, substrings, topk, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,6 +50,21 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    checksum = F.crc32(F.coalesce("text", F.lit("")).cast("binary")).cast("long")
+    found = sharding.shard_documents(docs.withColumn("text_crc32", checksum), shards=8)
+    return found.select(
+        "doc_id",
+        "size",
+        "text_crc32",
+        F.lit("bytes").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = decontamination.positional_index(table(spark, sf_dir, "documents"))
     found = decontamination.find_items(index, table(spark, sf_dir, "benchmark"), window=10)
@@ -85,5 +100,5 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def corpus_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_exact_top_k, op2_substring_dedup, op3_toxicity, op5_simhash_near_dedup, op7_benchmark_decontamination, op9_sentencepiece, op10_quality_classifier]
+    found = [op1_exact_top_k, op2_substring_dedup, op3_toxicity, op5_simhash_near_dedup, op6_sharding, op7_benchmark_decontamination, op9_sentencepiece, op10_quality_classifier]
     return {f.__name__: f for f in found}
