@@ -78,10 +78,34 @@ SELECT t.doc_id, len(t.words)::BIGINT AS n_words, coalesce(h.n_hit, 0)::BIGINT A
 FROM texts t LEFT JOIN hit h USING (doc_id) LEFT JOIN named x USING (doc_id)
 """
 
+OP8_LINE_DEDUP = """
+WITH lines AS (
+    SELECT doc_id, source, pos, lines[pos] AS line, trim(lines[pos]) AS same
+    FROM (
+        SELECT doc_id, source, lines, unnest(range(1, len(lines) + 1)) AS pos
+        FROM (SELECT doc_id, source, string_split(text, chr(10)) AS lines FROM documents WHERE text IS NOT NULL)
+    )
+), spread AS (
+    SELECT same, min({'d': doc_id, 'p': pos}) AS first_place
+    FROM lines WHERE same <> '' GROUP BY same HAVING count(DISTINCT source) >= 10
+), judged AS (
+    SELECT l.*, s.same IS NOT NULL AND first_place <> {'d': doc_id, 'p': pos} AS gone
+    FROM lines l LEFT JOIN spread s USING (same)
+), texts AS (
+    SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed,
+        string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone) AS text
+    FROM judged GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(t.n_lines, 0)::BIGINT AS n_lines, coalesce(t.n_removed, 0)::BIGINT AS n_removed,
+    sha256(coalesce(t.text, '')) AS kept_sha256
+FROM documents d LEFT JOIN texts t USING (doc_id)
+"""
+
 
 def corpus_sql() -> dict[str, str]:
     return {
         "op1_exact_top_k": OP1_EXACT_TOP_K,
         "op2_substring_dedup": OP2_SUBSTRING_DEDUP,
         "op7_benchmark_decontamination": OP7_BENCHMARK_DECONTAMINATION,
+        "op8_line_dedup": OP8_LINE_DEDUP,
     }

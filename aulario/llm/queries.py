@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aulario.llm import decontamination, quality, sentencepiece, sharding, simhash, substrings, topk, toxicity
+from aulario.llm import decontamination, lines, quality, sentencepiece, sharding, simhash, substrings, topk, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -78,6 +78,12 @@ def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    found = lines.remove_boilerplate(docs, min_sites=10)
+    return found.select("doc_id", "n_lines", "n_removed", digest(F.coalesce("text", F.lit(""))).alias("kept_sha256"))
+
+
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -100,5 +106,5 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def corpus_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_exact_top_k, op2_substring_dedup, op3_toxicity, op5_simhash_near_dedup, op6_sharding, op7_benchmark_decontamination, op9_sentencepiece, op10_quality_classifier]
+    found = [op1_exact_top_k, op2_substring_dedup, op3_toxicity, op5_simhash_near_dedup, op6_sharding, op7_benchmark_decontamination, op8_line_dedup, op9_sentencepiece, op10_quality_classifier]
     return {f.__name__: f for f in found}
