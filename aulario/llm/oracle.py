@@ -39,6 +39,26 @@ SELECT t.doc_id, len(t.words)::BIGINT AS n_words, (len(t.words) - coalesce(k.n,
 FROM texts t LEFT JOIN kept k USING (doc_id)
 """
 
+OP4_CHAT_FORMATTING = r"""
+WITH turns AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    WHERE conv_id IS NOT NULL
+    UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+    UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+), written AS (
+    SELECT *, len(role) + len(text) + len(regexp_replace(role || text, '[^\\]', '', 'g'))
+        + len(regexp_extract_all(role, '</?turn>|<\|')) + len(regexp_extract_all(text, '</?turn>|<\|')) + 22 AS chars
+    FROM turns
+)
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+    sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+    coalesce(sum(len(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+    sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), ''))
+        AS loss_sha256,
+    sum(chars)::BIGINT AS formatted_chars
+FROM written GROUP BY conv_id
+"""
+
 OP7_BENCHMARK_DECONTAMINATION = r"""
 WITH texts AS (
     SELECT doc_id, regexp_extract_all(
@@ -106,6 +126,7 @@ def corpus_sql() -> dict[str, str]:
     return {
         "op1_exact_top_k": OP1_EXACT_TOP_K,
         "op2_substring_dedup": OP2_SUBSTRING_DEDUP,
+        "op4_chat_formatting": OP4_CHAT_FORMATTING,
         "op7_benchmark_decontamination": OP7_BENCHMARK_DECONTAMINATION,
         "op8_line_dedup": OP8_LINE_DEDUP,
     }

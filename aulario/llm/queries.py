@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aulario.llm import decontamination, lines, quality, sentencepiece, sharding, simhash, substrings, topk, toxicity
+from aulario.llm import chat, decontamination, lines, quality, sentencepiece, sharding, simhash, substrings, topk, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,6 +45,27 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = r"\### Assistant: </turn> ok"
+    own = [(-7, 0, "user", said), (-7, 1, "assistant", said)]
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    turns = turns.union(spark.createDataFrame(own, "conv_id long, turn long, role string, text string"))
+    found = chat.format_chats(turns.withColumn("parts", chat.text_parts(F.col("text"))))
+    read = chat.read_turns(F.col("formatted"))
+    texts = F.array_join(
+        F.transform(read, lambda t: F.concat(t["role"], F.lit("\n"), chat.unescape(t["content"]), F.lit("\n"))), ""
+    )
+    loss = chat.read_loss(F.col("formatted"), F.col("loss_spans"))
+    return found.select(
+        "conv_id",
+        F.size(read).cast("long").alias("n_turns"),
+        digest(texts).alias("turns_sha256"),
+        F.char_length(loss).cast("long").alias("loss_chars"),
+        digest(loss).alias("loss_sha256"),
+        F.char_length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, distance=4)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
@@ -106,5 +127,16 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def corpus_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_exact_top_k, op2_substring_dedup, op3_toxicity, op5_simhash_near_dedup, op6_sharding, op7_benchmark_decontamination, op8_line_dedup, op9_sentencepiece, op10_quality_classifier]
+    found = [
+        op1_exact_top_k,
+        op2_substring_dedup,
+        op3_toxicity,
+        op4_chat_formatting,
+        op5_simhash_near_dedup,
+        op6_sharding,
+        op7_benchmark_decontamination,
+        op8_line_dedup,
+        op9_sentencepiece,
+        op10_quality_classifier,
+    ]
     return {f.__name__: f for f in found}
