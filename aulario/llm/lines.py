@@ -59,17 +59,8 @@ def widespread(lines: DataFrame, min_sites: int) -> DataFrame:
     return clear.select("h1", "h2", "first").union(near.join(exact, ["h1", "h2"]).select("h1", "h2", "first"))
 
 
-def remove_boilerplate(docs: DataFrame, min_sites: int = 10, site: str = "source") -> DataFrame:
-    """The rows of `docs` (doc_id, text, a site column, any others) with boilerplate lines taken out of the text.
-
-    Adds `n_lines` and `n_removed` (long); columns of these names are replaced. A line is boilerplate if the same line,
-    but for spaces at its ends, is on at least `min_sites` distinct sites; its first occurrence (least doc_id, then
-    position) stays. Blank lines are never boilerplate. Other lines and their order are unchanged.
-
-    A null text has no lines and stays null; an empty text has one blank line. doc_id names a document: of rows with
-    one doc_id all lose a line that any of them is to lose at that position. Rows without doc_id stay as they are and
-    do not count. An empty table gives an empty table.
-    """
+def _cleaned(docs: DataFrame, min_sites: int, site: str) -> tuple[DataFrame, Column, Column, Column]:
+    """`docs` with the marks of its lines, and of them the new text, the number of lines and of those left."""
     lines = written(line_table(docs.select("doc_id", "text", site), site))
     spread = written(widespread(lines, min_sites))
     marks = spread.select(F.col("h1").alias("b1"), F.col("h2").alias("b2"), "first")
@@ -80,13 +71,38 @@ def remove_boilerplate(docs: DataFrame, min_sites: int = 10, site: str = "source
     gone = marked.groupBy("owner").agg(F.array_sort(F.collect_set("pos")).alias("gone"))
     ends = F.transform("gone", lambda p, i: p - F.when(i > 0, F.element_at("gone", i)).otherwise(-1))
     flags = F.array_join(F.transform(ends, lambda gap: F.concat(F.repeat(F.lit("k"), gap - 1), F.lit("g"))), "")
-    flagged = gone.select("owner", F.encode(flags, "US-ASCII").alias("flags"))
-    own = docs.select(*[f"`{c}`" for c in docs.columns if c not in ("n_lines", "n_removed")])
-    all_lines = split_lines(F.col("text"))
-    kept = F.filter(all_lines, lambda _, i: F.coalesce(F.substring("flags", i + 1, 1) != F.lit(b"g"), F.lit(True)))
-    both = own.join(flagged, F.col("doc_id") == F.col("owner"), "left")
-    text = F.when(F.col("flags").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    flagged = gone.select(F.col("owner").alias("_owner"), F.encode(flags, "US-ASCII").alias("_flags"))
+    all_lines = split_lines(docs["text"])
+    kept = F.filter(all_lines, lambda _, i: F.coalesce(F.substring("_flags", i + 1, 1) != F.lit(b"g"), F.lit(True)))
+    both = docs.join(flagged, docs["doc_id"] == F.col("_owner"), "left")
+    text = F.when(F.col("_flags").isNull(), docs["text"]).otherwise(F.array_join(kept, "\n"))
     size = F.greatest(F.size(all_lines), F.lit(0)).cast("long")
-    left = F.when(F.col("flags").isNull(), size).otherwise(F.size(kept).cast("long"))
-    columns = [text.alias("text") if c == "text" else F.col(f"`{c}`") for c in own.columns]
+    left = F.when(F.col("_flags").isNull(), size).otherwise(F.size(kept).cast("long"))
+    return both, text, size, left
+
+
+def remove_boilerplate(docs: DataFrame, min_sites: int = 10, site: str = "source") -> DataFrame:
+    """The rows of `docs` (doc_id, text, a site column, any others) with boilerplate lines taken out of the text.
+
+    Adds `n_lines` and `n_removed` (long); columns of these names are replaced. A line is boilerplate if the same line,
+    but for spaces at its ends, is on at least `min_sites` distinct sites; its first occurrence (least doc_id, then
+    position) stays. Blank lines are never boilerplate. Other lines and their order are unchanged.
+
+    A null text has no lines and stays null; an empty text has one blank line. doc_id names a document: of rows with
+    one doc_id all lose a line that any of them is to lose at that position. Rows without doc_id stay as they are and
+    do not count. An empty table gives an empty table.
+    """
+    both, text, size, left = _cleaned(docs, min_sites, site)
+    kept = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    columns = [text.alias("text") if c == "text" else docs[f"`{c}`"] for c in kept]
     return both.select(*columns, size.alias("n_lines"), (size - left).alias("n_removed"))
+
+
+def without_boilerplate(docs: DataFrame, min_sites: int = 10, site: str = "source") -> DataFrame:
+    """As `remove_boilerplate`, with just the columns of `docs`; `n_chars`, if there, follows the text."""
+    both, text, _, _ = _cleaned(docs, min_sites, site)
+    chars = F.char_length(text).cast("long")
+    new = {"text": text}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(F.col("_flags").isNull(), docs["n_chars"]).otherwise(chars)
+    return both.select(*[new[c].alias(c) if c in new else docs[f"`{c}`"] for c in docs.columns])

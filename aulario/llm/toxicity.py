@@ -194,3 +194,16 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double")
+
+
+def without_toxic(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
+    """The rows of `docs`, with all their columns, whose texts score below the threshold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = model.table()
+        for batch in batches:
+            for part in slices(batch):
+                texts = part.column(part.schema.get_field_index("text")).to_pylist()
+                yield part.filter(pa.array(scores(texts, table, model.bias) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
