@@ -25,7 +25,7 @@ SPACE = "▁"
 
 #: Encoded chunks that a Python process remembers: twice as many at most, each of at most so many characters. It
 #: saves work only.
-KEPT_CHUNKS = 250_000
+KEPT_CHUNKS = 150_000
 KEPT_LENGTH = 48
 NEVER = float("inf")
 
@@ -77,9 +77,9 @@ class MergeCodec:
         self.automaton.make_automaton()
         self.beside = {a + b for piece in self.ids for a, b in zip(piece, piece[1:])}
         self.edges: dict[str, tuple[list, list]] = {}
-        self.compatible = Memory(self.fits)
+        self.compatible = Memory(self.fits, KEPT_CHUNKS // 2)
         self.known = Memory(self.chunk)
-        self.inner = Memory(self.bounded)
+        self.inner = Memory(self.bounded, KEPT_CHUNKS // 2)
         # a chunk is some spaces and what follows up to the next space, if no piece goes on with a space
         spaced = any(pair[1] == SPACE != pair[0] for pair in self.beside)
         feed = "\n" if not any("\n" in pair for pair in self.beside) else ""

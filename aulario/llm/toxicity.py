@@ -32,6 +32,8 @@ RIDGE = 1e-4
 ROUNDS = 200
 #: Labelled texts that the classifier is fitted on, at most, of each class: those whose ids have the least hashes.
 SAMPLE_PER_CLASS = 2000
+#: Text whose n-grams are in memory at once, in bytes, or one text.
+AT_ONCE = 1 << 18
 
 
 def _features(
@@ -90,7 +92,7 @@ def _strongest(sample: DataFrame) -> list[tuple[int, float]]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, most=AT_ONCE):
                 toxic = part.column(0).to_numpy() == 1
                 text, bucket, value, _ = _features(part.column(1).to_pylist())
                 found, back = np.unique(bucket, return_inverse=True)
@@ -154,7 +156,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS)
         wanted = np.zeros(1 << BITS, dtype=bool)
         wanted[chosen] = True
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, most=AT_ONCE):
                 _, bucket, value, bounds = _features(part.column(1).to_pylist(), wanted)
                 columns, value = np.searchsorted(chosen, bucket).astype("<u2"), value.astype("<f2")
                 yield pa.RecordBatch.from_arrays(
@@ -188,7 +190,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = model.table()
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, most=AT_ONCE):
                 found = scores(part.column(1).to_pylist(), table, model.bias)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found)], ["doc_id", "score"])
 
@@ -202,7 +204,7 @@ def without_toxic(docs: DataFrame, model: Model, threshold: float = 0.7) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = model.table()
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, most=AT_ONCE):
                 texts = part.column(part.schema.get_field_index("text")).to_pylist()
                 yield part.filter(pa.array(scores(texts, table, model.bias) < threshold))
 
