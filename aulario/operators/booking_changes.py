@@ -25,7 +25,7 @@ from aulario.operators.changes import (
     update_rows,
 )
 from aulario.operators.rules import CI, mark
-from aulario.operators.sequencing import TAIL_ROWS, Limit, admit_in_order
+from aulario.operators.sequencing import Limit, admit_in_order
 from aulario.sources.schemas import MAX_BOOKINGS_PER_DAY, MAX_BOOKINGS_PER_WEEK
 from aulario.tables import ROOM, SLOT, Tables
 
@@ -45,15 +45,14 @@ def admit_bookings(
     t: Tables,
     as_of: Date,
     not_before: Date | None = None,
-    tail_rows: int = TAIL_ROWS,
 ) -> ChangeResult:
     """Book rooms in request order.
 
-    Checks per request: valid data, no sanction in force, room allowed, then for
-    unprivileged participants the daily and the weekly quota, then the slot. Each
-    request meets the bookings granted before it. A granted request becomes an active
-    booking with the requester as its participant; with capacities above zero one
-    person always fits.
+    Checks per request: valid data, known participant and slot, no sanction in force, room
+    allowed, then for unprivileged participants the daily and the weekly quota, then the
+    slot. Each request meets the bookings granted before it. A granted request becomes an
+    active booking with the requester as its participant; capacities are above zero (a rule
+    of the audit), so one person always fits and no capacity is read.
     """
     columns = requests.columns
     valid = F.lit(True)
@@ -61,13 +60,17 @@ def admit_bookings(
         valid = valid & F.col(column).isNotNull()
     if not_before is not None:
         valid = valid & (F.col("fecha") >= F.lit(str(not_before)).cast("date"))
-    judged = rules.room_allowed(rules.no_sanction(requests, t, as_of), t)
+    judged = rules.exists_in(requests, t.participante, {CI: "ci"}, "existe")
+    judged = rules.exists_in(judged, t.turno, {"id_turno": "id_turno"}, "hay_turno")
+    judged = rules.room_allowed(rules.no_sanction(judged, t, as_of), t)
     judged = rules.slot_free(rules.booked_that_day(judged, t), t)
     judged = cut(
         judged.withColumn(
             "motivo",
             first_reason(
                 ("datos_invalidos", valid),
+                ("participante_inexistente", F.col("existe")),
+                ("turno_inexistente", F.col("hay_turno")),
                 ("sancion_activa", F.col("sin_sancion")),
                 ("sala_no_permitida", F.col("sala_permitida")),
             ),
@@ -85,7 +88,6 @@ def admit_bookings(
             Limit([CI, "fecha"], "libre_dia", MAX_BOOKINGS_PER_DAY, "con_cuota"),
             Limit([CI, "lunes"], "libre_semana", MAX_BOOKINGS_PER_WEEK, "con_cuota"),
         ],
-        tail_rows,
     )
     subject = F.col("con_cuota")
     refused = (
@@ -129,7 +131,8 @@ def move_bookings(moves: DataFrame, t: Tables) -> ChangeResult:
     judged = rules.slot_free_for_move(moves, t)
     judged = rules.exists_in(judged, _touched(t, moves), {"id_reserva": "id_reserva"}, "existe")
     judged = rules.exists_in(judged, t.sala, {c: c for c in ROOM}, "hay_sala")
-    fit = F.col("existe") & F.col("turno_libre") & F.col("hay_sala")
+    judged = rules.exists_in(judged, t.turno, {"id_turno": "id_turno"}, "hay_turno")
+    fit = F.col("existe") & F.col("turno_libre") & F.col("hay_sala") & F.col("hay_turno")
     judged = mark_first(judged, ["id_reserva"], "primera", fit)
     judged = mark_first(judged, SLOT, "primera_en_turno", fit & F.col("primera"))
     judged = judged.withColumn(
@@ -138,6 +141,7 @@ def move_bookings(moves: DataFrame, t: Tables) -> ChangeResult:
             ("turno_ocupado", F.col("turno_libre")),
             ("reserva_inexistente", F.col("existe")),
             ("sala_inexistente", F.col("hay_sala")),
+            ("turno_inexistente", F.col("hay_turno")),
             ("repetida", F.col("primera")),
             ("turno_ocupado", F.col("primera_en_turno")),
         ),
@@ -148,13 +152,11 @@ def move_bookings(moves: DataFrame, t: Tables) -> ChangeResult:
 
 
 def _touched(t: Tables, asked: DataFrame) -> DataFrame:
-    return t.reserva.join(asked.select("id_reserva").distinct(), "id_reserva", "left_semi")
+    return t.reserva.join(asked.select("id_reserva"), "id_reserva", "left_semi")
 
 
 def _touched_people(t: Tables, asked: DataFrame) -> DataFrame:
-    return t.reserva_participante.join(
-        asked.select("id_reserva").distinct(), "id_reserva", "left_semi"
-    )
+    return t.reserva_participante.join(asked.select("id_reserva"), "id_reserva", "left_semi")
 
 
 def set_status(changes: DataFrame, t: Tables, own_only: bool = False) -> ChangeResult:
@@ -181,7 +183,10 @@ def cancel_bookings(changes: DataFrame, t: Tables, own_only: bool = False) -> Ch
 
 
 def purge_bookings(asked: DataFrame, t: Tables) -> ChangeResult:
-    """Delete cancelled and unattended bookings together with their participations."""
+    """Delete cancelled and unattended bookings together with their participations.
+
+    A booking is deleted once; later requests for it find it no more.
+    """
     columns = asked.columns
     states = _touched(t, asked).select("id_reserva", "estado")
     judged = asked.join(states, "id_reserva", "left").withColumn(
@@ -191,6 +196,9 @@ def purge_bookings(asked: DataFrame, t: Tables) -> ChangeResult:
             ("estado_no_permitido", F.col("estado").isin("cancelada", "sin asistencia")),
         ),
     )
+    judged = mark_first(judged, ["id_reserva"], "primera", F.col("motivo").isNull()).withColumn(
+        "motivo", F.coalesce("motivo", F.when(~F.col("primera"), "reserva_inexistente"))
+    )
     accepted, rejected = split(judged, *columns)
     return ChangeResult(_without_bookings(t, accepted), accepted, rejected)
 

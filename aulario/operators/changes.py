@@ -104,7 +104,7 @@ def insert_rows(state: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def delete_rows(state: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
-    return state.join(gone.select(*keys).distinct(), keys, "left_anti")
+    return state.join(gone.select(*keys), keys, "left_anti")
 
 
 def cut(df: DataFrame) -> DataFrame:

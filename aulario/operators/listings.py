@@ -27,9 +27,8 @@ LISTING_LIMIT = 100
 CONSOLE_LIMIT = 50
 OWN_LIMIT = 20
 DASHBOARD_LIMIT = 10
-PAGE_SIZE = 1000
-# A page of ids up to this size is small enough to send to every task.
-BROADCAST_IDS = 10_000
+# Rows over which the participants of each booking are spread in the nested listing.
+PARTS = 16
 
 
 def _is(**values: object) -> Column | None:
@@ -48,15 +47,12 @@ def _pick(df: DataFrame, **values: object) -> DataFrame:
 def latest_bookings(t: Tables, limit: int = LISTING_LIMIT) -> DataFrame:
     """The newest bookings with slot label and number of participants.
 
-    The page is cut before participants are counted. It holds at most ``limit`` rows;
-    up to ``BROADCAST_IDS`` its ids are broadcast and the participations only scanned.
+    The page is cut before participants are counted, and they are counted for it only.
     """
     newest = [F.desc("fecha"), F.desc("hora_inicio"), F.desc("id_reserva")]
     page = t.reserva.join(t.turno, "id_turno").orderBy(*newest).limit(limit)
     ids = page.select("id_reserva")
-    if limit <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    people = participants_by_booking(t.reserva_participante.join(ids, "id_reserva"))
+    people = participants_by_booking(t.reserva_participante.join(ids, "id_reserva", "left_semi"))
     return (
         page.join(people, "id_reserva", "left")
         .select(
@@ -105,36 +101,26 @@ def booking_participants(t: Tables, id_reserva: object = None) -> DataFrame:
     )
 
 
-def bookings_with_participants(
-    t: Tables, id_reserva: object = None, page_size: int = PAGE_SIZE
-) -> DataFrame:
-    """Bookings with their participants as a nested list, ordered by identity number.
+def bookings_with_participants(t: Tables, id_reserva: object = None) -> DataFrame:
+    """Bookings with their participants as nested lists, ordered by identity number.
 
-    A list is one value in one row, so a booking with very many participants is
-    spread over ``paginas`` rows of about ``page_size`` each; every booking that
-    fits one page is one row. Pages come from a hash of the participant, and rows are
-    shuffled by booking and page, so a crowded booking is collected by many tasks.
+    The participants of every booking are spread over ``PARTS`` numbered parts by a digest of
+    the identity number; a row holds one part (``parte``), and a booking without participants
+    has one row with an empty list. So a crowded booking is collected by many tasks, and
+    small ones look the same whatever the size of others.
     """
-    people = booking_participants(t, id_reserva)
-    pages = F.greatest(F.ceil(F.col("num_participantes") / page_size), F.lit(1)).cast("int")
-    sized = participants_by_booking(_pick(t.reserva_participante, id_reserva=id_reserva)).select(
-        "id_reserva", pages.alias("paginas")
-    )
     person = F.struct("ci_participante", "nombre", "apellido", "email", "asistencia")
+    digest = F.md5(F.col("ci_participante").cast("string").cast("binary"))
     lists = (
-        people.join(sized.filter("paginas > 1"), "id_reserva", "left")
-        .withColumn("paginas", F.coalesce("paginas", F.lit(1)))
-        .withColumn("pagina", F.pmod(F.xxhash64("ci_participante"), "paginas").cast("int"))
-        # Without this the partitioning of the join, by booking alone, would be kept.
-        .repartition("id_reserva", "pagina")
-        .groupBy("id_reserva", "pagina", "paginas")
+        booking_participants(t, id_reserva)
+        .withColumn("parte", F.conv(F.substring(digest, 1, 1), 16, 10).cast("int") % PARTS)
+        .groupBy("id_reserva", "parte")
         .agg(F.array_sort(F.collect_list(person)).alias("participantes"))
     )
     return (
         bookings_detailed(t, id_reserva)
         .join(lists, "id_reserva", "left")
-        .withColumn("pagina", F.coalesce("pagina", F.lit(0)))
-        .withColumn("paginas", F.coalesce("paginas", F.lit(1)))
+        .withColumn("parte", F.coalesce("parte", F.lit(0)))
         .withColumn("participantes", F.coalesce("participantes", F.array()))
     )
 
@@ -291,10 +277,13 @@ def available_participants(t: Tables) -> DataFrame:
     """How many participants each booking could still be offered to.
 
     The names themselves would be all pairs of bookings and participants; the
-    count is the number of participants less the ones already inside.
+    count is the number of participants less the known ones already inside.
     """
     everyone = t.participante.agg(F.count("*").alias("n")).scalar()
-    inside = participants_by_booking(t.reserva_participante)
+    known = t.participante.select(F.col("ci").alias("ci_participante"))
+    inside = participants_by_booking(
+        t.reserva_participante.join(known, "ci_participante", "left_semi")
+    )
     return t.reserva.join(inside, "id_reserva", "left").select(
         "id_reserva", (everyone - or_zero("num_participantes")).alias("disponibles")
     )

@@ -21,7 +21,7 @@ from aulario.operators.changes import (
     update_rows,
 )
 from aulario.operators.rules import CI, mark
-from aulario.operators.sequencing import TAIL_ROWS, Limit, admit_in_order
+from aulario.operators.sequencing import Limit, admit_in_order
 from aulario.sources.schemas import ROLES
 from aulario.tables import Tables
 
@@ -31,9 +31,7 @@ def normal_role(column: str = "rol") -> F.Column:
     return F.when(F.col(column) == "estudiante", "alumno").otherwise(F.col(column))
 
 
-def register_participants(
-    people: DataFrame, t: Tables, tail_rows: int = TAIL_ROWS
-) -> ChangeResult:
+def register_participants(people: DataFrame, t: Tables) -> ChangeResult:
     """Load participants with their first enrolment, in request order.
 
     Identity number and email must each be new: not in the state and not taken by a
@@ -61,7 +59,6 @@ def register_participants(
     granted = admit_in_order(
         judged.filter(F.col("motivo").isNull()).withColumn("libre_email", F.col("libre")),
         [Limit(["ci"], "libre", 1), Limit(["email"], "libre_email", 1)],
-        tail_rows,
     )
     judged = mark(judged, granted, [ID], "concedida").withColumn(
         "motivo", F.coalesce("motivo", F.when(~F.col("concedida"), "ya_registrado"))
@@ -84,27 +81,38 @@ def update_participants(changes: DataFrame, t: Tables) -> ChangeResult:
     """Change names and emails.
 
     Emails are judged against the state before the batch: one that another participant has
-    is refused, even when that participant changes it in the same batch. Of several valid
-    changes of a participant the last counts, and an email goes to its earliest request.
+    is refused, even when that participant changes it in the same batch. An email goes to
+    the participant who first asks for it and stays theirs for the batch. Of several granted
+    changes of a participant the last counts; a refused one replaces nothing.
     """
     columns = changes.columns
     judged = mark(changes, t.participante, ["ci"], "existe")
-    holders = t.participante.join(
-        changes.select("email").distinct(), "email", "left_semi"
-    ).select("email", F.col("ci").alias("titular"))
-    judged = judged.join(holders, "email", "left").withColumn(
-        "email_libre", F.col("titular").isNull() | (F.col("titular") == F.col("ci"))
+    # Several holders of one email are an error in the state; a row each would repeat requests.
+    holders = (
+        t.participante.join(changes.select("email"), "email", "left_semi")
+        .groupBy("email")
+        .agg(F.min("ci").alias("titular"), F.max("ci").alias("otro_titular"))
+    )
+    own = (F.col("titular") == F.col("ci")) & (F.col("otro_titular") == F.col("ci"))
+    judged = cut(
+        judged.join(holders, "email", "left").withColumn(
+            "email_libre", F.col("titular").isNull() | own
+        )
     )
     fit = F.col("existe") & F.col("email_libre")
-    latest = judged.filter(fit).groupBy("ci").agg(F.max(turn()).alias("t")).select(f"t.{ID}")
-    judged = mark(judged, latest, [ID], "vigente")
-    judged = mark_first(judged, ["email"], "primera", fit & F.col("vigente")).withColumn(
+    first = F.min(F.struct(turn().alias("turno"), F.col("ci"))).alias("p")
+    takers = judged.filter(fit).groupBy("email").agg(first).select("email", F.col("p.ci").alias("dueno"))
+    judged = judged.join(takers, "email", "left").withColumn(
+        "concedida", fit & F.coalesce(F.col("dueno") == F.col("ci"), F.lit(False))
+    )
+    judged = cut(judged)
+    latest = judged.filter("concedida").groupBy("ci").agg(F.max(turn()).alias("t")).select(f"t.{ID}")
+    judged = mark(judged, latest, [ID], "vigente").withColumn(
         "motivo",
         first_reason(
             ("participante_inexistente", F.col("existe")),
-            ("email_registrado", F.col("email_libre")),
+            ("email_registrado", F.col("email_libre") & F.col("concedida")),
             ("reemplazada", F.col("vigente")),
-            ("email_registrado", F.col("primera")),
         ),
     )
     accepted, rejected = split(judged, *columns)

@@ -28,21 +28,13 @@ from aulario.operators.aggregates import (
     sanctions_by_participant,
     usage_by_room,
 )
-from aulario.tables import MONTH, ROOM, Tables
+from aulario.tables import ROOM, Tables
 
 TOP = 10
 OCCUPANCY_DAYS = 30
 TREND_WEEKS = 8
 
 
-def bookings_since(reserva: DataFrame, first: Column) -> DataFrame:
-    """Bookings from a date on; of bookings stored by month only the months needed are read."""
-    since = reserva.filter(F.col("fecha") >= first)
-    if MONTH in reserva.columns:
-        since = since.filter(F.col(MONTH) >= F.date_format(first, "yyyy-MM"))
-    return since
-
-
 def most_booked_rooms(t: Tables, as_of: Date) -> DataFrame:
     usage = usage_by_room(t.reserva)
     return (
@@ -93,14 +85,14 @@ def mean_participants(t: Tables, as_of: Date) -> DataFrame:
 
 
 def bookings_by_programme(t: Tables, as_of: Date) -> DataFrame:
-    """Distinct bookings per programme.
+    """Distinct existing bookings per programme.
 
-    Participations always belong to an existing booking (a foreign key the audit
-    checks), so the bookings themselves need not be read. The distinct pairs are
-    formed before counting, which keeps one popular programme from becoming one task.
+    The distinct pairs are formed before counting, which keeps one popular programme from
+    becoming one task.
     """
     counts = (
-        t.reserva_participante.join(
+        t.reserva_participante.join(t.reserva.select("id_reserva"), "id_reserva", "left_semi")
+        .join(
             t.participante_programa_academico.select("ci_participante", "nombre_programa"),
             "ci_participante",
         )
@@ -128,7 +120,7 @@ def occupancy_by_building(t: Tables, as_of: Date) -> DataFrame:
     The date bound narrows the bookings before the outer joins, so buildings
     without recent bookings, or without rooms, stay in the result.
     """
-    recent = bookings_since(t.reserva, F.date_sub(day(as_of), OCCUPANCY_DAYS))
+    recent = t.reserva_since(F.date_sub(day(as_of), OCCUPANCY_DAYS))
     rooms = (
         t.sala.join(usage_by_room(recent), ROOM, "left")
         .groupBy("edificio")
@@ -240,7 +232,7 @@ def booking_outcomes(t: Tables, as_of: Date) -> DataFrame:
 
 
 def _trend_rows(t: Tables, as_of: Date) -> DataFrame:
-    return bookings_since(t.reserva, F.date_sub(day(as_of), 7 * TREND_WEEKS))
+    return t.reserva_since(F.date_sub(day(as_of), 7 * TREND_WEEKS))
 
 
 def booked_hours_by_week(t: Tables, as_of: Date) -> DataFrame:

@@ -43,7 +43,7 @@ def no_sanction(requests: DataFrame, t: Tables, as_of: Date) -> DataFrame:
 
 def active_bookings_by_day(t: Tables, people: DataFrame) -> DataFrame:
     """Active bookings per participant and date, for the given participants only."""
-    own = t.reserva_participante.join(people.select(CI).distinct(), CI, "left_semi")
+    own = t.reserva_participante.join(people.select(CI), CI, "left_semi")
     return (
         own.join(t.reserva.filter(in_state("activa")), "id_reserva")
         .groupBy(CI, "fecha")
@@ -102,7 +102,7 @@ def fits_capacity(requests: DataFrame, t: Tables, n: Column | int = 1) -> DataFr
     """``cabe``: present participants of ``id_reserva`` plus ``n`` fit the room; unknown room fails."""
     n = F.lit(n) if isinstance(n, int) else n
     touched = t.reserva_participante.join(
-        requests.select("id_reserva").distinct(), "id_reserva", "left_semi"
+        requests.select("id_reserva"), "id_reserva", "left_semi"
     )
     return (
         requests.join(participants_by_booking(touched), "id_reserva", "left")
@@ -151,7 +151,7 @@ def room_allowed(requests: DataFrame, t: Tables) -> DataFrame:
 
 def touched_slots(requests: DataFrame, t: Tables) -> DataFrame:
     """Bookings, of any status, in the slots asked for."""
-    return t.reserva.join(requests.select(*SLOT).distinct(), SLOT, "left_semi")
+    return t.reserva.join(requests.select(*SLOT), SLOT, "left_semi")
 
 
 def slot_free(requests: DataFrame, t: Tables) -> DataFrame:
@@ -197,7 +197,7 @@ def _with_active_bookings(t: Tables, people: DataFrame) -> DataFrame:
 
 def room_deletion_blocks(t: Tables, rooms: DataFrame, as_of: Date) -> DataFrame:
     """Whether each given room has active, future or any bookings."""
-    touched = t.reserva.join(rooms.select(*ROOM).distinct(), ROOM, "left_semi")
+    touched = t.reserva.join(rooms.select(*ROOM), ROOM, "left_semi")
     uses = touched.groupBy(*ROOM).agg(
         F.bool_or(in_state("activa")).alias("con_activas"),
         F.bool_or(F.col("fecha") >= day(as_of)).alias("con_futuras"),
@@ -252,7 +252,7 @@ def overlaps_sanction(
     )
     asked_days = asked.select(CI, "dia").distinct()
 
-    concerned = sancion.join(requests.select(CI).distinct(), CI, "left_semi")
+    concerned = sancion.join(requests.select(CI), CI, "left_semi")
     best_of_day = Window.partitionBy(CI, "fecha_inicio").orderBy(
         F.desc("fecha_fin"), F.desc("id_sancion")
     )

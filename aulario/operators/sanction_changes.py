@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from bisect import bisect_left, insort
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -36,7 +37,7 @@ def _earliest_disjoint(batch: pd.DataFrame) -> pd.DataFrame:
     ends: dict = {}
     keep = []
     for start, end, request in (
-        batch.sort_values(ORDER)[[*PERIOD, ID]].itertuples(index=False, name=None)
+        batch.sort_values(ORDER, na_position="first")[[*PERIOD, ID]].itertuples(index=False, name=None)
     ):
         i = bisect_left(starts, start)
         after = i < len(starts) and starts[i] <= end
@@ -48,6 +49,17 @@ def _earliest_disjoint(batch: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({ID: keep})
 
 
+def _granted_changes(batch: pd.DataFrame) -> pd.DataFrame:
+    """Keep, in request order, each change whose period touches none kept for another sanction."""
+    batch = batch.sort_values(ORDER, na_position="first")
+    sanction, start, end = (batch[c].to_numpy() for c in ("id_sancion", *PERIOD))
+    kept = np.zeros(len(batch), dtype=bool)
+    for i in range(len(batch)):
+        other = kept[:i] & (sanction[:i] != sanction[i])
+        kept[i] = not (other & (start[:i] <= end[i]) & (end[:i] >= start[i])).any()
+    return batch[kept][[CI, "id_sancion", *PERIOD]]
+
+
 def candidates(requests: DataFrame) -> DataFrame:
     """The requests that could be kept when periods of a participant must not touch.
 
@@ -157,29 +169,39 @@ def default_sanctions(requests: DataFrame, as_of: Date, days: int = 7) -> DataFr
 def update_sanctions(changes: DataFrame, t: Tables) -> ChangeResult:
     """Change sanction dates.
 
-    Changes are judged against the sanctions before the batch. Of several valid changes of
-    one sanction the last counts; among the remaining ones of a participant a period must
-    not touch one granted to an earlier request.
+    Changes are judged against the sanctions before the batch, and in request order against
+    each other: a period must not touch one granted earlier in the batch to another sanction
+    of the participant. Of several granted changes of one sanction the last counts; a refused
+    one replaces nothing.
     """
     columns = changes.columns
     current = t.sancion_participante.join(
-        changes.select("id_sancion").distinct(), "id_sancion", "left_semi"
+        changes.select("id_sancion"), "id_sancion", "left_semi"
     ).select("id_sancion", CI)
     judged = changes.join(current, "id_sancion", "left").withColumn("existe", F.col(CI).isNotNull())
     judged = rules.overlaps_sanction(judged, t.sancion_participante, ID, own="id_sancion")
     judged = rules.dates_in_order(judged)
+    judged = cut(judged)
     fit = F.col("existe") & ~F.col("solapada") & F.col("fechas_en_orden")
-    latest = judged.filter(fit).groupBy("id_sancion").agg(F.max(turn()).alias("t")).select(f"t.{ID}")
-    judged = cut(mark(judged, latest, [ID], "vigente"))
-    granted = _disjoint_in_order(judged.filter(fit & F.col("vigente")))
-    judged = mark(judged, granted, [ID], "concedida").withColumn(
+    # Equal changes of a sanction share their verdict, so one of each is walked through.
+    change = [CI, "id_sancion", *PERIOD]
+    asked = judged.filter(fit).groupBy(*change).agg(F.min(turn()).alias("t")).select(*change, *[f"t.{c}" for c in ORDER])
+    granted = asked.groupBy(CI).applyInPandas(_granted_changes, asked.select(*change).schema)
+    judged = cut(mark(judged, granted, change, "concedida"))
+    latest = (
+        judged.filter(fit & F.col("concedida"))
+        .groupBy("id_sancion")
+        .agg(F.max(turn()).alias("t"))
+        .select(f"t.{ID}")
+    )
+    judged = mark(judged, latest, [ID], "vigente").withColumn(
         "motivo",
         first_reason(
             ("sancion_inexistente", F.col("existe")),
             ("periodo_solapado", ~F.col("solapada")),
             ("fechas_invalidas", F.col("fechas_en_orden")),
-            ("reemplazada", F.col("vigente")),
             ("periodo_solapado", F.col("concedida")),
+            ("reemplazada", F.col("vigente")),
         ),
     )
     accepted, rejected = split(judged, *columns)
@@ -196,7 +218,7 @@ def shift_sanctions(changes: DataFrame, t: Tables) -> ChangeResult:
     dates like any other.
     """
     current = t.sancion_participante.join(
-        changes.select("id_sancion").distinct(), "id_sancion", "left_semi"
+        changes.select("id_sancion"), "id_sancion", "left_semi"
     ).select("id_sancion", *PERIOD)
     dated = changes.join(current, "id_sancion", "left").withColumn(
         "fecha_fin", F.date_add("fecha_fin", F.col("dias"))
@@ -211,7 +233,7 @@ def finish_sanctions(asked: DataFrame, t: Tables, as_of: Date) -> ChangeResult:
     """
     columns = asked.columns
     current = t.sancion_participante.join(
-        asked.select("id_sancion").distinct(), "id_sancion", "left_semi"
+        asked.select("id_sancion"), "id_sancion", "left_semi"
     ).select("id_sancion", *PERIOD)
     judged = asked.join(current, "id_sancion", "left").withColumn(
         "motivo",

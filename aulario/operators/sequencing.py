@@ -17,19 +17,13 @@ at a constant, which Spark applies inside each map task before the shuffle.
 
 from __future__ import annotations
 
-from collections import defaultdict
-from collections.abc import Callable
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from aulario.operators.changes import ID, ORDER, cut, union_all
 
-# Once this few requests are undecided, further rounds cost more than one task.
-TAIL_ROWS = 10_000
-
 
 @dataclass(frozen=True)
 class Limit:
@@ -86,60 +80,28 @@ def _use_up(rest: DataFrame, granted: DataFrame, limits: list[Limit]) -> DataFra
     return _with_room(rest, limits)
 
 
-def _in_turn(limits: list[Limit]) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    """One-at-a-time admission of a small remainder."""
-
-    def admit(batch: pd.DataFrame) -> pd.DataFrame:
-        used: list[dict] = [defaultdict(int) for _ in limits]
-        keep = []
-        for row in batch.sort_values(ORDER).itertuples(index=False):
-            mine = [
-                (used[i], tuple(getattr(row, k) for k in limit.keys), getattr(row, limit.free))
-                for i, limit in enumerate(limits)
-                if limit.applies is None or getattr(row, limit.applies)
-            ]
-            if all(counts[key] < free for counts, key, free in mine):
-                keep.append(getattr(row, ID))
-                for counts, key, _ in mine:
-                    counts[key] += 1
-        return pd.DataFrame({ID: keep})
-
-    return admit
+def admit_in_order(requests: DataFrame, limits: list[Limit]) -> DataFrame:
+    """The requests that one-at-a-time processing would grant.
 
-
-def _finish(undecided: DataFrame, limits: list[Limit]) -> DataFrame:
+    Only the order, keys and room of undecided requests pass through the rounds; each
+    round is materialised once. A request without a time is taken before those with one.
+    """
     columns = dict.fromkeys(ORDER)
     for limit in limits:
         columns.update(dict.fromkeys([*limit.keys, limit.free]))
         if limit.applies:
             columns[limit.applies] = None
-    kept = (
-        undecided.select(*columns)
-        .groupBy()
-        .applyInPandas(_in_turn(limits), undecided.select(ID).schema)
-    )
-    return undecided.join(kept, ID, "left_semi")
-
-
-def admit_in_order(
-    requests: DataFrame, limits: list[Limit], tail_rows: int = TAIL_ROWS
-) -> DataFrame:
-    """The requests that one-at-a-time processing would grant."""
-    columns = requests.columns
     parts: list[DataFrame] = []
-    undecided = _with_room(requests, limits)
+    undecided = _with_room(requests.select(*columns), limits)
     while True:
         marked = cut(_mark_granted(undecided, limits))
-        granted = marked.filter("concedida")
-        if granted.isEmpty():  # only when nothing was left to decide
-            break
-        parts.append(granted.select(*columns))
-        undecided = cut(
-            _use_up(marked.filter("NOT concedida"), granted, limits).select(*columns)
-        )
-        left = undecided.count()
-        if left <= tail_rows:
-            if left:
-                parts.append(cut(_finish(undecided, limits).select(*columns)))
+        left = {r["concedida"]: r["count"] for r in marked.groupBy("concedida").count().collect()}
+        if left.get(True):
+            parts.append(marked.filter("concedida").select(ID))
+        if not left.get(True) or not left.get(False):
             break
-    return union_all(parts) if parts else requests.limit(0)
+        rest, granted = marked.filter("NOT concedida"), marked.filter("concedida")
+        undecided = _use_up(rest, granted, limits).select(*columns)
+    if not parts:
+        return requests.limit(0)
+    return requests.join(union_all(parts), ID, "left_semi")

@@ -38,20 +38,21 @@ def load_tables(
     """Read ``path/<table>`` with the declared schemas; nothing is inferred.
 
     ``fmt`` is parquet, orc, json or csv. With ``collation`` the text columns compare
-    and sort by it, e.g. ``FOLDING_COLLATION``. With ``monthly`` the bookings keep the
-    month column of a snapshot partitioned by it, and date-bound reports prune by it.
+    and sort by it, e.g. ``FOLDING_COLLATION``. With ``monthly`` date-bound reports read only
+    the months they need of a snapshot partitioned by month.
     """
 
     def one(name: str, schema: T.StructType) -> DataFrame:
         reader = spark.read.format(fmt)
         if fmt == "csv":
             reader = reader.option("header", "true")
-        keep = schema.names + ([MONTH] if monthly and name == "reserva" else [])
-        if MONTH in keep:
-            schema = T.StructType([*schema, T.StructField(MONTH, T.StringType())])
-        return _folded(reader.schema(schema).load(f"{path}/{name}").select(*keep), collation)
+        return _folded(reader.schema(schema).load(f"{path}/{name}").select(*schema.names), collation)
 
-    return Tables(**{name: partial(one, name, schema) for name, schema in SCHEMAS.items()})
+    with_month = T.StructType([*SCHEMAS["reserva"], T.StructField(MONTH, T.StringType())])
+    return Tables(
+        reserva_mensual=partial(one, "reserva", with_month) if monthly else None,
+        **{name: partial(one, name, schema) for name, schema in SCHEMAS.items()},
+    )
 
 
 def load_catalog(spark: SparkSession, database: str) -> Tables:
@@ -63,19 +64,24 @@ def load_jdbc(
     spark: SparkSession,
     url: str,
     properties: dict[str, str],
-    splits: dict[str, tuple[str, int, int, int]] | None = None,
+    splits: dict[str, tuple[str, int, int, int]],
 ) -> Tables:
     """Read the tables from a relational database.
 
     ``splits`` maps a table to (numeric column, lower, upper, partitions); such a table is
-    read by that many parallel range queries instead of one.
+    read by that many parallel range queries instead of one. It must name the tables that
+    grow, bookings and participations.
     """
+    missing = {"reserva", "reserva_participante"} - set(splits)
+    if missing:
+        raise ValueError(f"splits needed for {', '.join(sorted(missing))}")
+
 
     def one(name: str, schema: T.StructType) -> DataFrame:
         reader = spark.read.format("jdbc").option("url", url).option("dbtable", name)
         for key, value in properties.items():
             reader = reader.option(key, value)
-        if splits and name in splits:
+        if name in splits:
             column, lower, upper, parts = splits[name]
             reader = (
                 reader.option("partitionColumn", column)

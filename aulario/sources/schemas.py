@@ -22,30 +22,30 @@ def _schema(**cols: T.DataType) -> T.StructType:
     return T.StructType([T.StructField(n, t, n == "asistencia") for n, t in cols.items()])
 
 
-_S, _I, _D = T.StringType(), T.IntegerType(), T.DateType()
+_S, _I, _L, _D = T.StringType(), T.IntegerType(), T.LongType(), T.DateType()
 
 SCHEMAS: dict[str, T.StructType] = {
     "facultad": _schema(id_facultad=_I, nombre=_S),
     "programa_academico": _schema(nombre_programa=_S, id_facultad=_I, tipo=_S),
     "participante": _schema(ci=_S, nombre=_S, apellido=_S, email=_S),
     "participante_programa_academico": _schema(
-        id_alumno_programa=_I, ci_participante=_S, nombre_programa=_S, rol=_S
+        id_alumno_programa=_L, ci_participante=_S, nombre_programa=_S, rol=_S
     ),
     "edificio": _schema(nombre_edificio=_S, direccion=_S, departamento=_S),
     "sala": _schema(nombre_sala=_S, edificio=_S, capacidad=_I, tipo_sala=_S),
     # Times of day are 'HH:MM:SS' text: its order is the order of the times.
     "turno": _schema(id_turno=_I, hora_inicio=_S, hora_fin=_S),
     "reserva": _schema(
-        id_reserva=_I, nombre_sala=_S, edificio=_S, fecha=_D, id_turno=_I, estado=_S
+        id_reserva=_L, nombre_sala=_S, edificio=_S, fecha=_D, id_turno=_I, estado=_S
     ),
     "reserva_participante": _schema(
         ci_participante=_S,
-        id_reserva=_I,
+        id_reserva=_L,
         fecha_solicitud_reserva=T.TimestampType(),
         asistencia=T.BooleanType(),
     ),
     "sancion_participante": _schema(
-        id_sancion=_I, ci_participante=_S, fecha_inicio=_D, fecha_fin=_D
+        id_sancion=_L, ci_participante=_S, fecha_inicio=_D, fecha_fin=_D
     ),
 }
 

@@ -7,18 +7,26 @@ from pyspark.sql import functions as F
 
 from aulario.tables import MONTH, Tables
 
-def write_snapshot(tables: Tables, path: str, fmt: str = "parquet", monthly: bool = False) -> None:
+def write_snapshot(
+    tables: Tables,
+    path: str,
+    fmt: str = "parquet",
+    monthly: bool = False,
+    files_per_month: int = 4,
+) -> None:
     """Write all tables under a new ``path``.
 
     A folder that already exists is refused: the state being replaced may still be read by
     the plans that lead to the new one. With ``monthly`` the bookings are partitioned by
-    month (column ``mes``) of their date, so that date-bound reports read only those needed.
+    month (column ``mes``) of their date, so that date-bound reports read only those needed;
+    each month is gathered into at most ``files_per_month`` files.
     """
     for name, df in tables.items():
         writer = df
         by: list[str] = []
         if monthly and name == "reserva":
-            writer = df.withColumn(MONTH, F.date_format("fecha", "yyyy-MM"))
+            salt = F.pmod(F.xxhash64("id_reserva"), F.lit(files_per_month))
+            writer = df.withColumn(MONTH, F.date_format("fecha", "yyyy-MM")).repartition(MONTH, salt)
             by = [MONTH]
         out = writer.write.mode("errorifexists").format(fmt)
         if fmt == "csv":

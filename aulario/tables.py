@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 ROOM = ["nombre_sala", "edificio"]
 SLOT = ["nombre_sala", "edificio", "fecha", "id_turno"]
-# Partition column of bookings stored by month; present only when loaded with it.
+# Partition column of bookings stored by month; a column of the scan, never of the state.
 MONTH = "mes"
 
 
@@ -30,9 +31,16 @@ class Tables:
     reserva_participante: DataFrame
     sancion_participante: DataFrame
 
-    def __init__(self, **tables: DataFrame | Callable[[], DataFrame]):
+    def __init__(
+        self,
+        *,
+        reserva_mensual: Callable[[], DataFrame] | None = None,
+        **tables: DataFrame | Callable[[], DataFrame],
+    ):
+        """``reserva_mensual`` opens the stored bookings with their month, for pruned reads."""
         if set(tables) != set(self.names()):
             raise ValueError(f"expected exactly the tables {', '.join(self.names())}")
+        self._by_month = reserva_mensual
         self._openers = {n: t for n, t in tables.items() if not isinstance(t, DataFrame)}
         self.__dict__.update({n: t for n, t in tables.items() if isinstance(t, DataFrame)})
 
@@ -46,7 +54,16 @@ class Tables:
         unchanged = {
             n: self.__dict__[n] if n in self.__dict__ else self._openers[n] for n in self.names()
         }
-        return Tables(**{**unchanged, **changed})
+        by_month = None if "reserva" in changed else self._by_month
+        return Tables(reserva_mensual=by_month, **{**unchanged, **changed})
+
+    def reserva_since(self, first: Column) -> DataFrame:
+        """Bookings from a date on. Of those stored by month, unchanged since, only the months
+        needed are read."""
+        if self._by_month is None:
+            return self.reserva.filter(F.col("fecha") >= first)
+        needed = F.col(MONTH) >= F.date_format(first, "yyyy-MM")
+        return self._by_month().filter(needed & (F.col("fecha") >= first)).drop(MONTH)
 
     def items(self) -> list[tuple[str, DataFrame]]:
         return [(name, getattr(self, name)) for name in self.names()]

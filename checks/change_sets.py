@@ -48,18 +48,24 @@ class Source:
             "solicitada_en", F.col("ts")
         )
 
-    def _slot_events(self, event_type: str) -> DataFrame:
+    def last(self, table: str, column: str) -> Column:
+        """The highest number in a column, so that keys asked for grow with the tables."""
+        return getattr(self.t, table).agg(F.max(column).cast("bigint")).scalar()
+
+    def _slot_events(self, event_type: str, slots: int = 15) -> DataFrame:
+        """Events as bookings of an eighth of the rooms; a third of them of one room."""
         halls = self.t.sala.select("nombre_sala", "edificio")
+        spread = event() % F.greatest(whole(self.last("sala", "nombre_sala"), 8), F.lit(1)) + 1
         return (
             self._requests(event_type)
-            .withColumn("nombre_sala", event() % 20)
+            .withColumn("nombre_sala", F.when(event() % 3 == 0, 1).otherwise(spread))
             .join(halls, "nombre_sala")
             .withColumn("fecha", plus_days(F.col("ts").cast("date"), whole(event(), 300) % 7))
-            .withColumn("id_turno", (whole(event(), 20) % 15 + 1).cast("int"))
+            .withColumn("id_turno", (whole(event(), 20) % slots + 1).cast("int"))
         )
 
     def booking_state(self, finished_before: str | None = None) -> Tables:
-        """Purchases as bookings of 20 rooms, the earliest per slot."""
+        """Purchases as bookings, the earliest per slot."""
         first = (
             self._slot_events("purchase")
             .groupBy(*SLOT)
@@ -80,7 +86,8 @@ class Source:
         )
 
     def booking_requests(self) -> DataFrame:
-        return self._slot_events("signup").select(
+        # One slot number more than there are, so that some requests name an unknown slot.
+        return self._slot_events("signup", slots=16).select(
             "id_solicitud", user().alias("ci_participante"), *SLOT, "solicitada_en"
         )
 
@@ -154,7 +161,7 @@ class Source:
                 "nombre_sala",
                 "edificio",
                 "fecha",
-                (F.col("id_turno") + event() % 3).cast("int").alias("id_turno"),
+                (F.col("id_turno") + event() % 3 * 6).cast("int").alias("id_turno"),
                 "solicitada_en",
             )
         )
@@ -176,7 +183,9 @@ class Source:
     def additions(self) -> DataFrame:
         return self._requests("signup", "view").select(
             "id_solicitud",
-            (event() % 500).alias("id_reserva"),
+            F.when(event() % 3 == 0, 7)
+            .otherwise(event() % whole(self.last("reserva", "id_reserva"), 4))
+            .alias("id_reserva"),
             user().alias("ci_participante"),
             "solicitada_en",
         )
@@ -215,12 +224,13 @@ class Source:
         )
 
     def registrations(self) -> DataFrame:
+        people = self.last("participante", "ci")
         return self._requests("signup").select(
             "id_solicitud",
-            (event() % 700 + 50).alias("ci"),
+            (event() % (people * 7) + whole(people, 2)).alias("ci"),
             F.concat(F.lit("N"), user().cast("string")).alias("nombre"),
             F.when(event() % 13 == 0, "").otherwise("A").alias("apellido"),
-            F.concat(F.lit("n"), (whole(event(), 3) % 650).cast("string"), F.lit("@campus.test")).alias("email"),
+            F.concat(F.lit("n"), (whole(event(), 3) % (people * 6)).cast("string"), F.lit("@campus.test")).alias("email"),
             F.concat(F.lit("NATION_"), (event() % 27).cast("string")).alias("nombre_programa"),
             pick(["alumno", "estudiante", "docente", "jefe"], whole(event(), 5)).alias("rol"),
             "solicitada_en",
@@ -228,7 +238,8 @@ class Source:
 
     def participant_updates(self) -> DataFrame:
         taken = F.concat(F.lit("p"), (user() + event() % 3).cast("string"), F.lit("@campus.test"))
-        fresh = F.concat(F.lit("n"), (event() % 200).cast("string"), F.lit("@campus.test"))
+        some = event() % (self.last("participante", "ci") * 2)
+        fresh = F.concat(F.lit("n"), some.cast("string"), F.lit("@campus.test"))
         return self._requests("view").select(
             "id_solicitud",
             user().alias("ci"),
@@ -253,7 +264,7 @@ class Source:
     def room_requests(self) -> DataFrame:
         return self._requests("view").select(
             "id_solicitud",
-            (event() % 3000).alias("nombre_sala"),
+            (event() % (self.last("sala", "nombre_sala") * 2)).alias("nombre_sala"),
             (user() % 27).cast("int").alias("edificio"),
             (event() % 13).cast("int").alias("capacidad"),
             pick(["libre", "posgrado", "docente", "otro"], whole(event(), 13)).alias("tipo_sala"),
@@ -264,7 +275,7 @@ class Source:
         halls = self.t.sala.select("nombre_sala", "edificio")
         return (
             self._requests("click")
-            .withColumn("nombre_sala", event() % 2000)
+            .withColumn("nombre_sala", event() % whole(self.last("sala", "nombre_sala") * 4, 3))
             .join(halls, "nombre_sala", "left")
             .withColumn("edificio", F.coalesce("edificio", F.lit(0)))
             .select(

@@ -258,12 +258,12 @@ LISTINGS: dict[str, str] = {
             SELECT id_reserva, '{"ci_participante":' || ci || ',"nombre":"' || nombre
                    || '","apellido":"' || apellido || '","email":"' || email
                    || '","asistencia":' || coalesce(CAST(asistencia AS VARCHAR), 'null') || '}' AS txt,
-                   ci
+                   ci, instr('0123456789abcdef', substr(md5(CAST(ci AS VARCHAR)), 1, 1)) - 1 AS parte
             FROM rp JOIN participante ON ci = ci_participante)
-        SELECT id_reserva, 0 AS pagina, 1 AS paginas,
+        SELECT id_reserva, CAST(coalesce(parte, 0) AS INTEGER) AS parte,
                '[' || coalesce(string_agg(txt, ',' ORDER BY ci), '') || ']' AS participantes
         FROM reserva JOIN sala USING (nombre_sala, edificio) LEFT JOIN persona USING (id_reserva)
-        GROUP BY id_reserva""",
+        GROUP BY ALL""",
     "l3_participantes_de_reservas": """
         SELECT id_reserva, ci_participante, nombre, apellido, email, asistencia
         FROM rp JOIN participante ON ci = ci_participante""",
@@ -300,9 +300,23 @@ LISTINGS: dict[str, str] = {
         SELECT ci_participante, id_sancion, fecha_inicio, fecha_fin, {state(S)} AS estado
         FROM sancion""",
     "l16_disponibles_por_reserva": """
-        SELECT id_reserva,
-               (SELECT count(*) FROM participante) - count(ci_participante) AS disponibles
-        FROM reserva LEFT JOIN rp USING (id_reserva) GROUP BY id_reserva""",
+        SELECT id_reserva, (SELECT count(*) FROM participante) - count(ci) AS disponibles
+        FROM reserva LEFT JOIN rp USING (id_reserva) LEFT JOIN participante ON ci = ci_participante
+        GROUP BY id_reserva""",
+    "l16_fuera_de_una_reserva": """
+        SELECT ci, nombre, apellido FROM participante WHERE ci NOT IN (
+            SELECT ci_participante FROM rp WHERE id_reserva = (SELECT max(id_reserva) FROM reserva))""",
+    "l7_sala": """
+        SELECT nombre_sala, s.edificio, capacidad, tipo_sala, direccion FROM sala AS s
+        JOIN edificio ON nombre_edificio = s.edificio
+        WHERE nombre_sala = (SELECT max(nombre_sala) FROM sala)""",
+    "l14_sancion": f"""
+        SELECT id_sancion, ci_participante, nombre, apellido, email, fecha_inicio, fecha_fin,
+               {state(S)} AS estado
+        FROM sancion JOIN participante ON ci = ci_participante
+        WHERE id_sancion = (SELECT min(id_sancion) FROM sancion JOIN participante ON ci = ci_participante)""",
+    "l20_por_email": """
+        SELECT * FROM participante WHERE email = (SELECT max(email) FROM participante)""",
     "l17_pertenencias": """
         WITH pedido AS (
             SELECT id_reserva, ci_participante FROM rp

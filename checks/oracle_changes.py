@@ -16,11 +16,13 @@ STATE_AS_OF = "DATE '2024-01-30'"
 REQUESTS_AS_OF = "DATE '2024-01-02'"
 
 
-def _slot_events(event_type: str) -> str:
+def _slot_events(event_type: str, slots: int = 15) -> str:
     return f"""SELECT event_id AS id_solicitud, user_id AS ci_participante, nombre_sala, edificio,
         CAST(ts AS DATE) + CAST(event_id // 300 % 7 AS INTEGER) AS fecha,
-        CAST(event_id // 20 % 15 + 1 AS INTEGER) AS id_turno, ts AS solicitada_en
-        FROM events JOIN sala ON nombre_sala = event_id % 20 WHERE event_type = '{event_type}'"""
+        CAST(event_id // 20 % {slots} + 1 AS INTEGER) AS id_turno, ts AS solicitada_en
+        FROM events JOIN sala ON nombre_sala = CASE WHEN event_id % 3 = 0 THEN 1 ELSE
+            event_id % greatest((SELECT max(nombre_sala) FROM sala) // 8, 1) + 1 END
+        WHERE event_type = '{event_type}'"""
 
 
 def _pick(values: str, by: str, n: int) -> str:
@@ -31,7 +33,7 @@ ROLE = _pick("'alumno', 'estudiante', 'docente', 'jefe'", "(event_id // 5)", 4)
 ROOM_TYPE = _pick("'libre', 'posgrado', 'docente', 'otro'", "(event_id // 13)", 4)
 
 CHANGE_VIEWS: dict[str, str] = {
-    "solicitud": _slot_events("signup"),
+    "solicitud": _slot_events("signup", 16),
     "compra": f"""SELECT * FROM ({_slot_events("purchase")})
         QUALIFY row_number() OVER (PARTITION BY {SLOT} ORDER BY id_solicitud) = 1""",
     "solicitud_texto": """SELECT event_id AS id_solicitud,
@@ -59,16 +61,17 @@ CHANGE_VIEWS: dict[str, str] = {
     "sancion_nombrada": """SELECT event_id AS id_solicitud, event_id - event_id % 2 AS id_sancion,
         ts AS solicitada_en FROM events WHERE event_type IN ('error', 'click')""",
     "mudanza": """SELECT event_id AS id_solicitud, (event_id - event_id % 4) * 2 AS id_reserva,
-        nombre_sala, edificio, fecha, CAST(id_turno + event_id % 3 AS INTEGER) AS id_turno,
+        nombre_sala, edificio, fecha, CAST(id_turno + event_id % 3 * 6 AS INTEGER) AS id_turno,
         ts AS solicitada_en
         FROM events JOIN reserva AS r ON r.id_reserva = event_id + user_id
         WHERE event_type IN ('click', 'view')""",
     "cambio_estado": """SELECT event_id AS id_solicitud, (event_id - event_id % 4) * 2 AS id_reserva,
         ['activa', 'cancelada', 'sin asistencia', 'finalizada', 'otra'][event_id % 5 + 1] AS nuevo,
         ts AS solicitada_en FROM events WHERE event_type = 'view'""",
-    "baja_reserva": """SELECT event_id AS id_solicitud, event_id * 2 AS id_reserva
+    "baja_reserva": """SELECT event_id AS id_solicitud, event_id * 2 AS id_reserva, ts AS solicitada_en
         FROM events WHERE event_type = 'click'""",
-    "alta_participante": """SELECT event_id AS id_solicitud, event_id % 500 AS id_reserva,
+    "alta_participante": """SELECT event_id AS id_solicitud, CASE WHEN event_id % 3 = 0 THEN 7
+            ELSE event_id % ((SELECT max(id_reserva) FROM reserva) // 4) END AS id_reserva,
         user_id AS ci_participante, ts AS solicitada_en
         FROM events WHERE event_type IN ('signup', 'view')""",
     "pedido_propio": """SELECT id_reserva * 1000000 + ci_participante * 2 AS id_solicitud,
@@ -80,15 +83,15 @@ CHANGE_VIEWS: dict[str, str] = {
         UNION ALL
         SELECT id_solicitud + 1, id_reserva, ci_participante + 1, solicitada_en,
                (ci_participante + id_reserva) % 2 = 1 FROM pedido_propio""",
-    "registro": f"""SELECT event_id AS id_solicitud, event_id % 700 + 50 AS ci,
-        CASE WHEN event_id % 13 = 0 THEN '' ELSE 'A' END AS apellido,
-        'n' || (event_id // 3 % 650) || '@campus.test' AS email,
+    "registro": f"""SELECT event_id AS id_solicitud, event_id % (people * 7) + people // 2 AS ci,
+        'N' || user_id AS nombre, CASE WHEN event_id % 13 = 0 THEN '' ELSE 'A' END AS apellido,
+        'n' || (event_id // 3 % (people * 6)) || '@campus.test' AS email,
         'NATION_' || (event_id % 27) AS nombre_programa, {ROLE} AS rol, ts AS solicitada_en
-        FROM events WHERE event_type = 'signup'""",
+        FROM events, (SELECT max(ci) AS people FROM participante) WHERE event_type = 'signup'""",
     "cambio_participante": """SELECT event_id AS id_solicitud, user_id AS ci,
         'N' || event_id AS nombre, 'B' AS apellido,
         CASE WHEN event_id % 2 = 0 THEN 'p' || (user_id + event_id % 3) || '@campus.test'
-             ELSE 'n' || (event_id % 200) || '@campus.test' END AS email, ts AS solicitada_en
+             ELSE 'n' || (event_id % (2 * (SELECT max(ci) FROM participante))) || '@campus.test' END AS email, ts AS solicitada_en
         FROM events WHERE event_type = 'view'""",
     "baja_persona": """SELECT event_id AS id_solicitud, user_id AS ci, ts AS solicitada_en
         FROM events WHERE event_type = 'signup'""",
@@ -96,15 +99,16 @@ CHANGE_VIEWS: dict[str, str] = {
         'NATION_' || (event_id % 27) AS nombre_programa,
         replace({ROLE}, 'estudiante', 'alumno') AS rol, ts AS solicitada_en
         FROM events WHERE event_type IN ('signup', 'click')""",
-    "alta_sala": f"""SELECT event_id AS id_solicitud, event_id % 3000 AS nombre_sala,
+    "alta_sala": f"""SELECT event_id AS id_solicitud, event_id % (2 * (SELECT max(nombre_sala) FROM sala)) AS nombre_sala,
         CAST(user_id % 27 AS INTEGER) AS edificio, event_id % 13 AS capacidad,
         {ROOM_TYPE} AS tipo_sala, ts AS solicitada_en FROM events WHERE event_type = 'view'""",
-    "cambio_sala": f"""SELECT event_id AS id_solicitud, event_id % 2000 AS nombre_sala,
+    "cambio_sala": f"""SELECT event_id AS id_solicitud, event_id % rooms AS nombre_sala,
         coalesce(s.edificio, 0) AS edificio,
-        CASE WHEN event_id % 3 = 0 THEN event_id % 2000 ELSE event_id // 2 + 100000 END AS nuevo_nombre,
+        CASE WHEN event_id % 3 = 0 THEN event_id % rooms ELSE event_id // 2 + 100000 END AS nuevo_nombre,
         CASE WHEN event_id % 5 = 0 THEN 26 ELSE coalesce(s.edificio, 0) END AS nuevo_edificio,
         CAST(event_id % 13 AS INTEGER) AS nueva_capacidad, {ROOM_TYPE} AS nuevo_tipo, ts AS solicitada_en
-        FROM events LEFT JOIN sala AS s ON s.nombre_sala = event_id % 2000
+        FROM (SELECT *, (SELECT max(nombre_sala) FROM sala) * 4 // 3 AS rooms FROM events) AS e
+        LEFT JOIN sala AS s ON s.nombre_sala = event_id % rooms
         WHERE event_type = 'click'""",
     "alta_edificio": """SELECT event_id AS id_solicitud, CAST(event_id % 60 AS INTEGER) AS nombre,
         CASE WHEN event_id % 10 = 0 THEN '' ELSE 'Calle ' || user_id END AS direccion,
@@ -259,13 +263,16 @@ LATEST = "solicitada_en DESC, id_solicitud DESC"
 ADMISSION = f"""
     WITH RECURSIVE juzgada AS MATERIALIZED (
         SELECT id_solicitud, solicitada_en, {NO_SANCTION} AS limpio, {ALLOWED} AS apta,
+               ci_participante IN (SELECT ci FROM participante) AS existe,
+               id_turno IN (SELECT id_turno FROM turno) AS hay_turno,
                {PRIVILEGED} AS libre_de_cuota, {SAME_DAY} AS dia, {SAME_WEEK} AS semana, {FREE} AS libre,
                ci_participante || '|' || fecha AS clave_dia,
                ci_participante || '|' || date_trunc('week', fecha) AS clave_semana,
                nombre_sala || '|' || edificio || '|' || fecha || '|' || id_turno AS clave_turno
         FROM solicitud AS q),
     fila AS MATERIALIZED (
-        SELECT *, row_number() OVER (ORDER BY {TURN}) AS n FROM juzgada WHERE limpio AND apta),
+        SELECT *, row_number() OVER (ORDER BY {TURN}) AS n FROM juzgada
+        WHERE existe AND hay_turno AND limpio AND apta),
     paso AS (
         SELECT CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS id_solicitud,
                CAST(NULL AS VARCHAR) AS motivo, CAST([] AS VARCHAR[]) AS turnos,
@@ -286,9 +293,11 @@ ADMISSION = f"""
               FROM paso AS p JOIN fila AS f ON f.n = p.n + 1))
     SELECT id_solicitud, motivo IS NULL AS aceptada, motivo FROM paso WHERE n > 0
     UNION ALL
-    SELECT id_solicitud, false, CASE WHEN NOT limpio THEN 'sancion_activa'
+    SELECT id_solicitud, false, CASE WHEN NOT existe THEN 'participante_inexistente'
+                                     WHEN NOT hay_turno THEN 'turno_inexistente'
+                                     WHEN NOT limpio THEN 'sancion_activa'
                                      ELSE 'sala_no_permitida' END
-    FROM juzgada WHERE NOT (limpio AND apta)"""
+    FROM juzgada WHERE NOT (existe AND hay_turno AND limpio AND apta)"""
 
 
 def creation(requests: str) -> str:
@@ -321,7 +330,7 @@ def creation(requests: str) -> str:
 
 
 def alteration(changes: str) -> str:
-    """Changes of sanction dates, judged against the state and then among each other."""
+    """Changes of sanction dates, judged against the state and then one after the other."""
     return f"""
     WITH RECURSIVE juzgado AS MATERIALIZED (
         SELECT q.*, v.ci_participante, EXISTS (SELECT 1 FROM sancion AS s
@@ -329,29 +338,28 @@ def alteration(changes: str) -> str:
                    AND {touches("s", "q")}) AS ocupado,
                v.id_sancion IS NOT NULL AS existe
         FROM {changes} AS q LEFT JOIN sancion AS v ON v.id_sancion = q.id_sancion),
-    apto AS MATERIALIZED (
-        SELECT *, row_number() OVER (PARTITION BY id_sancion ORDER BY {LATEST}) = 1 AS vigente
-        FROM juzgado WHERE existe AND NOT ocupado AND fecha_fin > fecha_inicio),
     fila AS MATERIALIZED (
         SELECT *, row_number() OVER (PARTITION BY ci_participante ORDER BY {TURN}) AS n
-        FROM apto WHERE vigente),
+        FROM juzgado WHERE existe AND NOT ocupado AND fecha_fin > fecha_inicio),
     paso AS (
         SELECT DISTINCT CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS id_solicitud, ci_participante,
-               CAST(NULL AS VARCHAR) AS motivo,
-               CAST([] AS STRUCT(fecha_inicio DATE, fecha_fin DATE)[]) AS dadas FROM fila
+               CAST(NULL AS BIGINT) AS id_sancion, CAST(NULL AS VARCHAR) AS motivo,
+               CAST([] AS STRUCT(id_sancion BIGINT, fecha_inicio DATE, fecha_fin DATE)[]) AS dadas FROM fila
         UNION ALL
-        SELECT n, id_solicitud, ci_participante, motivo,
-               CASE WHEN motivo IS NULL
-                    THEN list_append(dadas, {{'fecha_inicio': fecha_inicio, 'fecha_fin': fecha_fin}})
-                    ELSE dadas END
-        FROM (SELECT q.*, dadas,
-                     CASE WHEN len(list_filter(dadas, lambda s: {touches("s", "q")})) > 0
-                          THEN 'periodo_solapado' END AS motivo
+        SELECT n, id_solicitud, ci_participante, id_sancion, motivo,
+               CASE WHEN motivo IS NULL THEN list_append(dadas, {{'id_sancion': id_sancion,
+                    'fecha_inicio': fecha_inicio, 'fecha_fin': fecha_fin}}) ELSE dadas END
+        FROM (SELECT q.*, dadas, CASE WHEN len(list_filter(dadas, lambda s:
+                         s.id_sancion <> q.id_sancion AND {touches("s", "q")})) > 0
+                         THEN 'periodo_solapado' END AS motivo
               FROM paso AS p JOIN fila AS q
-              ON q.n = p.n + 1 AND q.ci_participante = p.ci_participante))
-    SELECT id_solicitud, motivo IS NULL AS aceptada, motivo FROM paso WHERE n > 0
-    UNION ALL
-    SELECT id_solicitud, false, 'reemplazada' FROM apto WHERE NOT vigente
+              ON q.n = p.n + 1 AND q.ci_participante = p.ci_participante)),
+    visto AS (
+        SELECT *, n = max(n) FILTER (motivo IS NULL) OVER (PARTITION BY id_sancion) AS vigente
+        FROM paso WHERE n > 0)
+    SELECT id_solicitud, motivo IS NULL AND vigente AS aceptada,
+           CASE WHEN motivo IS NULL AND NOT vigente THEN 'reemplazada' ELSE motivo END AS motivo
+    FROM visto
     UNION ALL
     SELECT id_solicitud, false, CASE WHEN NOT existe THEN 'sancion_inexistente'
         WHEN ocupado THEN 'periodo_solapado' ELSE 'fechas_invalidas' END
@@ -388,8 +396,9 @@ MOVES = f"""
         SELECT q.*, EXISTS (SELECT 1 FROM reserva AS r WHERE r.nombre_sala = q.nombre_sala
                    AND r.edificio = q.edificio AND r.fecha = q.fecha AND r.id_turno = q.id_turno
                    AND r.id_reserva <> q.id_reserva) AS ocupado,
-               q.id_reserva IN (SELECT id_reserva FROM reserva) AS existe FROM mudanza AS q),
-    una AS (SELECT *, {first("id_reserva", "existe AND NOT ocupado")} AS primera FROM juzgada),
+               q.id_reserva IN (SELECT id_reserva FROM reserva) AS existe,
+               q.id_turno IN (SELECT id_turno FROM turno) AS hay_turno FROM mudanza AS q),
+    una AS (SELECT *, {first("id_reserva", "existe AND NOT ocupado AND hay_turno")} AS primera FROM juzgada),
     otra AS (SELECT *, {first(SLOT, "primera")} AS gana FROM una)"""
 
 STATUS = """
@@ -423,6 +432,7 @@ CHANGES: dict[str, str] = {
     "m1_admitir_reservas": ADMISSION,
     "m2_mover_reservas": f"""WITH {MOVES} """ + outcomes(
         """WHEN ocupado THEN 'turno_ocupado' WHEN NOT existe THEN 'reserva_inexistente'
+           WHEN NOT hay_turno THEN 'turno_inexistente'
            WHEN NOT primera THEN 'repetida' WHEN NOT gana THEN 'turno_ocupado'""", "otra"),
     "m2_reservas_movidas": f"""WITH {MOVES}
         SELECT r.id_reserva, coalesce(m.nombre_sala, r.nombre_sala) AS nombre_sala,
@@ -442,10 +452,13 @@ CHANGES: dict[str, str] = {
             SELECT b.id_reserva FROM baja_participante AS b JOIN rp
             ON rp.id_reserva = b.id_reserva AND rp.ci_participante = b.ci_participante)
             THEN 'cancelada' ELSE estado END AS estado FROM reserva AS r""",
-    "m4_purgar_reservas": outcomes(
+    "m4_purgar_reservas": f"""WITH
+        juzgada AS (SELECT q.*, estado, estado IN ('cancelada', 'sin asistencia') AS permitido
+                    FROM baja_reserva AS q LEFT JOIN reserva USING (id_reserva)),
+        una AS (SELECT *, {first("id_reserva", "coalesce(permitido, false)")} AS primera FROM juzgada) """ + outcomes(
         """WHEN estado IS NULL THEN 'reserva_inexistente'
-           WHEN estado NOT IN ('cancelada', 'sin asistencia') THEN 'estado_no_permitido'""",
-        "baja_reserva LEFT JOIN reserva USING (id_reserva)"),
+           WHEN NOT permitido THEN 'estado_no_permitido'
+           WHEN NOT primera THEN 'reserva_inexistente'""", "una"),
     "m4_participaciones_tras_purga": """
         SELECT ci_participante, id_reserva, asistencia FROM rp WHERE id_reserva NOT IN (
             SELECT id_reserva FROM reserva WHERE estado IN ('cancelada', 'sin asistencia'))""",
@@ -501,10 +514,9 @@ CHANGES: dict[str, str] = {
         apto AS (SELECT q.* FROM cambio_participante AS q JOIN participante AS p ON p.ci = q.ci
                  WHERE NOT EXISTS (SELECT 1 FROM participante AS o
                                    WHERE o.email = q.email AND o.ci <> q.ci)),
-        ultimo AS (SELECT * FROM apto QUALIFY row_number() OVER (
-                   PARTITION BY ci ORDER BY {LATEST}) = 1),
-        gana AS (SELECT * FROM ultimo QUALIFY row_number() OVER (
-                 PARTITION BY email ORDER BY {TURN}) = 1)
+        dado AS (SELECT * FROM apto QUALIFY ci = first(ci) OVER (PARTITION BY email ORDER BY {TURN})),
+        gana AS (SELECT * FROM dado QUALIFY row_number() OVER (
+                 PARTITION BY ci ORDER BY {LATEST}) = 1)
         SELECT p.ci, coalesce(g.nombre, p.nombre) AS nombre,
                coalesce(g.apellido, p.apellido) AS apellido, coalesce(g.email, p.email) AS email
         FROM participante AS p LEFT JOIN gana AS g ON g.ci = p.ci""",
@@ -575,3 +587,59 @@ CHANGES: dict[str, str] = {
             AND nombre NOT IN (SELECT nombre_edificio FROM edificio)
             QUALIFY row_number() OVER (PARTITION BY nombre ORDER BY {TURN}) = 1)""",
 }
+
+
+def _numbered(state: str, column: str, columns: str, result: str, requests: str) -> str:
+    """New rows of a table: those of the accepted requests, numbered from its highest id on."""
+    return f"""
+        SELECT coalesce((SELECT max({column}) FROM {state}), 0) + row_number() OVER (ORDER BY {TURN}) AS {column},
+               {columns} FROM ({result}) AS o JOIN {requests} AS q USING (id_solicitud) WHERE aceptada"""
+
+
+#: The tables after a change.
+CHANGES |= {
+    "m1_reservas_nuevas": f"""
+        SELECT id_solicitud AS id_reserva, {SLOT}, 'activa' AS estado FROM compra UNION ALL
+        SELECT id_solicitud, {SLOT}, 'activa' FROM (
+            {_numbered("compra", "id_solicitud", SLOT, ADMISSION, "solicitud")})""",
+    "m1_participaciones_nuevas": f"""
+        SELECT id_solicitud AS id_reserva, ci_participante, solicitada_en AS fecha_solicitud_reserva,
+               CAST(NULL AS BOOLEAN) AS asistencia FROM compra UNION ALL
+        SELECT id_solicitud, ci_participante, solicitada_en, NULL FROM (
+            {_numbered("compra", "id_solicitud", "ci_participante, solicitada_en", ADMISSION, "solicitud")})""",
+    "m5_participaciones": f"""
+        SELECT id_reserva, ci_participante, asistencia FROM rp UNION ALL
+        SELECT id_reserva, ci_participante, NULL FROM ({CHANGES["m5_agregar_participantes"]}) AS o
+        JOIN alta_participante USING (id_solicitud) WHERE aceptada""",
+    "m6_participaciones": f"""
+        SELECT id_reserva, ci_participante, asistencia FROM rp WHERE NOT EXISTS (
+            SELECT 1 FROM ({CHANGES["m6_quitar_participantes"]}) AS o
+            JOIN baja_participante AS q USING (id_solicitud) WHERE aceptada
+            AND q.id_reserva = rp.id_reserva AND q.ci_participante = rp.ci_participante)""",
+    "m14_participantes": f"""
+        SELECT ci, nombre, apellido, email FROM participante UNION ALL
+        SELECT ci, nombre, apellido, email FROM ({REGISTRATION}) AS o
+        JOIN registro USING (id_solicitud) WHERE aceptada""",
+    "m19_salas": f"""
+        SELECT nombre_sala, edificio, capacidad, tipo_sala FROM sala UNION ALL
+        SELECT nombre_sala, edificio, capacidad, tipo_sala FROM ({CHANGES["m19_crear_salas"]}) AS o
+        JOIN alta_sala USING (id_solicitud) WHERE aceptada""",
+    "m21_salas": f"""
+        SELECT * FROM sala WHERE nombre_sala * 2 NOT IN (
+            SELECT id_solicitud FROM ({CHANGES["m21_eliminar_salas"]}) AS o WHERE aceptada)""",
+}
+for _name, _result, _requests in (
+    ("m8_sanciones", creation("pedido_sancion"), "pedido_sancion"),
+    ("m11_sanciones", creation("pedido_automatico"), "pedido_automatico"),
+):
+    _columns = "ci_participante, fecha_inicio, fecha_fin"
+    CHANGES[_name] = f"""
+        SELECT id_sancion, {_columns} FROM sancion UNION ALL
+        SELECT * FROM ({_numbered("sancion", "id_sancion", _columns, _result, _requests)})"""
+for _name, _requests in (("m9_sanciones", "cambio_sancion"), ("m12_sanciones", "cambio_dias")):
+    CHANGES[_name] = f"""
+        SELECT s.id_sancion, s.ci_participante, coalesce(c.fecha_inicio, s.fecha_inicio) AS fecha_inicio,
+               coalesce(c.fecha_fin, s.fecha_fin) AS fecha_fin
+        FROM sancion AS s LEFT JOIN (
+            SELECT q.* FROM ({alteration(_requests)}) AS o JOIN {_requests} AS q USING (id_solicitud)
+            WHERE aceptada) AS c ON c.id_sancion = s.id_sancion"""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from aulario.operators import (
@@ -60,12 +60,18 @@ def _as_json(df: DataFrame, column: str) -> DataFrame:
     return df.withColumn(column, text)
 
 
+def _known_sanction(s: Source) -> Column:
+    people = s.t.participante.select(F.col("ci").alias("ci_participante"))
+    known = s.t.sancion_participante.join(people, "ci_participante", "left_semi")
+    return known.agg(F.min("id_sancion")).scalar()
+
+
 LISTINGS: dict[str, Build] = {
     "l1_reservas_recientes": lambda s: listings.latest_bookings(s.t),
     "l2_reservas_detalle": lambda s: listings.bookings_detailed(s.t),
     "l3_reservas_con_participantes": lambda s: _as_json(
         listings.bookings_with_participants(s.t), "participantes"
-    ).select("id_reserva", "pagina", "paginas", "participantes"),
+    ).select("id_reserva", "parte", "participantes"),
     "l3_participantes_de_reservas": lambda s: listings.booking_participants(s.t),
     "l4_reservas_por_participante": lambda s: listings.participant_bookings(s.t),
     "l6_salas": lambda s: listings.rooms(s.t),
@@ -78,6 +84,16 @@ LISTINGS: dict[str, Build] = {
     "l13_sanciones": lambda s: listings.sanctions(s.t, S),
     "l15_sanciones_por_participante": lambda s: listings.participant_sanctions(s.t, S),
     "l16_disponibles_por_reserva": lambda s: listings.available_participants(s.t),
+    "l16_fuera_de_una_reserva": lambda s: listings.participants_outside_booking(
+        s.t, s.last("reserva", "id_reserva")
+    ),
+    "l7_sala": lambda s: listings.rooms(
+        s.t, nombre_sala=s.last("sala", "nombre_sala")
+    ).drop("etiqueta", "tipo_texto"),
+    "l14_sancion": lambda s: listings.sanction(s.t, S, _known_sanction(s)),
+    "l20_por_email": lambda s: listings.participant_by_email(
+        s.t, s.t.participante.agg(F.max("email")).scalar()
+    ),
     "l17_pertenencias": lambda s: listings.memberships(
         s.t, s.removals().select("id_reserva", "ci_participante")
     ),
@@ -184,6 +200,40 @@ CHANGES: dict[str, Build] = {
     "m1_admitir_reservas": lambda s: bc.admit_bookings(
         s.booking_requests(), s.booking_state(), REQUESTS_AS_OF
     ).outcomes(),
+    "m1_reservas_nuevas": lambda s: bc.admit_bookings(
+        s.booking_requests(), s.booking_state(), REQUESTS_AS_OF
+    ).tables.reserva,
+    "m1_participaciones_nuevas": lambda s: bc.admit_bookings(
+        s.booking_requests(), s.booking_state(), REQUESTS_AS_OF
+    ).tables.reserva_participante,
+    "m5_participaciones": lambda s: bc.add_participants(
+        s.additions(), s.t
+    ).tables.reserva_participante.drop("fecha_solicitud_reserva"),
+    "m6_participaciones": lambda s: bc.remove_participants(
+        s.removals(), s.t
+    ).tables.reserva_participante.drop("fecha_solicitud_reserva"),
+    "m8_sanciones": lambda s: sc.create_sanctions(
+        s.sanction_requests(), s.t
+    ).tables.sancion_participante,
+    "m9_sanciones": lambda s: sc.update_sanctions(
+        s.sanction_updates(), s.t
+    ).tables.sancion_participante,
+    "m11_sanciones": lambda s: sc.create_sanctions(
+        sc.default_sanctions(
+            s.participant_ids().withColumnRenamed("ci", "ci_participante"), "2024-02-20"
+        ),
+        s.t,
+    ).tables.sancion_participante,
+    "m12_sanciones": lambda s: sc.shift_sanctions(
+        s.sanction_shifts(), s.t
+    ).tables.sancion_participante,
+    "m14_participantes": lambda s: pc.register_participants(
+        s.registrations(), s.t
+    ).tables.participante,
+    "m19_salas": lambda s: rc.create_rooms(s.room_requests(), s.t).tables.sala,
+    "m21_salas": lambda s: rc.delete_rooms(
+        s.room_ids(), s.booking_state(STATE_AS_OF), "2024-02-03"
+    ).tables.sala,
     "m2_mover_reservas": lambda s: bc.move_bookings(s.moves(), s.t).outcomes(),
     "m2_reservas_movidas": lambda s: bc.move_bookings(s.moves(), s.t).tables.reserva,
     "m3_cambiar_estado": lambda s: bc.set_status(s.status_changes(), s.t).outcomes(),

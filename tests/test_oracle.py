@@ -8,6 +8,8 @@ import pytest
 
 import __spark_entry__ as contract
 from checks.compare import check, connect
+from checks.oracle import all_sql
+from checks.queries import all_queries
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -20,7 +22,8 @@ def con():
 
 
 def test_every_query_has_comparison_sql():
-    assert set(contract.queries()) == set(contract.oracle_sql())
+    assert set(all_queries()) == set(all_sql())
+    assert set(all_queries()) <= set(contract.queries())
 
 
 def test_entry(spark):
@@ -28,6 +31,6 @@ def test_entry(spark):
     assert df.columns[0] == "tipo_usuario" and df.count() == 3
 
 
-@pytest.mark.parametrize("name", list(contract.queries()))
+@pytest.mark.parametrize("name", list(all_queries()))
 def test_query(spark, con, name):
     assert check(spark, con, name, SF_DIR) == ""
