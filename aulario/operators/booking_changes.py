@@ -256,7 +256,7 @@ def add_participants(requests: DataFrame, t: Tables, enforce: bool = True) -> Ch
         .join(participants_by_booking(inside), "id_reserva", "left")
         .select("id_reserva", (F.col("capacidad") - or_zero("num_participantes")).alias("libres"))
     )
-    judged = requests.join(sizes, "id_reserva", "left")
+    judged = requests.join(cut(sizes), "id_reserva", "left")
     judged = mark(judged, inside, ["id_reserva", CI], "ya_dentro")
     judged = rules.exists_in(judged, t.participante, {CI: "ci"}, "existe")
     candidate = F.col("libres").isNotNull() & F.col("existe") & ~F.col("ya_dentro")
@@ -327,12 +327,14 @@ def remove_participants(requests: DataFrame, t: Tables, enforce: bool = True) ->
         .groupBy("id_reserva")
         .agg(F.max("turno").alias("anterior"))
     )
-    bookings = bookings.join(next_to_last, "id_reserva", "left").select(
+    bookings = cut(
+        bookings.join(next_to_last, "id_reserva", "left").select(
         "id_reserva",
         "num_participantes",
         F.when(everyone, F.col("anterior"))
         .when(F.col("pedidos") == F.col("num_participantes") - 1, F.col("final"))
         .alias("uno_desde"),
+        )
     )
     judged = requests.join(useful, person, "left").join(bookings, "id_reserva", "left")
     alone = (or_zero("num_participantes") <= 1) | F.coalesce(

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from aulario.operators.rules import mark
-from aulario.session import ensure_checkpoint_dir
+from aulario.session import cut
 from aulario.tables import Tables
 
 ID = "id_solicitud"
@@ -107,12 +107,6 @@ def delete_rows(state: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame
     return state.join(gone.select(*keys), keys, "left_anti")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise in the checkpoint folder and drop the lineage."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def union_all(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from aulario.functions.scalar import Date, day, in_force, week_start
 from aulario.operators.aggregates import in_state, or_zero, participants_by_booking
+from aulario.session import cut
 from aulario.sources.schemas import (
     BOOKING_STATES,
     MAX_BOOKINGS_PER_DAY,
@@ -28,8 +29,11 @@ CI = "ci_participante"
 
 
 def mark(df: DataFrame, keys: DataFrame, on: list[str], name: str) -> DataFrame:
-    """Add ``name``: whether the row's key occurs in ``keys``."""
-    present = keys.select(*on).distinct().withColumn(name, F.lit(True))
+    """Add ``name``: whether the row's key occurs in ``keys``.
+
+    The keys are materialised, so rows that crowd on one key can be split over tasks.
+    """
+    present = cut(keys.select(*on).distinct()).withColumn(name, F.lit(True))
     return df.join(present, on, "left").withColumn(name, F.coalesce(name, F.lit(False)))
 
 
@@ -67,7 +71,7 @@ def booked_that_day(requests: DataFrame, t: Tables) -> DataFrame:
     )
     return (
         requests.withColumn("lunes", week_start(F.col("fecha")))
-        .join(weekly, [CI, "lunes"], "left")
+        .join(cut(weekly), [CI, "lunes"], "left")
         .withColumn("activas_dia", F.try_element_at("por_dia", F.col("fecha")))
         .withColumn("activas_dia", or_zero("activas_dia"))
         .withColumn("activas_semana", or_zero("activas_semana"))
@@ -78,7 +82,7 @@ def booked_that_day(requests: DataFrame, t: Tables) -> DataFrame:
 def within_daily_limit(requests: DataFrame, t: Tables) -> DataFrame:
     daily = active_bookings_by_day(t, requests)
     return (
-        requests.join(daily, [CI, "fecha"], "left")
+        requests.join(cut(daily), [CI, "fecha"], "left")
         .withColumn("en_limite_dia", or_zero("activas") < MAX_BOOKINGS_PER_DAY)
         .drop("activas")
     )
@@ -92,7 +96,7 @@ def within_weekly_limit(requests: DataFrame, t: Tables) -> DataFrame:
     )
     return (
         requests.withColumn("lunes", week_start(F.col("fecha")))
-        .join(weekly, [CI, "lunes"], "left")
+        .join(cut(weekly), [CI, "lunes"], "left")
         .withColumn("en_limite_semana", or_zero("activas") < MAX_BOOKINGS_PER_WEEK)
         .drop("activas", "lunes")
     )
@@ -105,7 +109,7 @@ def fits_capacity(requests: DataFrame, t: Tables, n: Column | int = 1) -> DataFr
         requests.select("id_reserva"), "id_reserva", "left_semi"
     )
     return (
-        requests.join(participants_by_booking(touched), "id_reserva", "left")
+        requests.join(cut(participants_by_booking(touched)), "id_reserva", "left")
         .join(t.sala.select(*ROOM, "capacidad"), ROOM, "left")
         .withColumn(
             "cabe",
@@ -115,21 +119,25 @@ def fits_capacity(requests: DataFrame, t: Tables, n: Column | int = 1) -> DataFr
     )
 
 
-def privileged(t: Tables) -> DataFrame:
+def privileged(t: Tables, people: DataFrame | None = None) -> DataFrame:
     """``privilegiado`` per enrolled participant: teaches, or studies a postgraduate programme.
 
-    Any enrolment counts, so the answer does not depend on the order of rows.
+    Any enrolment counts, so the answer does not depend on the order of rows. With ``people``
+    only their enrolments are read.
     """
     counts = (F.col("rol") == "docente") | (F.col("tipo") == "posgrado")
+    enrolled = t.participante_programa_academico
+    if people is not None:
+        enrolled = enrolled.join(people.select(CI), CI, "left_semi")
     return (
-        t.participante_programa_academico.join(t.programa_academico, "nombre_programa")
+        enrolled.join(t.programa_academico, "nombre_programa")
         .groupBy(CI)
         .agg(F.bool_or(counts).alias("privilegiado"))
     )
 
 
 def with_privilege(requests: DataFrame, t: Tables) -> DataFrame:
-    return requests.join(privileged(t), CI, "left").withColumn(
+    return requests.join(cut(privileged(t, requests)), CI, "left").withColumn(
         "privilegiado", F.coalesce("privilegiado", F.lit(False))
     )
 
@@ -170,7 +178,7 @@ def slot_free_for_move(moves: DataFrame, t: Tables) -> DataFrame:
     )
     own = F.col("id_reserva")
     return (
-        moves.join(holders, SLOT, "left")
+        moves.join(cut(holders), SLOT, "left")
         .withColumn(
             "turno_libre",
             F.col("primera").isNull() | ((F.col("primera") == own) & (F.col("ultima") == own)),
@@ -188,11 +196,7 @@ def without_active_bookings(t: Tables, people: DataFrame) -> DataFrame:
 
 def _with_active_bookings(t: Tables, people: DataFrame) -> DataFrame:
     own = t.reserva_participante.join(people.select(F.col("ci").alias(CI)), CI, "left_semi")
-    return (
-        own.join(t.reserva.filter(in_state("activa")), "id_reserva", "left_semi")
-        .select(CI)
-        .distinct()
-    )
+    return own.join(t.reserva.filter(in_state("activa")), "id_reserva", "left_semi").select(CI)
 
 
 def room_deletion_blocks(t: Tables, rooms: DataFrame, as_of: Date) -> DataFrame:
@@ -203,7 +207,7 @@ def room_deletion_blocks(t: Tables, rooms: DataFrame, as_of: Date) -> DataFrame:
         F.bool_or(F.col("fecha") >= day(as_of)).alias("con_futuras"),
     )
     return (
-        rooms.join(uses.withColumn("con_reservas", F.lit(True)), ROOM, "left")
+        rooms.join(cut(uses).withColumn("con_reservas", F.lit(True)), ROOM, "left")
         .withColumn("con_activas", F.coalesce("con_activas", F.lit(False)))
         .withColumn("con_futuras", F.coalesce("con_futuras", F.lit(False)))
         .withColumn("con_reservas", F.coalesce("con_reservas", F.lit(False)))
@@ -327,9 +331,12 @@ def not_in_past(requests: DataFrame, as_of: Date) -> DataFrame:
 
 
 def exists_in(df: DataFrame, parent: DataFrame, on: dict[str, str], name: str) -> DataFrame:
-    """Add ``name``: whether the referenced parent row exists (``on`` maps child to parent)."""
+    """Add ``name``: whether the referenced parent row exists (``on`` maps child to parent).
+
+    Of the parent only the keys asked for are kept.
+    """
     keys = parent.select(*[F.col(p).alias(c) for c, p in on.items()])
-    return mark(df, keys, list(on), name)
+    return mark(df, keys.join(df.select(*on), list(on), "left_semi"), list(on), name)
 
 
 def evaluate_requests(requests: DataFrame, t: Tables, as_of: Date) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Applied only where a session is created here; a given session is used as it is.
 DEFAULTS = {
@@ -41,3 +41,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="aulario-checkpoint-"))
     else:
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Materialise in the checkpoint folder and drop the lineage.
+
+    Between the written rows and a following join there is an exchange of its own, so the
+    other side of the join can be split where a key is crowded; a side that has just been
+    aggregated would keep its partitioning and with it all rows of the key in one task.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()

@@ -4,12 +4,18 @@ from __future__ import annotations
 
 import datetime as dt
 
+from pyspark.sql import functions as F
+
 from aulario.operators import booking_changes as bc
+from aulario.operators import listings
 from aulario.operators import people_changes as pc
 from aulario.operators import room_changes as rc
 from aulario.operators import sanction_changes as sc
+from aulario.plans.registry import report
+from aulario.sources.readers import load_tables
+from aulario.sources.writers import write_snapshot
 from tests.conftest import TODAY, frame, rows
-from tests.test_sequential import T0, outcomes
+from tests.test_sequential import REQUEST, T0, outcomes
 
 
 def requests(spark, data, fields):
@@ -203,3 +209,75 @@ def test_buildings(spark, seed):
     result = rc.create_buildings(asked, seed)
     assert outcomes(result) == {0: None, 1: "edificio_duplicado", 2: "edificio_duplicado", 3: "datos_incompletos"}
     assert result.tables.edificio.count() == 4
+
+
+def test_a_booking_is_purged_once(spark, seed):
+    t = bc.cancel_bookings(requests(spark, [(1,)], "id_reserva int"), seed).tables
+    result = bc.purge_bookings(requests(spark, [(1,), (1,)], "id_reserva int"), t)
+    assert outcomes(result) == {0: None, 1: "reserva_inexistente"}
+
+
+def test_moves_into_unknown_slots_are_refused(spark, seed):
+    moves = requests(spark, [
+        (1, "Sala 301", "Edificio Central", TODAY, 99), (1, "Sala 301", "Edificio Central", TODAY, 9),
+    ], "id_reserva int, nombre_sala string, edificio string, fecha date, id_turno int")
+    assert outcomes(bc.move_bookings(moves, seed)) == {0: "turno_inexistente", 1: None}
+
+
+def test_a_refused_change_replaces_nothing(spark, seed):
+    d = dt.timedelta
+    state = [(1, "12345678", TODAY, TODAY + d(5)), (2, "12345678", TODAY + d(10), TODAY + d(20))]
+    t = seed.with_tables(sancion_participante=frame(
+        spark, state, "id_sancion int, ci_participante string, fecha_inicio date, fecha_fin date"))
+    changes = requests(spark, [
+        (2, TODAY + d(30), TODAY + d(40)), (1, TODAY, TODAY + d(7)), (1, TODAY + d(35), TODAY + d(50)),
+        (1, TODAY + d(1), TODAY + d(8)), (1, TODAY + d(1), TODAY + d(8)),
+    ], "id_sancion int, fecha_inicio date, fecha_fin date")
+    result = sc.update_sanctions(changes, t)
+    assert outcomes(result) == {0: None, 1: "reemplazada", 2: "periodo_solapado", 3: "reemplazada", 4: None}
+    mails = requests(spark, [
+        ("23456789", "M", "G", "n@x"), ("12345678", "J", "P", "j2@x"), ("12345678", "J", "P", "n@x"),
+    ], "ci string, nombre string, apellido string, email string")
+    result = pc.update_participants(mails, seed)
+    assert outcomes(result) == {0: None, 1: None, 2: "email_registrado"}
+    twice = seed.participante.union(seed.participante.limit(1).selectExpr("'9'", "nombre", "apellido", "email"))
+    held = requests(spark, [("9", "J", "P", twice.first().email)], "ci string, nombre string, apellido string, email string")
+    assert outcomes(pc.update_participants(held, seed.with_tables(participante=twice))) == {0: "email_registrado"}
+
+
+def test_changes_of_monthly_bookings(spark, seed, tmp_path):
+    write_snapshot(seed, str(tmp_path / "s"), monthly=True)
+    t = load_tables(spark, str(tmp_path / "s"), monthly=True)
+    moves = requests(spark, [
+        (1, "Sala 301", "Edificio Central", dt.date(2027, 2, 1), 9),
+    ], "id_reserva int, nombre_sala string, edificio string, fecha date, id_turno int")
+    asked = frame(spark, [(1, "34567890", "Sala 301", "Edificio Central", dt.date(2027, 3, 1), 9, T0)], REQUEST)
+    for change in (
+        lambda x: bc.move_bookings(moves, x),
+        lambda x: bc.admit_bookings(asked, x, TODAY),
+        lambda x: bc.cancel_bookings(requests(spark, [(1,)], "id_reserva int"), x),
+    ):
+        plain, monthly = change(seed).tables, change(t).tables
+        assert monthly.reserva.columns == plain.reserva.columns
+        assert sorted(rows(monthly.reserva)) == sorted(rows(plain.reserva))
+        for name in ("ocupacion_edificio", "horas_semana"):
+            assert rows(report(name)(monthly, dt.date(2027, 2, 20))) == rows(report(name)(plain, dt.date(2027, 2, 20)))
+
+
+def test_ids_beyond_32_bits(spark, seed):
+    high = seed.reserva.withColumn("id_reserva", F.col("id_reserva") + 2147483641)
+    asked = frame(spark, [(1, "34567890", "Sala 301", "Edificio Central", dt.date(2027, 3, 1), 9, T0)], REQUEST)
+    new = bc.admit_bookings(asked, seed.with_tables(reserva=high), TODAY).tables.reserva
+    assert new.agg(F.max("id_reserva")).first()[0] == 2147483648
+
+
+def test_orphaned_participations_do_not_count(spark, seed):
+    lost = seed.reserva_participante.limit(1)
+    missing = lost.withColumn("id_reserva", F.lit(99).cast("long"))
+    unknown = lost.withColumn("ci_participante", F.lit("nobody")).withColumn("id_reserva", F.lit(1).cast("long"))
+    t = seed.with_tables(reserva_participante=seed.reserva_participante.union(missing).union(unknown))
+    for variant in ("full", "basic"):
+        of = report("reservas_por_carrera", variant)
+        assert rows(of(t, TODAY)) == rows(of(seed, TODAY))
+    assert sorted(rows(listings.available_participants(t))) == sorted(rows(listings.available_participants(seed)))
+    assert listings.participants_outside_booking(t, 1).count() == 6

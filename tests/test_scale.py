@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
-from aulario.operators import listings, sanction_changes
+from aulario.operators import listings, rules, sanction_changes
 from aulario.operators.sequencing import Limit, admit_in_order
 from aulario.plans.registry import report
 from aulario.session import ensure_checkpoint_dir
@@ -65,6 +67,42 @@ def test_hot_participant_is_split_in_joins(skewed, small_partitions, name):
     assert "skew=true" in final_plan(report(name)(skewed, TODAY))
 
 
+@pytest.fixture(scope="module")
+def hot_requests(spark, tmp_path_factory):
+    """Booking requests of which a third come from one person and a third want one slot."""
+    path = str(tmp_path_factory.mktemp("hot") / "requests")
+    i = F.col("id")
+    spark.range(ROWS, numPartitions=8).select(
+        i.alias("id_solicitud"),
+        F.when(i % 3 == 0, "12345678").otherwise(F.concat(F.lit("p"), (i % 5000).cast("string"))).alias("ci_participante"),
+        F.when(i % 3 == 1, "Sala 101").otherwise(F.concat(F.lit("s"), (i % 5000).cast("string"))).alias("nombre_sala"),
+        F.lit("Edificio Central").alias("edificio"),
+        F.when(i % 3 == 1, F.lit(TODAY)).otherwise(F.date_add(F.lit(TODAY), (i % 50).cast("int"))).alias("fecha"),
+        F.lit(1).alias("id_turno"),
+        F.when(i % 3 == 1, 1).otherwise(i % 5000).cast("long").alias("id_reserva"),
+        F.current_timestamp().alias("solicitada_en"),
+    ).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+@pytest.mark.parametrize(
+    "key,judge",
+    [
+        ("ci_participante", lambda q, t: rules.no_sanction(q, t, "2026-10-15")),
+        ("ci_participante", lambda q, t: rules.within_daily_limit(q.withColumn("fecha", F.lit(TODAY)), t)),
+        ("ci_participante", rules.with_privilege),
+        ("nombre_sala", rules.slot_free),
+        ("nombre_sala", rules.slot_free_for_move),
+        ("nombre_sala", lambda q, t: rules.room_deletion_blocks(t, q, TODAY)),
+        ("id_reserva", rules.fits_capacity),
+    ],
+    ids=["v1", "v2", "v6", "v7", "v8", "v10", "v4"],
+)
+def test_request_side_of_a_rule_is_split_at_a_hot_key(seed, hot_requests, small_partitions, key, judge):
+    plan = final_plan(judge(hot_requests, seed))
+    assert re.search(rf"SortMergeJoin\(skew=true\) \[{key}#[^\n]*LeftOuter", plan)
+
+
 def test_rank_is_cut_before_the_shuffle(skewed):
     plan = listings.participant_bookings(skewed)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") == 2 and "Partial" in plan
@@ -80,18 +118,17 @@ def test_date_bound_reaches_the_scan(seed):
     assert "GreaterThanOrEqual(fecha,2026-11-01)" in plan
 
 
-def test_crowded_booking_is_collected_in_pages(skewed, small_partitions):
+def test_crowded_booking_is_collected_in_parts(skewed, small_partitions):
     people = skewed.reserva_participante.select(F.col("ci_participante").alias("ci")).distinct()
     t = skewed.with_tables(participante=people.select(
         "ci", *[F.lit("x").alias(c) for c in ("nombre", "apellido", "email")]))
-    got = listings.bookings_with_participants(t, page_size=500).filter("id_reserva = 1")
+    got = listings.bookings_with_participants(t).filter("id_reserva = 1")
     sizes = [r[0] for r in rows(got.select(F.size("participantes")))]
     assert sum(sizes) == skewed.reserva_participante.filter("id_reserva = 1").count()
     assert len(sizes) > 10 and max(sizes) < 3 * sum(sizes) / len(sizes)
 
 
-@pytest.mark.parametrize("tail", [0, 10_000])
-def test_rounds_end_quickly_with_a_hot_key(spark, tail):
+def test_rounds_end_quickly_with_a_hot_key(spark):
     """A third of the requests want one slot, a third come from one person."""
     i = F.col("id")
     n = 3000
@@ -104,7 +141,7 @@ def test_rounds_end_quickly_with_a_hot_key(spark, tail):
         F.lit(2).alias("libre_persona"),
     )
     limits = [Limit(["lugar"], "libre_lugar", 1), Limit(["persona"], "libre_persona", 2)]
-    got = {r.id_solicitud for r in admit_in_order(asked, limits, tail).select("id_solicitud").collect()}
+    got = {r.id_solicitud for r in admit_in_order(asked, limits).select("id_solicitud").collect()}
     places, people, expected = set(), {}, set()
     for r in sorted(asked.collect(), key=lambda r: (r.solicitada_en, r.id_solicitud)):
         if r.lugar not in places and people.get(r.persona, 0) < 2:

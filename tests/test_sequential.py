@@ -6,14 +6,17 @@ import datetime as dt
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from aulario.operators.booking_changes import (
     add_participants,
     admit_bookings,
     remove_participants,
 )
+from aulario.operators.constraints import check_constraints
 from aulario.operators.people_changes import register_participants
 from aulario.operators.sanction_changes import create_sanctions
+from aulario.sources.readers import FOLDING_COLLATION
 from tests.conftest import TODAY, frame, rows
 
 T0 = dt.datetime(2026, 12, 1, 8)
@@ -253,3 +256,34 @@ def test_register_participants(spark, seed, tail):
     enrolled = rows(result.tables.participante_programa_academico.filter("id_alumno_programa > 8"))
     assert sorted(r[0] for r in enrolled) == list(range(9, 9 + len(numbers)))
     assert {r[3] for r in enrolled} == {"alumno"}
+
+
+def test_folding_collation_and_missing_times_do_not_depend_on_the_number_of_requests(spark, seed):
+    """Emails that differ in case only are one email; a request without a time is taken first."""
+    fold = lambda c: F.collate(F.col(c), FOLDING_COLLATION).alias(c)
+    people = [(1, "1", "a@x"), (2, "1", "b@x"), (3, "2", "B@x"), (4, "3", "b@x")]
+    rows_ = [(i, ci, "N", "A", mail, "Derecho", "alumno", T0 + dt.timedelta(minutes=i)) for i, ci, mail in people]
+    schema = (
+        "id_solicitud long, ci string, nombre string, apellido string, email string, nombre_programa string,"
+        " rol string, solicitada_en timestamp"
+    )
+    asked = frame(spark, rows_, schema)
+    asked = asked.select(*[fold(c) if c == "email" else F.col(c) for c in asked.columns])
+    state = seed.with_tables(participante=seed.participante.select("ci", "nombre", "apellido", fold("email")))
+    assert outcomes(register_participants(asked, state)) == {
+        1: None, 2: "ya_registrado", 3: None, 4: "ya_registrado",
+    }
+    slot = ("Sala 301", "Edificio Central", dt.date(2027, 3, 1), 9)
+    batch = [(10, "23456789", *slot, T0), (11, "34567890", *slot, None)]
+    assert outcomes(admit_bookings(frame(spark, batch, REQUEST), seed, TODAY)) == {10: "turno_ocupado", 11: None}
+
+
+def test_unknown_participants_and_slots_are_refused(spark, seed):
+    slot = ("Sala 301", "Edificio Central", dt.date(2027, 3, 1))
+    batch = [
+        (1, "00000000", *slot, 9, T0), (2, "34567890", *slot, 99, T0), (3, "34567890", *slot, 9, T0),
+    ]
+    result = admit_bookings(frame(spark, batch, REQUEST), seed, TODAY)
+    assert outcomes(result) == {1: "participante_inexistente", 2: "turno_inexistente", 3: None}
+    before, after = (rows(check_constraints(t)) for t in (seed, result.tables))
+    assert sorted(before) == sorted(after)
