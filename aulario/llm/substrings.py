@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -98,6 +99,7 @@ class _Stretches:
         bounds = np.append(opens, len(order)) - np.arange(len(opens) + 1)
         begins, sizes_of = np.cumsum(sizes) - sizes, sizes[head]
         until = np.cumsum(sizes_of)
+        alone = pa.array(bounds[1:] == bounds[:-1])
         picked = prints[np.repeat(begins[head] - (until - sizes_of), sizes_of) + np.arange(int(until[-1]))]
         return pa.RecordBatch.from_arrays(
             [
@@ -106,7 +108,7 @@ class _Stretches:
                 pa.array(first[head]),
                 pa.array(lead[head]),
                 _binary(picked, np.append(0, until)),
-                _binary(others, bounds),
+                pc.if_else(alone, pa.scalar(None, pa.binary()), _binary(others, bounds)),
             ],
             ["anchor", "doc_id", "first", "lead", "prints", "others"],
         )
