@@ -23,24 +23,25 @@ from aulario.llm.texts import slices
 
 SPACE = "▁"
 
-#: Encoded chunks that a Python process remembers: twice as many at most, each of at most so many characters. It
-#: saves work only.
-KEPT_CHUNKS = 150_000
+#: Encoded parts of chunks that a Python process remembers: twice as many at most, each of at most so many characters,
+#: and as many pairs and two thirds as many whole chunks. It saves work only.
+KEPT_CHUNKS = 180_000
 KEPT_LENGTH = 48
+PAIR = 1 << 24
 NEVER = float("inf")
 
 
 class Memory(dict):
     """A dict of bounded size: when full it becomes the older half, from which what is asked for again moves over.
 
-    Keys beyond KEPT_LENGTH are made anew each time.
+    Texts beyond KEPT_LENGTH are made anew each time.
     """
 
     def __init__(self, make, most: int = KEPT_CHUNKS):
         self.make, self.most, self.older = make, most, {}
 
     def __missing__(self, key):
-        if len(key) > KEPT_LENGTH:
+        if type(key) is str and len(key) > KEPT_LENGTH:
             return self.make(key)
         value = self.older.get(key)
         if value is None:
@@ -77,9 +78,9 @@ class MergeCodec:
         self.automaton.make_automaton()
         self.beside = {a + b for piece in self.ids for a, b in zip(piece, piece[1:])}
         self.edges: dict[str, tuple[list, list]] = {}
-        self.compatible = Memory(self.fits, KEPT_CHUNKS // 2)
-        self.known = Memory(self.chunk)
-        self.inner = Memory(self.bounded, KEPT_CHUNKS // 2)
+        self.compatible = Memory(self.fits)
+        self.known = Memory(self.chunk, KEPT_CHUNKS * 2 // 3)
+        self.inner = Memory(self.bounded)
         # a chunk is some spaces and what follows up to the next space, if no piece goes on with a space
         spaced = any(pair[1] == SPACE != pair[0] for pair in self.beside)
         feed = "\n" if not any("\n" in pair for pair in self.beside) else ""
@@ -121,29 +122,36 @@ class MergeCodec:
             self.edges[piece] = known
         return known
 
-    def fits(self, pair: tuple[str, str]) -> bool:
-        """Whether merging the two pieces' characters anew gives them again.
+    def fits(self, pair: int) -> bool:
+        """Whether merging two pieces' characters anew gives them again; the pair is left id * PAIR + right id.
 
         Both merge by themselves until something merges across their bound: parts of the left piece's right edge and
         of the right piece's left edge that stand at the time their own merge is due. Of equal merges the left one
         comes first, so an edge part of the left piece is used up before an equal merge across the bound.
         """
-        score = self.score
-        for left, made, used in self.edge(pair[0])[1]:
-            for right, made_too, used_too in self.edge(pair[1])[0]:
+        score, first, second = self.score, self.pieces[pair // PAIR], self.pieces[pair % PAIR]
+        for left, made, used in self.edge(first)[1]:
+            for right, made_too, used_too in self.edge(second)[0]:
                 due = score.get(left + right)
                 if due is not None and made < -due < used and made_too < -due <= used_too:
                     return False
         return True
 
-    def bounded(self, text: str) -> list[int]:
-        """Ids of a text without inner bounds, by longest matches and steps back."""
+    def bounded(self, text: str) -> bytes:
+        """Ids (32 bits each) of a text without inner bounds, by longest matches and steps back."""
         ids, compatible = self.ids, self.compatible
         # the search's first way: the longest match at every position, all of them compatible
-        pieces = [text[end - length + 1 : end + 1] for end, length in self.automaton.iter_long(text)]
-        if sum(map(len, pieces)) == len(text) and all(map(compatible.__getitem__, zip(pieces, pieces[1:]))):
-            return [ids[piece] for piece in pieces]
-        return self.searched(text)
+        found, covered = [], 0
+        for end, length in self.automaton.iter_long(text):
+            found.append(ids[text[end - length + 1 : end + 1]])
+            covered += length
+        if covered == len(text):
+            for a, b in zip(found, found[1:]):
+                if not compatible[a * PAIR + b]:
+                    break
+            else:
+                return array("i", found).tobytes()
+        return array("i", self.searched(text)).tobytes()
 
     def searched(self, text: str) -> list[int]:
         ids, compatible = self.ids, self.compatible
@@ -151,44 +159,42 @@ class MergeCodec:
         longest = {end - length + 1: length for end, length in self.automaton.iter(text)}
         n = len(text)
         failed = bytearray(n // 8 + 1)
-        chosen: list[tuple[int, int]] = []  # bounds of the pieces so far
-        at, end, last = 0, longest.get(0, 1), ""
+        # bounds and id of the pieces so far; a character beyond the vocabulary has no id, and nothing merges with it
+        chosen: list[tuple[int, int, int | None]] = []
+        at, end, last = 0, longest.get(0, 1), None
         while at < n:
             while end > at:
-                if not failed[end >> 3] >> (end & 7) & 1 and (not last or compatible[last, text[at:end]]):
-                    break
+                number = ids.get(text[at:end])
+                if (number is not None or end == at + 1) and not failed[end >> 3] >> (end & 7) & 1:
+                    if last is None or number is None or compatible[last * PAIR + number]:
+                        break
                 end -= 1  # the next shorter piece
-                while end > at and text[at:end] not in ids:
-                    end -= 1
             if end > at:
-                chosen.append((at, end))
-                last, at = text[at:end], end
+                chosen.append((at, end, number))
+                last, at = number, end
                 end = at + longest.get(at, 1)
                 continue
             if not chosen:
                 raise ValueError("the vocabulary's merges do not reach this text")
             failed[at >> 3] |= 1 << (at & 7)
-            at, end = chosen.pop()
-            last = text[chosen[-1][0] : at] if chosen else ""
+            at, end, _ = chosen.pop()
+            last = chosen[-1][2] if chosen else None
             end -= 1
-            while end > at and text[at:end] not in ids:
-                end -= 1
         found: list[int] = []
-        for at, end in chosen:
-            piece = text[at:end]
-            if piece in ids:
-                found.append(ids[piece])
+        for at, end, number in chosen:
+            if number is not None:
+                found.append(number)
             else:
-                found.extend(self.byte_ids[b] for b in piece.encode())
+                found.extend(self.byte_ids[b] for b in text[at:end].encode())
         return found
 
     def chunk(self, text: str) -> bytes:
-        """Ids of a chunk (32 bits each); marks at its end are cut off where no piece holds them beside what precedes."""
+        """Ids of a chunk; marks at its end are cut off where no piece holds them beside what precedes."""
         end = len(text)
         for at in range(end - 1, max(0, end - 3), -1):
             if text[at - 1 : at + 1] not in self.beside:
-                return array("i", self.inner[text[:at]] + self.inner[text[at:]]).tobytes()
-        return array("i", self.inner[text]).tobytes()
+                return self.inner[text[:at]] + self.inner[text[at:]]
+        return self.inner[text]
 
     def encode(self, text: str) -> np.ndarray:
         """Ids of a whole text, the end id last."""
