@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece as library
 from pyspark.sql import functions as F
 
-from aulario.llm import decontamination, lines, sentencepiece, substrings
+from aulario.llm import decontamination, lines, sentencepiece, substrings, texts
 from tests.conftest import frame, rows
 from tests.llm import brute
 
@@ -56,6 +57,29 @@ def test_repeated_passages_of_repeated_unnamed_and_no_rows(spark):
     assert rows(substrings.remove_repeated_passages(frame(spark, [], "doc_id long, text string"))) == []
 
 
+def test_windows_that_share_half_a_hash_are_told_apart(spark):
+    head = [f"h{i}" for i in range(12)]
+    n = 400_000
+    made = " ".join(head + [f"x{i}" for i in range(n)]).encode()
+    starts, ends, _ = texts.words(np.frombuffer(made, np.uint8), np.array([0, len(made)]), texts.NOT_SPACE)
+    hashes = texts.word_hashes(np.frombuffer(made, np.uint8), starts, ends)
+    up, _ = texts.powers(13)
+    whole = texts.mix((hashes[:12] * up[:12]).sum(dtype=np.uint64) + hashes[12:] * up[12])
+    tails = texts.mix((hashes[8:12] * up[:4]).sum(dtype=np.uint64) + hashes[12:] * up[4])
+    usable = np.flatnonzero(tails > texts.run_hashes(hashes[:12], 5).min())  # the anchor is in the common words
+    half = whole[usable] >> np.uint64(32)
+    order = np.argsort(half, kind="stable")
+    pairs = np.flatnonzero(half[order][1:] == half[order][:-1])
+    assert len(pairs)
+    docs = []
+    for k, at in enumerate(pairs.tolist()):
+        for j in (0, 1):
+            docs.append((2 * k + j, " ".join(head + [f"x{usable[order[at + j]]}"])))
+    docs = docs[:2] + [(9, docs[1][1])]
+    found = {r[0]: r[2] for r in rows(substrings.remove_repeated_passages(frame(spark, docs, "doc_id long, text string")))}
+    assert found == {0: 0, 1: 0, 9: 13}
+
+
 def items():
     rng = random.Random(9)
     texts = [" ".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 25))) for _ in range(12)]
