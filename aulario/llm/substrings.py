@@ -12,13 +12,18 @@ A factor grows while the window at its end is found in the block, and ends at th
 and at the bounds between stretches, each window that lies across is looked up by itself, so none is missed: the union
 of the spans is exactly what windows of equal words cover.
 
+An anchor that very many places share would be a block without a bound. So the documents of a sample are cut first to
+find crowded anchors; the sample decides only which way an anchor goes, never a result. Windows of crowded anchors are rows
+of their own, dealt by their hash: the least document of each is found by aggregation, which combines equal windows in map
+tasks, and windows that more than one document has are joined back to their places, where the places are the streamed side.
+
 A block knows a window by 32 bits of its anchor and a 64-bit hash of all its words, which settles the anchor's place. Words
 are not compared: with n distinct windows of one anchor, about n^2 / 2^65 are found falsely (2.4e-7 for 3 million).
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,13 +32,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from aulario.llm.texts import NOT_SPACE, mix, run_hashes, slices, text_bytes, word_hashes, words
+from aulario.llm.work import written
 
 #: Words of an anchor.
 ANCHOR = 5
 #: Stretches of a task that are gathered before equal ones are sent as one row; bounds memory.
 _AT_ONCE = 1 << 20
 
+#: One document in so many is cut to find crowded anchors.
+_SAMPLED = 16
+#: An anchor is crowded with this share of all stretches, but not below the first and always from the second bound on.
+_CROWDED_SHARE, _CROWDED = 1 / 1024, (1 << 10, 1 << 18)
+
 _STRETCH = "anchor int, doc_id long, first int, prints binary, others binary"
+_COUNT = "anchor int, n long"
+_WINDOW = "anchor int, print long, doc_id long, first int"
 _SPAN = "doc_id long, first int, until int"
 _ENTRY = np.dtype([("doc", "<i8"), ("first", "<i4")])
 
@@ -45,10 +58,11 @@ def _binary(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
 
 
 class _Stretches:
-    """Stretches of some documents; equal ones become one row with all places."""
+    """Stretches of some documents, of all anchors, or with `crowded` (ascending) of those in it or not in it."""
 
-    def __init__(self, window: int):
-        self.window, self.parts, self.held = window, [], 0
+    def __init__(self, window: int, crowded: np.ndarray | None = None, inside: bool = False):
+        self.window, self.crowded, self.inside = window, crowded, inside
+        self.parts, self.held = [], 0
 
     def add(self, ids: np.ndarray, data: np.ndarray, at: np.ndarray) -> None:
         starts, ends, bounds = words(data, at, NOT_SPACE)
@@ -73,21 +87,51 @@ class _Stretches:
         opens = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
         content = np.add.reduceat(mix(whole[begin]), opens)
         text = np.repeat(np.arange(len(sizes)), sizes)[begin[opens]]
-        self.parts.append(
-            (
-                (anchors[place[opens]] >> np.uint64(32)).astype(np.uint32).view(np.int32),
-                ids[text],
-                (begin[opens] - bounds[text]).astype(np.int32),
-                content,
-                np.diff(np.append(opens, len(begin))),
-                whole[begin].view(np.int64),
-            )
+        part = (
+            (anchors[place[opens]] >> np.uint64(32)).astype(np.uint32).view(np.int32),
+            ids[text],
+            (begin[opens] - bounds[text]).astype(np.int32),
+            content,
+            np.diff(np.append(opens, len(begin))),
+        )
+        prints = whole[begin].view(np.int64)
+        if self.crowded is not None:
+            at = np.searchsorted(self.crowded, part[0]).clip(max=max(len(self.crowded) - 1, 0))
+            member = self.crowded[at] == part[0] if len(self.crowded) else np.zeros(len(opens), dtype=bool)
+            taken = member == self.inside
+            prints = prints[np.repeat(taken, part[4])]
+            part = tuple(x[taken] for x in part)
+        if len(prints):
+            self.parts.append((*part, prints))
+            self.held += len(part[0])
+
+    def _taken(self) -> tuple[np.ndarray, ...]:
+        columns = tuple(np.concatenate(x) for x in zip(*self.parts, strict=True))
+        self.parts, self.held = [], 0
+        return columns
+
+    def counts(self) -> pa.RecordBatch:
+        """Stretches of each anchor."""
+        anchor, n = np.unique(self._taken()[0], return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(n)], ["anchor", "n"])
+
+    def windows(self) -> pa.RecordBatch:
+        """Every window with its place."""
+        anchor, doc, first, _, sizes, prints = self._taken()
+        step = np.arange(len(prints), dtype=np.int32) - np.repeat((np.cumsum(sizes) - sizes).astype(np.int32), sizes)
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(np.repeat(anchor, sizes)),
+                pa.array(prints),
+                pa.array(np.repeat(doc, sizes)),
+                pa.array(np.repeat(first, sizes) + step),
+            ],
+            ["anchor", "print", "doc_id", "first"],
         )
-        self.held += len(opens)
 
     def rows(self) -> pa.RecordBatch:
-        anchor, doc, first, content, sizes, prints = (np.concatenate(x) for x in zip(*self.parts, strict=True))
-        self.parts, self.held = [], 0
+        """Stretches; equal ones become one row with all places."""
+        anchor, doc, first, content, sizes, prints = self._taken()
         order = np.lexsort((first, doc, content))
         change = np.append(True, content[order][1:] != content[order][:-1])
         for also in (anchor[order], sizes[order]):
@@ -191,22 +235,57 @@ def duplicate_spans(docs: DataFrame, window: int = 13) -> DataFrame:
     if window < ANCHOR or window - ANCHOR > 255:
         raise ValueError(f"a window has from {ANCHOR} to {ANCHOR + 255} words")
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = _Stretches(window)
-        for batch in batches:
-            for part in slices(batch):
-                held.add(part.column(0).to_numpy(), *text_bytes(part.column(1)))
-                if held.held >= _AT_ONCE:
-                    yield held.rows()
-        if held.held:
-            yield held.rows()
+    def cut(made: Callable[[_Stretches], pa.RecordBatch], crowded: np.ndarray | None = None, inside: bool = False):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held = _Stretches(window, crowded, inside)
+            for batch in batches:
+                for part in slices(batch):
+                    held.add(part.column(0).to_numpy(), *text_bytes(part.column(1)))
+                    if held.held >= at_once:
+                        yield made(held)
+            if held.held:
+                yield made(held)
+
+        return run
 
     def factor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _factors(batches, window)
 
+    at_once = _AT_ONCE
     read = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), "text")
-    blocks = read.mapInArrow(cut, _STRETCH).repartition("anchor").sortWithinPartitions("anchor", "doc_id")
-    return blocks.mapInArrow(factor, _SPAN)
+    sample = read.where(F.pmod(F.xxhash64("doc_id"), F.lit(_SAMPLED)) == 0)
+    crowded = _crowded_anchors(sample.mapInArrow(cut(_Stretches.counts), _COUNT))
+    blocks = (
+        read.mapInArrow(cut(_Stretches.rows, crowded), _STRETCH)
+        .repartition("anchor")
+        .sortWithinPartitions("anchor", "doc_id")
+    )
+    spans = blocks.mapInArrow(factor, _SPAN)
+    if not len(crowded):
+        return spans
+    places = written(read.mapInArrow(cut(_Stretches.windows, crowded, True), _WINDOW))
+    return spans.union(_crowded_spans(places, window))
+
+
+def _crowded_anchors(counted: DataFrame) -> np.ndarray:
+    """The anchors with too many stretches for one block, from counts in the sample; ascending."""
+    counts = written(counted.groupBy("anchor").agg(F.sum("n").alias("n")))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    least, most = (bound / _SAMPLED for bound in _CROWDED)
+    found = counts.where(F.col("n") >= min(most, max(least, total * _CROWDED_SHARE))).select("anchor").toPandas()
+    return np.sort(found["anchor"].to_numpy(np.int32))
+
+
+def _crowded_spans(places: DataFrame, window: int) -> DataFrame:
+    """Spans of the windows in `places` that a smaller document has too."""
+    shared = written(
+        places.groupBy("anchor", "print")
+        .agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("greatest"))
+        .where("least < greatest")
+        .select(F.col("anchor").alias("a"), F.col("print").alias("p"), "least")
+    )
+    again = (F.col("anchor") == F.col("a")) & (F.col("print") == F.col("p")) & (F.col("doc_id") > F.col("least"))
+    return places.join(shared, again).select("doc_id", "first", (F.col("first") + window).alias("until"))
 
 
 def _keep(texts: list[str | None], spans: list[list[dict] | None]) -> Iterator[tuple[int, int, str]]:

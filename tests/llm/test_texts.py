@@ -57,6 +57,28 @@ def test_repeated_passages_of_repeated_unnamed_and_no_rows(spark):
     assert rows(substrings.remove_repeated_passages(frame(spark, [], "doc_id long, text string"))) == []
 
 
+def test_crowded_anchors_are_spread(spark, monkeypatch):
+    """A line that most documents share, with other words around it, is no group of one task."""
+    monkeypatch.setattr(substrings, "_SAMPLED", 1)
+    rng = random.Random(3)
+    line = [f"l{i}" for i in range(15)]
+    docs = []
+    for i in range(400):
+        before, after = ([f"{w}{rng.randrange(10**6)}" for _ in range(20)] for w in "ba")
+        docs.append((i, " ".join(before + line[: rng.choice([6, 15])] + after)))
+    docs = [*docs, *((i + 1000, text) for i, text in docs[:40])]
+    df = frame(spark, docs, "doc_id long, text string").repartition(4)
+    largest = []
+    factors = substrings._crowded_spans
+    monkeypatch.setattr(substrings, "_crowded_spans", lambda p, w: largest.append(p) or factors(p, w))
+    monkeypatch.setattr(substrings, "_CROWDED", (100, 200))
+    found = {r[0]: tuple(r[1:]) for r in rows(substrings.remove_repeated_passages(df, 13))}
+    assert found == brute.kept_words(docs, 13)
+    (places,) = largest
+    assert places.count() > 1000 and places.select("anchor").distinct().count() < 20
+    assert places.groupBy("print").count().where("count > 400").count() == 0
+
+
 def test_windows_that_share_half_a_hash_are_told_apart(spark):
     head = [f"h{i}" for i in range(12)]
     n = 400_000
