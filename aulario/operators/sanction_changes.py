@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from bisect import bisect_left, insort
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,12 +22,15 @@ from aulario.operators.changes import (
     mark_first,
     split,
     turn,
+    union_all,
     update_rows,
 )
 from aulario.operators.rules import CI, mark
 from aulario.tables import Tables
 
 PERIOD = ["fecha_inicio", "fecha_fin"]
+#: Changes of a participant that are walked through in one round.
+WALKED = 50_000
 
 
 def _earliest_disjoint(batch: pd.DataFrame) -> pd.DataFrame:
@@ -49,15 +51,90 @@ def _earliest_disjoint(batch: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({ID: keep})
 
 
-def _granted_changes(batch: pd.DataFrame) -> pd.DataFrame:
-    """Keep, in request order, each change whose period touches none kept for another sanction."""
-    batch = batch.sort_values(ORDER, na_position="first")
-    sanction, start, end = (batch[c].to_numpy() for c in ("id_sancion", *PERIOD))
-    kept = np.zeros(len(batch), dtype=bool)
-    for i in range(len(batch)):
-        other = kept[:i] & (sanction[:i] != sanction[i])
-        kept[i] = not (other & (start[:i] <= end[i]) & (end[:i] >= start[i])).any()
-    return batch[kept][[CI, "id_sancion", *PERIOD]]
+def _walk_changes(batch: pd.DataFrame, most: int) -> pd.DataFrame:
+    """Decide the changes of a participant in request order: granted is what touches no day of another sanction.
+
+    Days granted in earlier rounds come as rows with ``tramo``. Granted days of different sanctions are disjoint, so
+    they are held as ordered stretches, those of one sanction merged where they overlap: the calendar bounds them. With
+    ``most`` changes there may be more to come, and the stretches are given back with the turn of the last change.
+    """
+    starts: list = []
+    held: dict = {}  # start: (end, sanction)
+    asked = batch[~batch["tramo"]].sort_values(ORDER, na_position="first")
+
+    def grant(sanction, start, end) -> bool:
+        i = bisect_left(starts, start)
+        if i and held[starts[i - 1]][0] >= start:
+            i -= 1
+        last = i
+        while last < len(starts) and starts[last] <= end:
+            if held[starts[last]][1] != sanction:
+                return False
+            last += 1
+        if last > i:
+            start, end = min(start, starts[i]), max(end, held[starts[last - 1]][0])
+        for old in starts[i:last]:
+            del held[old]
+        starts[i:last] = [start]
+        held[start] = (end, sanction)
+        return True
+
+    columns = ["id_sancion", *PERIOD]
+    for row in batch.loc[batch["tramo"], columns].itertuples(index=False, name=None):
+        grant(*row)
+    kept = asked[[grant(*row) for row in asked[columns].itertuples(index=False, name=None)]]
+    if len(asked) < most:
+        return kept
+    stretches = pd.DataFrame(
+        [(held[start][1], start, held[start][0]) for start in starts], columns=columns
+    ).assign(**{CI: batch[CI].iloc[0], "tramo": True, **{c: asked[c].iloc[-1] for c in ORDER}})
+    return pd.concat([kept, stretches[kept.columns].astype(kept.dtypes.to_dict())], ignore_index=True)
+
+
+def _granted_changes(asked: DataFrame) -> DataFrame:
+    """The changes (CI, id_sancion, period) that one-at-a-time processing would grant.
+
+    In a round, the first undecided changes of each participant, a constant number cut inside map tasks, are walked
+    through. The days they hold then decide others without order, as these come later: what touches a day of another
+    sanction is refused, what lies within days of its own sanction is granted. The first change left always takes a new
+    day, so the calendar bounds the rounds; a crowded participant is settled in a few.
+    """
+    change = [CI, "id_sancion", *PERIOD]
+    most = WALKED
+    undecided = asked.select(*change, *ORDER).withColumn("tramo", F.lit(False))
+    schema = undecided.schema
+    in_turn = Window.partitionBy(CI).orderBy(*ORDER)
+    stretches, parts = None, []
+    while True:
+        undecided = cut(undecided)
+        first = undecided.withColumn("n", F.row_number().over(in_turn)).filter(F.col("n") <= most).drop("n")
+        if stretches is not None:
+            present = stretches.join(undecided.select(CI).distinct(), CI, "left_semi")
+            first = first.unionByName(present)
+        walked = cut(first.groupBy(CI).applyInPandas(lambda batch: _walk_changes(batch, most), schema))
+        parts.append(walked.filter("NOT tramo").select(*change))
+        stretches = walked.filter("tramo")
+        if stretches.isEmpty():
+            return union_all(parts)
+        days = cut(
+            stretches.groupBy(CI).agg(
+                F.max(turn()).alias("hasta"),
+                F.collect_list(F.struct("id_sancion", *PERIOD)).alias("tramos"),
+            )
+        )
+        rest = undecided.join(days, CI).filter(turn() > F.col("hasta"))
+        begin, end, own = F.col("fecha_inicio"), F.col("fecha_fin"), F.col("id_sancion")
+        refused = F.exists(
+            "tramos",
+            lambda d: (d["id_sancion"] != own) & (d["fecha_inicio"] <= end) & (d["fecha_fin"] >= begin),
+        )
+        covered = F.exists(
+            "tramos",
+            lambda d: (d["id_sancion"] == own) & (d["fecha_inicio"] <= begin) & (d["fecha_fin"] >= end),
+        )
+        judged = cut(rest.filter(~refused).withColumn("cubierta", covered).drop("hasta", "tramos"))
+        parts.append(judged.filter("cubierta").select(*change))
+        undecided = judged.filter("NOT cubierta").drop("cubierta")
 
 
 def candidates(requests: DataFrame) -> DataFrame:
@@ -183,11 +260,10 @@ def update_sanctions(changes: DataFrame, t: Tables) -> ChangeResult:
     judged = rules.dates_in_order(judged)
     judged = cut(judged)
     fit = F.col("existe") & ~F.col("solapada") & F.col("fechas_en_orden")
-    # Equal changes of a sanction share their verdict, so one of each is walked through.
+    # Equal changes of a sanction share their verdict, so one of each is decided.
     change = [CI, "id_sancion", *PERIOD]
     asked = judged.filter(fit).groupBy(*change).agg(F.min(turn()).alias("t")).select(*change, *[f"t.{c}" for c in ORDER])
-    granted = asked.groupBy(CI).applyInPandas(_granted_changes, asked.select(*change).schema)
-    judged = cut(mark(judged, granted, change, "concedida"))
+    judged = cut(mark(judged, _granted_changes(asked), change, "concedida"))
     latest = (
         judged.filter(fit & F.col("concedida"))
         .groupBy("id_sancion")

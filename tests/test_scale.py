@@ -173,6 +173,46 @@ def test_sanctions_of_one_person_are_bounded_by_the_calendar(spark, seed):
     assert sanction_changes.candidates(asked).count() < 90 * 40
 
 
+def test_changes_of_one_person_are_walked_through_in_bounded_parts(spark, seed, monkeypatch):
+    """However many changes one person gets, a task walks through a constant number of them and the days taken."""
+    monkeypatch.setattr(sanction_changes, "WALKED", 25)
+    walk, i, n = sanction_changes._walk_changes, F.col("id"), 900
+    sizes = spark.sparkContext.accumulator(0)
+
+    def counted(batch, most):
+        assert (~batch["tramo"]).sum() <= most
+        sizes.add(1)
+        return walk(batch, most)
+
+    monkeypatch.setattr(sanction_changes, "_walk_changes", counted)
+    state = spark.range(40).select(
+        i.cast("int").alias("id_sancion"),
+        F.when(i < 30, "23456789").otherwise("34567890").alias("ci_participante"),
+        F.date_add(F.lit("2020-01-01").cast("date"), (i * 2).cast("int")).alias("fecha_inicio"),
+        F.date_add(F.lit("2020-01-01").cast("date"), (i * 2 + 1).cast("int")).alias("fecha_fin"),
+    )
+    start = F.date_add(F.lit("2027-01-01").cast("date"), ((i * 37) % 90).cast("int"))
+    asked = spark.range(n, numPartitions=4).select(
+        i.alias("id_solicitud"),
+        ((i * 7) % 40).cast("int").alias("id_sancion"),
+        start.alias("fecha_inicio"),
+        F.date_add(start, ((i * 11) % 7 + 1).cast("int")).alias("fecha_fin"),
+        F.when(i % 50 > 0, (i * 7919) % n).alias("solicitada_en"),
+    )
+    result = sanction_changes.update_sanctions(asked, seed.with_tables(sancion_participante=state))
+    kept, latest = [], {}
+    order = sorted(asked.collect(), key=lambda r: (-1 if r.solicitada_en is None else r.solicitada_en, r.id_solicitud))
+    for r in order:
+        who = r.id_sancion < 30
+        if all(w != who or s == r.id_sancion or r.fecha_fin < a or r.fecha_inicio > b for w, s, a, b in kept):
+            kept.append((who, r.id_sancion, r.fecha_inicio, r.fecha_fin))
+            latest[r.id_sancion] = r.id_solicitud
+    assert {r.id_solicitud for r in result.accepted.collect()} == set(latest.values())
+    replaced = result.rejected.filter("motivo = 'reemplazada'").count()
+    assert replaced == len(kept) - len(latest) and result.rejected.count() == n - len(latest)
+    assert 2 < sizes.value < 60
+
+
 def test_checkpoint_folder_of_the_session_is_used(spark):
     ensure_checkpoint_dir(spark)
     assert spark.sparkContext.getCheckpointDir() is not None
