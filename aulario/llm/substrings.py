@@ -1,16 +1,12 @@
-"""Removal of passages that occur in an earlier document, by parsing documents relative to reference blocks.
-
-A document is parsed greedily into factors: from the first word on, the next factor is the longest run that the
-reference holds, and a factor of at least `window` words is a duplicate span. Here the reference of a document is all
-text of documents with smaller ids. It is too large to be indexed in one place, so it is dealt into blocks by content:
-the anchor of a window of `window` words is the run of `ANCHOR` words in it with the least hash, and a block holds the
-windows of some anchors. Equal windows have equal anchors, so everything that a window can match lies in one block, and
-a document is factored against a block only where its own anchors point to it. Consecutive windows with one anchor form
-a stretch, the unit that is sent to a block.
-
-A factor grows while the window at its end is found in the block, and ends at the first that is not. At this bound,
-and at the bounds between stretches, each window that lies across is looked up by itself, so none is missed: the union
-of the spans is exactly what windows of equal words cover.
+"""Removal of passages that occur in an earlier document, by a join of window hashes dealt by minimiser.
+
+The words of a document are covered by windows of `window` words, and each window is looked up by its hash among the
+windows of documents with smaller ids. These are too many for one place, so they are dealt into blocks by content: the
+anchor of a window is the run of `ANCHOR` words in it with the least hash, and a block holds the windows of some anchors.
+Equal windows have equal anchors, so everything that a window can match lies in one block. Consecutive windows with one
+anchor form a stretch, the unit that is sent to a block; found windows in a row are one factor, and the union of the
+factors is what windows of equal words cover. This is no relative Lempel-Ziv parsing: neighbouring windows may come
+from different documents, and no longest match in one reference is grown, as the union does not need it.
 
 An anchor that very many places share would be a block without a bound. So the documents of a sample are cut first to
 find crowded anchors; the sample decides only which way an anchor goes, never a result. Windows of crowded anchors are rows
