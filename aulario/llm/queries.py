@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aulario.llm import chat, decontamination, lines, quality, sentencepiece, sharding, simhash, substrings, topk, toxicity
+from aulario.llm import (
+    chat,
+    decontamination,
+    filteraudit,
+    lines,
+    prefixtrie,
+    quality,
+    sentencepiece,
+    sharding,
+    simhash,
+    substrings,
+    tokenfiles,
+    topk,
+    toxicity,
+)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -126,6 +140,32 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns, convs = prefixtrie.numbered_turns(table(spark, sf_dir, "conversations"))
+    trie = prefixtrie.build_trie(*prefixtrie.with_shared_starts(turns, convs))
+    found = trie.with_parents().join(prefixtrie.end_digests(trie.ends), "node", "left")
+    return found.select(
+        "conv_id",
+        "depth",
+        "parent_conv_id",
+        "n_convs",
+        "n_children",
+        "n_leaves",
+        F.col("saved_chars").alias("saved_tokens"),
+        F.coalesce("ends_sha256", digest(F.lit(""))).alias("ends_sha256"),
+    )
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filteraudit.audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return tokenfiles.token_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 0)
+
+
 def corpus_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         op1_exact_top_k,
@@ -138,5 +178,8 @@ def corpus_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_line_dedup,
         op9_sentencepiece,
         op10_quality_classifier,
+        op11_prefix_trie,
+        op12_filter_audit,
+        op13_token_files,
     ]
     return {f.__name__: f for f in found}
