@@ -4,7 +4,7 @@ A byte-level tokenizer first cuts a text by a fixed pattern and merges inside th
 pattern whatever stands around them:
 
 * before a space or line feed that a character other than white space follows, and after such a line feed;
-* after an ASCII letter that an ASCII character other than a letter follows.
+* after a letter of Latin-1 that an ASCII character other than a letter follows.
 
 Texts are cut there, each distinct chunk is encoded by the library, and the ids are laid out in the order of the
 chunks. Prose repeats most of its chunks, so the library sees a small part of the text. A tokenizer of another kind is
@@ -15,18 +15,23 @@ from __future__ import annotations
 
 import json
 import os
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
+from aulario.llm.chunks import Ids, Remembered, added, runs, windows
 from aulario.llm.texts import text_bytes
 
-#: Bytes in which cuts are looked for at once; chunks that are distinct among them are encoded once.
-WINDOW = 8 << 20
-#: Chunks whose ids are remembered between windows, and the longest of them in characters.
-REMEMBERED, LONGEST = 300_000, 48
+#: Chunks whose ids are remembered.
+REMEMBERED = 600_000
+#: Chunks that are given to the library at once.
+AT_ONCE = 8_000
+#: Chunks without white space but for a space in front: a line feed between two of them is a piece of its own.
+_LINE = r"^ ?[^\s\x0b\x1c-\x1f\x{85}\pZ]+$"
 
-_FOLLOWED, _LETTER, _OTHER, _SPACE, _FEED = (np.uint8(1 << k) for k in range(5))
+_FOLLOWED, _LETTER, _OTHER, _SPACE, _FEED, _LEAD, _TAIL = (np.uint8(1 << k) for k in range(7))
 
 
 def _kinds() -> np.ndarray:
@@ -40,6 +45,10 @@ def _kinds() -> np.ndarray:
     kinds[letters] = (kinds[letters] & ~_OTHER) | _LETTER
     kinds[0x20] |= _SPACE
     kinds[0x0A] |= _FEED
+    # À to ÿ in UTF-8 are 0xC3 and one more byte; × and ÷ among them are no letters
+    kinds[0xC3] |= _LEAD
+    kinds[0x80:0xC0] |= _TAIL
+    kinds[[0x97, 0xB7]] &= ~_TAIL
     return kinds
 
 
@@ -57,7 +66,9 @@ def cuts(data: np.ndarray, edges: np.ndarray) -> np.ndarray:
     solid = (after & _FOLLOWED) != 0
     begins[:-1] = ((here & (_SPACE | _FEED)) != 0) & solid
     begins[1:] |= ((here & _FEED) != 0) & solid
-    begins[1:] |= ((here & _LETTER) != 0) & ((after & _OTHER) != 0)
+    letter = (here & _LETTER) != 0
+    letter[1:] |= ((here[1:] & _TAIL) != 0) & ((here[:-1] & _LEAD) != 0)
+    begins[1:] |= letter & ((after & _OTHER) != 0)
     begins[edges] = True
     return begins
 
@@ -90,62 +101,67 @@ class Encoder:
         self.library.no_padding()
         with open(path, encoding="utf-8") as file:
             self.cut = cuttable(json.load(file))
-        self.known: dict[str, bytes] = {}
-
-    def _encoded(self, texts: list[str]) -> list[bytes]:
-        found = self.library.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, dtype=np.uint32).tobytes() for x in found]
-
-    def _window(self, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of the chunks of a window, and how many each chunk has."""
-        bounds = np.append(starts, len(data)).astype(np.int64)
-        chunks = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(bounds), pa.py_buffer(data))
-        coded = chunks.dictionary_encode()
-        texts = coded.dictionary.to_pylist()
-        parts = [self.known.get(t) for t in texts]
-        missing = [i for i, p in enumerate(parts) if p is None]
-        for i, part in zip(missing, self._encoded([texts[i] for i in missing]), strict=True):
-            parts[i] = part
-            if len(self.known) < REMEMBERED and len(texts[i]) <= LONGEST:
-                self.known[texts[i]] = part
-        flat = np.frombuffer(b"".join(parts), dtype=np.uint32)
-        sizes = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)) // 4
-        first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        order = coded.indices.to_numpy(zero_copy_only=False)
-        count = sizes[order]
-        ends = np.cumsum(count)
-        places = np.arange(int(ends[-1]), dtype=np.int64) - np.repeat(ends - count - first[order], count)
-        return flat[places], count
+        self.distinct = Remembered(self._encoded, REMEMBERED)
+
+    def _one_by_one(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [x.ids for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+        return np.fromiter(chain.from_iterable(found), dtype=np.uint32, count=int(sizes.sum())), sizes
+
+    def _as_lines(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts that match `_LINE`, encoded as the lines of one text."""
+        feed = self.library.encode("\n", add_special_tokens=False).ids
+        if len(feed) != 1 or not texts:
+            return self._one_by_one(texts)
+        (found,) = self.library.encode_batch_fast(["\n".join(texts)], add_special_tokens=False)
+        ids = np.array(found.ids, dtype=np.uint32)
+        ends = np.append(np.flatnonzero(ids == feed[0]), len(ids))
+        if len(ends) != len(texts):
+            return self._one_by_one(texts)
+        return ids[ids != feed[0]], np.diff(ends, prepend=-1) - 1
+
+    def _encoded(self, texts: pa.Array) -> Ids:
+        lines = pc.match_substring_regex(texts, _LINE).to_numpy(zero_copy_only=False)
+        first, sizes = np.zeros(len(texts), dtype=np.int64), np.zeros(len(texts), dtype=np.int64)
+        flat, held = [np.zeros(0, dtype=np.uint32)], 0
+        for which, encode in ((np.flatnonzero(lines), self._as_lines), (np.flatnonzero(~lines), self._one_by_one)):
+            for low in range(0, len(which), AT_ONCE):
+                some = which[low : low + AT_ONCE]
+                ids, count = encode(texts.take(pa.array(some)).to_pylist())
+                first[some], sizes[some] = held + np.cumsum(count) - count, count
+                flat.append(ids)
+                held += len(ids)
+        return np.concatenate(flat), first, sizes
+
+    def count(self, column: pa.Array) -> np.ndarray:
+        """How often each id comes up in all texts, by id."""
+        counts = np.zeros(0, dtype=np.int64)
+        if not self.cut:
+            return np.bincount(self.encode(column)[0]).astype(np.int64)
+        for _, chunks in windows(*text_bytes(column), cuts):
+            ids, first, sizes = self.distinct(chunks.dictionary)
+            times = np.bincount(chunks.indices.to_numpy(), minlength=len(sizes))
+            own = np.bincount(ids[runs(first, sizes)], weights=np.repeat(times, sizes)).astype(np.int64)
+            counts = added(counts, own)
+        return counts
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after the other, and the n + 1 bounds between texts; null and '' have none."""
         data, at = text_bytes(column)
         if not self.cut:
-            parts = self._encoded([data[s:e].tobytes().decode() for s, e in zip(at, at[1:])])
-            sizes = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)) // 4
-            return np.frombuffer(b"".join(parts), dtype=np.uint32), np.concatenate([[0], np.cumsum(sizes)])
-        edges = at[(at > 0) & (at < len(data))]
-        ids, starts, counts, low = [], [], [], 0
-        while low < len(data):
-            size, high = WINDOW, 0
-            while not high:
-                end = min(len(data), low + size)
-                seen = min(len(data), end + 1)
-                begins = cuts(data[low:seen], edges[(edges > low) & (edges < seen)] - low)[: end - low]
-                begins[0] = False
-                found = np.flatnonzero(begins)
-                high = len(data) if end == len(data) else low + int(found[-1]) if len(found) else 0
-                size *= 2  # no cut in all of the window: a longer one
-            found = np.concatenate([[0], found[found < high - low]])
-            own, count = self._window(data[low:high], found)
-            ids.append(own)
-            starts.append(found + low)
-            counts.append(count)
-            low = high
-        if not ids:
+            ids, sizes = self._one_by_one([data[s:e].tobytes().decode() for s, e in zip(at, at[1:])])
+            return ids, np.concatenate([[0], np.cumsum(sizes)])
+        found, starts, counts = [], [], []
+        for begins, chunks in windows(data, at, cuts):
+            ids, first, sizes = self.distinct(chunks.dictionary)
+            order = chunks.indices.to_numpy()
+            found.append(ids[runs(first[order], sizes[order])])
+            starts.append(begins)
+            counts.append(sizes[order])
+        if not found:
             return np.zeros(0, dtype=np.uint32), np.zeros(len(at), dtype=np.int64)
         before = np.concatenate([[0], np.cumsum(np.concatenate(counts))])
-        return np.concatenate(ids), before[np.searchsorted(np.concatenate(starts), at)]
+        return np.concatenate(found), before[np.searchsorted(np.concatenate(starts), at)]
 
 
 _encoders: dict[str, Encoder] = {}

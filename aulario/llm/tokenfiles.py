@@ -29,18 +29,19 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from aulario.llm.bytelevel import encoder
+from aulario.llm.chunks import added
 from aulario.llm.texts import slices
 from aulario.llm.work import shared_folder
 
 #: Ids after which a block is closed.
 BLOCK_IDS = 1 << 16
 #: Text that is encoded at once inside a task, in bytes; a longer text alone.
-TEXT_BYTES = 8 << 20
+TEXT_BYTES = 16 << 20
 
 # By control byte: bytes of each of its four values, bytes of the values before each, bytes of all four.
-_LENGTHS = ((np.arange(256)[:, None] >> (2 * np.arange(4))) & 3).astype(np.int64) + 1
-_OFFSETS = np.cumsum(_LENGTHS, axis=1) - _LENGTHS
-_TOTALS = _LENGTHS.sum(axis=1)
+_LENGTHS = (((np.arange(256)[:, None] >> (2 * np.arange(4))) & 3) + 1).astype(np.int8)
+_OFFSETS = (np.cumsum(_LENGTHS, axis=1) - _LENGTHS).astype(np.int32)
+_TOTALS = _LENGTHS.sum(axis=1, dtype=np.int32)
 
 _BLOCK = pa.schema(
     [
@@ -58,27 +59,35 @@ _BLOCK = pa.schema(
 
 def pack(values: np.ndarray) -> tuple[bytes, bytes]:
     """(control bytes, data bytes) of 32-bit unsigned values; values that fill up the last control byte have no data."""
-    values = values.astype("<u4")
-    extra = (values > 0xFF).astype(np.uint8) + (values > 0xFFFF) + (values > 0xFFFFFF)
+    width = 2 if not len(values) or int(values.max()) <= 0xFFFF else 4  # bytes that have to be looked at
+    values = values.astype(f"<u{width}")
+    extra = (values > 0xFF).astype(np.uint8)
+    if width == 4:
+        extra += values > 0xFFFF
+        extra += values > 0xFFFFFF
     codes = np.zeros(-(-len(values) // 4) * 4, dtype=np.uint8)
     codes[: len(values)] = extra
     codes = codes.reshape(-1, 4)
     control = codes[:, 0] | codes[:, 1] << 2 | codes[:, 2] << 4 | codes[:, 3] << 6
-    kept = np.arange(4) <= extra[:, None]
-    return control.astype(np.uint8).tobytes(), values.view(np.uint8).reshape(-1, 4)[kept].tobytes()
+    kept = np.arange(width, dtype=np.uint8) <= extra[:, None]
+    return control.astype(np.uint8).tobytes(), values.view(np.uint8).reshape(-1, width)[kept].tobytes()
 
 
-def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
-    """The first `n` values of `pack`."""
+def unpack(control, data, n: int) -> np.ndarray:
+    """The first `n` values of what `pack` gave, from bytes or buffers."""
     codes = np.frombuffer(control, dtype=np.uint8)
     total = _TOTALS[codes]
-    places = ((np.cumsum(total) - total)[:, None] + _OFFSETS[codes]).reshape(-1)[:n]
+    before = np.cumsum(total, dtype=np.int32 if len(data) < 1 << 30 else np.int64) - total
+    places = (before[:, None] + _OFFSETS[codes]).reshape(-1)[:n]
     lengths = _LENGTHS[codes].reshape(-1)[:n]
-    room = np.frombuffer(data + b"\0\0\0", dtype=np.uint8)
+    room = np.frombuffer(data, dtype=np.uint8)
     values = room[places].astype(np.uint32)
+    longer = np.flatnonzero(lengths > 1)
     for k in range(1, 4):
-        longer = np.flatnonzero(lengths > k)
+        if not len(longer):
+            break
         values[longer] |= room[places[longer] + k].astype(np.uint32) << np.uint32(8 * k)
+        longer = longer[lengths[longer] > k + 1]
     return values
 
 
@@ -89,10 +98,7 @@ def count_ids(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
         counts = np.zeros(0, dtype=np.int64)
         for batch in batches:
             for part in slices(batch, "text", TEXT_BYTES):
-                ids, _ = encoder(tokenizer).encode(part.column(0))
-                own = np.bincount(ids, minlength=len(counts))
-                own[: len(counts)] += counts
-                counts = own
+                counts = added(counts, encoder(tokenizer).count(part.column(0)))
         found = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(counts[found])], ["id", "n"])
 
@@ -178,14 +184,16 @@ def read_token_files(spark, path: str, ids_type: str = "ids array<long>", digest
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                shard, start, n, doc_ids, sizes, control, data = (c[row].as_py() for c in batch.columns)
-                ids = order[unpack(control, data, n)]
-                ends = np.cumsum(np.array(sizes, dtype=np.int64))
+                shard, start, n, doc_ids, sizes, control, data = (c[row] for c in batch.columns)
+                shard, start, n, doc_ids = shard.as_py(), start.as_py(), n.as_py(), doc_ids.values
+                ids = order[unpack(control.as_buffer(), data.as_buffer(), n)]
+                sizes = sizes.values.to_numpy()
+                ends = np.cumsum(sizes)
                 begins = ends - sizes
                 found = [own(ids[s:e]) for s, e in zip(begins.tolist(), ends.tolist())]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(doc_ids, pa.int64()),
+                        doc_ids,
                         pa.array([shard] * len(sizes), pa.int32()),
                         pa.array(begins + start),
                         pa.array(sizes, pa.int64()),

@@ -13,7 +13,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from aulario.llm import bytelevel, filteraudit, prefixtrie, tokenfiles
+from aulario.llm import bytelevel, chunks, filteraudit, prefixtrie, tokenfiles
 from tests.conftest import frame, rows
 from tests.llm.brute import words
 
@@ -231,7 +231,7 @@ ODD_TEXTS = ["", None, " ", "\n\n", "a\n\nB", "a \nb", "don't 's'", "x  y", "é
 
 @pytest.mark.parametrize("window", [16, 8 << 20])
 def test_chunks_give_the_ids_of_whole_texts(monkeypatch, window):
-    monkeypatch.setattr(bytelevel, "WINDOW", window)
+    monkeypatch.setattr(chunks, "WINDOW", window)
     rng = random.Random(9)
     signs = [" ", "  ", "\n", "\t", "\r\n", " ", "　", "a", "The", "'s", "é", "12", "½", "_", "!!", "😀", "́", "\x1c", " "]
     texts = ODD_TEXTS + ["".join(rng.choice(signs) for _ in range(rng.randint(0, 60))) for _ in range(1500)] + ["x" * 3000]
