@@ -51,9 +51,25 @@ def _by_type(kind: Column, values: dict, other: Column) -> Column:
     return reduce(lambda c, v: F.when(kind == v, F.lit(values[v])).otherwise(c), values, other)
 
 
+def _joined_texts(parts: Column) -> Column:
+    """Neighbouring text parts as one, so that a control string that lies across them is seen as a whole."""
+    is_text = lambda p: F.coalesce(~p["type"].isin(*PLACEHOLDERS), F.lit(True))
+    text = lambda p: F.coalesce(p["text"], F.lit(""))
+
+    def added(done: Column, part: Column) -> Column:
+        last = F.get(done, F.size(done) - 1)
+        both = F.array(last.withField("text", F.concat(text(last), text(part)))).cast(PARTS)
+        follows = F.coalesce((F.size(done) > 0) & is_text(last) & is_text(part), F.lit(False))
+        return F.when(follows, F.concat(F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0))), both)).otherwise(
+            F.concat(done, F.array(part).cast(PARTS))
+        )
+
+    return F.aggregate(parts, F.array().cast(PARTS), added)
+
+
 def visited(parts: Column) -> tuple[Column, Column]:
     """The flattened content of a turn, and its attachments (type, ref, at: place in the content, tokens) in order."""
-    parts = F.coalesce(F.filter(parts, lambda p: p.isNotNull()), F.array().cast(PARTS))
+    parts = _joined_texts(F.coalesce(F.filter(parts, lambda p: p.isNotNull()), F.array().cast(PARTS)))
     pieces = F.transform(parts, lambda p: _by_type(p["type"], PLACEHOLDERS, escape(p["text"])))
     attached = F.transform(
         parts,

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from aulario.llm.work import written
+from aulario.llm.work import unused, written
 
 #: Binary logarithm of the number of registers of a sketch.
 SKETCH_BITS = 10
@@ -59,26 +59,28 @@ def widespread(lines: DataFrame, min_sites: int) -> DataFrame:
     return clear.select("h1", "h2", "first").union(near.join(exact, ["h1", "h2"]).select("h1", "h2", "first"))
 
 
-def _cleaned(docs: DataFrame, min_sites: int, site: str) -> tuple[DataFrame, Column, Column, Column]:
-    """`docs` with the marks of its lines, and of them the new text, the number of lines and of those left."""
+def _cleaned(docs: DataFrame, min_sites: int, site: str) -> tuple[DataFrame, Column, Column, Column, Column]:
+    """`docs` with the marks of its lines, and of them the marks, the new text, the number of lines and of those left."""
+    owner_, flags_ = unused(docs.columns, "_owner", "_flags")
     lines = written(line_table(docs.select("doc_id", "text", site), site))
     spread = written(widespread(lines, min_sites))
-    marks = spread.select(F.col("h1").alias("b1"), F.col("h2").alias("b2"), "first")
-    marked = lines.join(marks, (F.col("h1") == F.col("b1")) & (F.col("h2") == F.col("b2"))).where(
+    repeated = spread.select(F.col("h1").alias("b1"), F.col("h2").alias("b2"), "first")
+    marked = lines.join(repeated, (F.col("h1") == F.col("b1")) & (F.col("h2") == F.col("b2"))).where(
         F.struct("owner", "pos") != F.col("first")
     )
     # positions of a document as text flags, so that a line finds its flag by place
     gone = marked.groupBy("owner").agg(F.array_sort(F.collect_set("pos")).alias("gone"))
     ends = F.transform("gone", lambda p, i: p - F.when(i > 0, F.element_at("gone", i)).otherwise(-1))
     flags = F.array_join(F.transform(ends, lambda gap: F.concat(F.repeat(F.lit("k"), gap - 1), F.lit("g"))), "")
-    flagged = gone.select(F.col("owner").alias("_owner"), F.encode(flags, "US-ASCII").alias("_flags"))
+    flagged = gone.select(F.col("owner").alias(owner_), F.encode(flags, "US-ASCII").alias(flags_))
     all_lines = split_lines(docs["text"])
-    kept = F.filter(all_lines, lambda _, i: F.coalesce(F.substring("_flags", i + 1, 1) != F.lit(b"g"), F.lit(True)))
-    both = docs.join(flagged, docs["doc_id"] == F.col("_owner"), "left")
-    text = F.when(F.col("_flags").isNull(), docs["text"]).otherwise(F.array_join(kept, "\n"))
+    kept = F.filter(all_lines, lambda _, i: F.coalesce(F.substring(flags_, i + 1, 1) != F.lit(b"g"), F.lit(True)))
+    both = docs.join(flagged, docs["doc_id"] == F.col(owner_), "left")
+    marks = F.col(flags_)
+    text = F.when(marks.isNull(), docs["text"]).otherwise(F.array_join(kept, "\n"))
     size = F.greatest(F.size(all_lines), F.lit(0)).cast("long")
-    left = F.when(F.col("_flags").isNull(), size).otherwise(F.size(kept).cast("long"))
-    return both, text, size, left
+    left = F.when(marks.isNull(), size).otherwise(F.size(kept).cast("long"))
+    return both, marks, text, size, left
 
 
 def remove_boilerplate(docs: DataFrame, min_sites: int = 10, site: str = "source") -> DataFrame:
@@ -92,7 +94,7 @@ def remove_boilerplate(docs: DataFrame, min_sites: int = 10, site: str = "source
     one doc_id all lose a line that any of them is to lose at that position. Rows without doc_id stay as they are and
     do not count. An empty table gives an empty table.
     """
-    both, text, size, left = _cleaned(docs, min_sites, site)
+    both, _, text, size, left = _cleaned(docs, min_sites, site)
     kept = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     columns = [text.alias("text") if c == "text" else docs[f"`{c}`"] for c in kept]
     return both.select(*columns, size.alias("n_lines"), (size - left).alias("n_removed"))
@@ -100,9 +102,9 @@ def remove_boilerplate(docs: DataFrame, min_sites: int = 10, site: str = "source
 
 def without_boilerplate(docs: DataFrame, min_sites: int = 10, site: str = "source") -> DataFrame:
     """As `remove_boilerplate`, with just the columns of `docs`; `n_chars`, if there, follows the text."""
-    both, text, _, _ = _cleaned(docs, min_sites, site)
+    both, marks, text, _, _ = _cleaned(docs, min_sites, site)
     chars = F.char_length(text).cast("long")
     new = {"text": text}
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(F.col("_flags").isNull(), docs["n_chars"]).otherwise(chars)
+        new["n_chars"] = F.when(marks.isNull(), docs["n_chars"]).otherwise(chars)
     return both.select(*[new[c].alias(c) if c in new else docs[f"`{c}`"] for c in docs.columns])

@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from aulario.llm.work import written
+from aulario.llm.work import unused, written
 
 #: Bits by which a round draws the boundaries closer.
 STEP = 12
@@ -152,16 +152,19 @@ def shard_documents(docs: DataFrame, shards: int = 8, tolerance: float = 0.005)
             shard = shard + F.when(reached, 1).otherwise(0)
     cells = keys.count() // (ROWS_PER_CELL * shards) + 1
     cell = F.pmod(F.xxhash64("doc_id", h), F.lit(cells))
-    rows = docs.withColumns({"size": size, "shard": shard, "_cell": cell, "_hash": h})
-    # rows before each cell of a shard; there are shards * cells sums
-    counts = written(rows.groupBy("shard", "_cell").agg(F.count("*").alias("n")))
-    before = F.coalesce(
-        F.sum("n").over(Window.partitionBy("s").orderBy("c").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
+    names = [c for c in docs.columns if c.lower() not in ("size", "shard", "slot")]
+    own = unused([*names, "size", "shard", "slot"], "_cell", "_hash", "_place", "_of", "_at", "_n", "_before")
+    cell_, hash_, place, of, at, n, before_ = own
+    rows = docs.select(
+        *[f"`{c}`" for c in names], size.alias("size"), shard.alias("shard"), cell.alias(cell_), h.alias(hash_)
     )
-    before = counts.select(F.col("shard").alias("s"), F.col("_cell").alias("c"), "n").withColumn("before", before)
-    inside = Window.partitionBy("shard", "_cell").orderBy("_hash", "doc_id")
-    numbered = rows.withColumn("_place", F.row_number().over(inside))
-    joined = numbered.join(before, (F.col("shard") == F.col("s")) & (F.col("_cell") == F.col("c")))
-    slot = (F.col("before") + F.col("_place") - 1).cast("long")
-    names = [c for c in docs.columns if c not in ("size", "shard", "slot")]
+    # rows before each cell of a shard; there are shards * cells sums
+    counts = written(rows.groupBy("shard", cell_).agg(F.count("*").alias(n)))
+    earlier = Window.partitionBy(of).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select(F.col("shard").alias(of), F.col(cell_).alias(at), n)
+    before = before.withColumn(before_, F.coalesce(F.sum(n).over(earlier), F.lit(0)))
+    inside = Window.partitionBy("shard", cell_).orderBy(hash_, "doc_id")
+    numbered = rows.withColumn(place, F.row_number().over(inside))
+    joined = numbered.join(before, (F.col("shard") == F.col(of)) & (F.col(cell_) == F.col(at)))
+    slot = (F.col(before_) + F.col(place) - 1).cast("long")
     return joined.select(*[f"`{c}`" for c in names], "size", "shard", slot.alias("slot"))

@@ -24,6 +24,17 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+def unused(columns: list[str], *names: str) -> list[str]:
+    """The names with underscores added until no column is called so, in any case."""
+    taken, found = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        found.append(name)
+    return found
+
+
 def written(df: DataFrame) -> DataFrame:
     """The rows of `df`, written once as Parquet in the shared folder and read back with the same schema."""
     spark = df.sparkSession
