@@ -37,7 +37,7 @@ def _earlier(turns: str) -> Column:
 
 def _granted_turns(granted: DataFrame, keys: list[str], name: str) -> DataFrame:
     # At most the quota per key: only requests subject to it are counted.
-    return granted.filter("con_cuota").groupBy(*keys).agg(F.collect_list(turn()).alias(name))
+    return cut(granted.filter("con_cuota").groupBy(*keys).agg(F.collect_list(turn()).alias(name)))
 
 
 def admit_bookings(
@@ -60,10 +60,11 @@ def admit_bookings(
         valid = valid & F.col(column).isNotNull()
     if not_before is not None:
         valid = valid & (F.col("fecha") >= F.lit(str(not_before)).cast("date"))
+    requests = cut(requests)
     judged = rules.exists_in(requests, t.participante, {CI: "ci"}, "existe")
-    judged = rules.exists_in(judged, t.turno, {"id_turno": "id_turno"}, "hay_turno")
-    judged = rules.room_allowed(rules.no_sanction(judged, t, as_of), t)
-    judged = rules.slot_free(rules.booked_that_day(judged, t), t)
+    judged = rules.exists_in(judged, t.turno, {"id_turno": "id_turno"}, "hay_turno", requests)
+    judged = rules.room_allowed(rules.no_sanction(judged, t, as_of), t, requests)
+    judged = rules.slot_free(rules.booked_that_day(judged, t, requests), t, requests)
     judged = cut(
         judged.withColumn(
             "motivo",
@@ -89,6 +90,7 @@ def admit_bookings(
             Limit([CI, "lunes"], "libre_semana", MAX_BOOKINGS_PER_WEEK, "con_cuota"),
         ],
     )
+    granted = cut(granted)
     subject = F.col("con_cuota")
     refused = (
         open_requests.join(granted.select(ID), ID, "left_anti")
@@ -117,7 +119,8 @@ def admit_bookings(
             ),
         ),
     )
-    return ChangeResult(tables, booked, rejected)
+    new = booked.select("id_reserva")
+    return ChangeResult(tables, booked, rejected, {"reserva": new, "reserva_participante": new})
 
 
 def move_bookings(moves: DataFrame, t: Tables) -> ChangeResult:
@@ -128,10 +131,11 @@ def move_bookings(moves: DataFrame, t: Tables) -> ChangeResult:
     the first move into a slot count.
     """
     columns = moves.columns
+    moves = cut(moves)
     judged = rules.slot_free_for_move(moves, t)
-    judged = rules.exists_in(judged, _touched(t, moves), {"id_reserva": "id_reserva"}, "existe")
-    judged = rules.exists_in(judged, t.sala, {c: c for c in ROOM}, "hay_sala")
-    judged = rules.exists_in(judged, t.turno, {"id_turno": "id_turno"}, "hay_turno")
+    judged = mark(judged, _touched(t, moves), ["id_reserva"], "existe")
+    judged = rules.exists_in(judged, t.sala, {c: c for c in ROOM}, "hay_sala", moves)
+    judged = rules.exists_in(judged, t.turno, {"id_turno": "id_turno"}, "hay_turno", moves)
     fit = F.col("existe") & F.col("turno_libre") & F.col("hay_sala") & F.col("hay_turno")
     judged = mark_first(judged, ["id_reserva"], "primera", fit)
     judged = mark_first(judged, SLOT, "primera_en_turno", fit & F.col("primera"))
@@ -148,7 +152,8 @@ def move_bookings(moves: DataFrame, t: Tables) -> ChangeResult:
     )
     accepted, rejected = split(judged, *columns)
     moved = update_rows(t.reserva, accepted.select("id_reserva", *SLOT), ["id_reserva"])
-    return ChangeResult(t.with_tables(reserva=moved), accepted, rejected)
+    touched = {"reserva": accepted.select("id_reserva")}
+    return ChangeResult(t.with_tables(reserva=moved), accepted, rejected, touched)
 
 
 def _touched(t: Tables, asked: DataFrame) -> DataFrame:
@@ -165,17 +170,16 @@ def set_status(changes: DataFrame, t: Tables, own_only: bool = False) -> ChangeR
     With ``own_only`` the requester (``ci_participante``) must take part in the booking.
     """
     columns = changes.columns
-    judged = rules.valid_status(changes)
-    judged = rules.exists_in(judged, _touched(t, changes), {"id_reserva": "id_reserva"}, "existe")
+    judged = mark(rules.valid_status(changes), _touched(t, changes), ["id_reserva"], "existe")
     checks = [("reserva_inexistente", F.col("existe")), ("estado_invalido", F.col("estado_valido"))]
     if own_only:
         judged = mark(judged, _touched_people(t, changes), ["id_reserva", CI], "propia")
         checks.insert(1, ("reserva_ajena", F.col("propia")))
     accepted, rejected = split(judged.withColumn("motivo", first_reason(*checks)), *columns)
     updates = last_change(accepted, ["id_reserva"], "estado")
-    return ChangeResult(
-        t.with_tables(reserva=update_rows(t.reserva, updates, ["id_reserva"])), accepted, rejected
-    )
+    changed = update_rows(t.reserva, updates, ["id_reserva"])
+    touched = {"reserva": updates.select("id_reserva")}
+    return ChangeResult(t.with_tables(reserva=changed), accepted, rejected, touched)
 
 
 def cancel_bookings(changes: DataFrame, t: Tables, own_only: bool = False) -> ChangeResult:
@@ -200,7 +204,9 @@ def purge_bookings(asked: DataFrame, t: Tables) -> ChangeResult:
         "motivo", F.coalesce("motivo", F.when(~F.col("primera"), "reserva_inexistente"))
     )
     accepted, rejected = split(judged, *columns)
-    return ChangeResult(_without_bookings(t, accepted), accepted, rejected)
+    gone = accepted.select("id_reserva")
+    touched = {"reserva": gone, "reserva_participante": gone}
+    return ChangeResult(_without_bookings(t, gone), accepted, rejected, touched)
 
 
 def purge_all_bookings(t: Tables) -> Tables:
@@ -249,6 +255,7 @@ def add_participants(requests: DataFrame, t: Tables, enforce: bool = True) -> Ch
     ``enforce`` the room is not checked.
     """
     columns = requests.columns
+    requests = cut(requests)
     inside = _touched_people(t, requests)
     sizes = (
         _touched(t, requests)
@@ -258,15 +265,17 @@ def add_participants(requests: DataFrame, t: Tables, enforce: bool = True) -> Ch
     )
     judged = requests.join(cut(sizes), "id_reserva", "left")
     judged = mark(judged, inside, ["id_reserva", CI], "ya_dentro")
-    judged = rules.exists_in(judged, t.participante, {CI: "ci"}, "existe")
+    judged = rules.exists_in(judged, t.participante, {CI: "ci"}, "existe", requests)
     candidate = F.col("libres").isNotNull() & F.col("existe") & ~F.col("ya_dentro")
     judged = mark_first(judged, ["id_reserva", CI], "primera", candidate)
     pool = judged.filter(candidate & F.col("primera"))
     if not enforce:
         judged = judged.withColumn("en_cupo", F.lit(True)).withColumn("llena", F.lit(False))
     else:
-        winners = first_per_booking(
-            pool.filter("libres > 0").select("id_reserva", *ORDER, "libres"), "libres"
+        winners = cut(
+            first_per_booking(
+                pool.filter("libres > 0").select("id_reserva", *ORDER, "libres"), "libres"
+            )
         )
         filled = (
             winners.groupBy("id_reserva", "libres")
@@ -275,7 +284,7 @@ def add_participants(requests: DataFrame, t: Tables, enforce: bool = True) -> Ch
             .select("id_reserva", "lleno_desde")
         )
         judged = (
-            mark(judged, winners, [ID], "en_cupo")
+            rules.flag(judged, winners, [ID], "en_cupo")
             .join(filled, "id_reserva", "left")
             .withColumn(
                 "llena",
@@ -299,7 +308,12 @@ def add_participants(requests: DataFrame, t: Tables, enforce: bool = True) -> Ch
     tables = t.with_tables(
         reserva_participante=insert_rows(t.reserva_participante, rows),
     )
-    return ChangeResult(tables, accepted, rejected)
+    touched = {"reserva_participante": accepted.select("id_reserva", CI)}
+    return ChangeResult(tables, accepted, rejected, touched)
+
+
+def _turn_type(requests: DataFrame):
+    return requests.select(turn().alias("turno")).schema["turno"].dataType
 
 
 def remove_participants(requests: DataFrame, t: Tables, enforce: bool = True) -> ChangeResult:
@@ -307,35 +321,47 @@ def remove_participants(requests: DataFrame, t: Tables, enforce: bool = True) ->
 
     Only a batch that names every participant of a booking has a removal refused by that
     rule: the last of their first requests. Once a single one is left, every later request
-    is refused. So bookings need counts and the last turns, not a ranking; these come from
-    one row per person asked for. The rule is checked before membership.
+    is refused. So bookings need counts and the last two turns, not a ranking; these come from
+    one row per person, in which participations and requests are put together. The rule is
+    checked before membership.
     """
     columns = requests.columns
     person = ["id_reserva", CI]
-    inside = _touched_people(t, requests)
-    asked = requests.groupBy(*person).agg(F.min(turn()).alias("turno"))
-    useful = cut(asked.join(inside.select(*person), person, "left_semi"))
-    sizes = participants_by_booking(inside)
-    last = useful.groupBy("id_reserva").agg(
-        F.count("*").alias("pedidos"), F.max("turno").alias("final")
+    requests = cut(requests)
+    rows = _touched_people(t, requests).select(
+        *person, F.lit(1).alias("filas"), F.lit(None).cast(_turn_type(requests)).alias("turno")
+    )
+    asked = requests.select(*person, F.lit(0).alias("filas"), turn().alias("turno"))
+    people = cut(
+        rows.unionByName(asked)
+        .groupBy(*person)
+        .agg(F.sum("filas").alias("filas"), F.min("turno").alias("turno"))
+        .filter("filas > 0")
     )
-    bookings = sizes.join(last, "id_reserva", "left")
-    everyone = F.col("pedidos") == F.col("num_participantes")
-    next_to_last = (
-        useful.join(bookings.filter(everyone), "id_reserva")
-        .filter(F.col("turno") < F.col("final"))
+    newest = Window.partitionBy("id_reserva").orderBy(F.desc("turno"))
+    last = (
+        people.filter("turno IS NOT NULL")
+        .withColumn("n", F.row_number().over(newest))
+        .filter("n <= 2")
         .groupBy("id_reserva")
-        .agg(F.max("turno").alias("anterior"))
+        .agg(
+            F.max("turno").alias("final"),
+            F.when(F.count("*") > 1, F.min("turno")).alias("anterior"),
+        )
+    )
+    sizes = people.groupBy("id_reserva").agg(
+        F.sum("filas").alias("num_participantes"), F.count("turno").alias("pedidos")
     )
     bookings = cut(
-        bookings.join(next_to_last, "id_reserva", "left").select(
-        "id_reserva",
-        "num_participantes",
-        F.when(everyone, F.col("anterior"))
-        .when(F.col("pedidos") == F.col("num_participantes") - 1, F.col("final"))
-        .alias("uno_desde"),
+        sizes.join(last, "id_reserva", "left").select(
+            "id_reserva",
+            "num_participantes",
+            F.when(F.col("pedidos") == F.col("num_participantes"), F.col("anterior"))
+            .when(F.col("pedidos") == F.col("num_participantes") - 1, F.col("final"))
+            .alias("uno_desde"),
         )
     )
+    useful = people.filter("turno IS NOT NULL").select(*person, "turno")
     judged = requests.join(useful, person, "left").join(bookings, "id_reserva", "left")
     alone = (or_zero("num_participantes") <= 1) | F.coalesce(
         F.col("uno_desde") < turn(), F.lit(False)
@@ -349,7 +375,8 @@ def remove_participants(requests: DataFrame, t: Tables, enforce: bool = True) ->
     )
     accepted, rejected = split(judged, *columns)
     kept = delete_rows(t.reserva_participante, accepted, person)
-    return ChangeResult(t.with_tables(reserva_participante=kept), accepted, rejected)
+    touched = {"reserva_participante": accepted.select(*person)}
+    return ChangeResult(t.with_tables(reserva_participante=kept), accepted, rejected, touched)
 
 
 def mark_attendance(marks: DataFrame, t: Tables) -> ChangeResult:
@@ -366,4 +393,5 @@ def mark_attendance(marks: DataFrame, t: Tables) -> ChangeResult:
     keys = ["id_reserva", CI]
     updates = last_change(accepted, keys, "asistio").withColumnRenamed("asistio", "asistencia")
     updated = update_rows(t.reserva_participante, updates, keys)
-    return ChangeResult(t.with_tables(reserva_participante=updated), accepted, rejected)
+    touched = {"reserva_participante": updates.select(*keys)}
+    return ChangeResult(t.with_tables(reserva_participante=updated), accepted, rejected, touched)

@@ -8,7 +8,7 @@ the order in which the requests are taken.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -24,9 +24,16 @@ ORDER = ["solicitada_en", ID]
 
 @dataclass(frozen=True)
 class ChangeResult:
+    """The new state, the accepted requests and the rejected ones.
+
+    ``touched`` names, for each table that changes, the keys of the rows that are new, gone or
+    different, before or after: what follows a change looks at these rows only.
+    """
+
     tables: Tables
     accepted: DataFrame
     rejected: DataFrame
+    touched: dict[str, DataFrame] = field(default_factory=dict)
 
     def outcomes(self) -> DataFrame:
         """One row per request: whether it was accepted, and why not."""

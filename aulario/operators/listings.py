@@ -27,8 +27,6 @@ LISTING_LIMIT = 100
 CONSOLE_LIMIT = 50
 OWN_LIMIT = 20
 DASHBOARD_LIMIT = 10
-# Rows over which the participants of each booking are spread in the nested listing.
-PARTS = 16
 
 
 def _is(**values: object) -> Column | None:
@@ -102,25 +100,22 @@ def booking_participants(t: Tables, id_reserva: object = None) -> DataFrame:
 
 
 def bookings_with_participants(t: Tables, id_reserva: object = None) -> DataFrame:
-    """Bookings with their participants as nested lists, ordered by identity number.
+    """One row a booking with its participants as a nested list, ordered by identity number.
 
-    The participants of every booking are spread over ``PARTS`` numbered parts by a digest of
-    the identity number; a row holds one part (``parte``), and a booking without participants
-    has one row with an empty list. So a crowded booking is collected by many tasks, and
-    small ones look the same whatever the size of others.
+    The list is collected as a tree: every task first gathers what it has of a booking, and
+    these parts are concatenated behind the shuffle. So a crowded booking is collected by all
+    tasks that hold some of it, and one row meets per task and booking. A booking without
+    participants has an empty list.
     """
     person = F.struct("ci_participante", "nombre", "apellido", "email", "asistencia")
-    digest = F.md5(F.col("ci_participante").cast("string").cast("binary"))
     lists = (
         booking_participants(t, id_reserva)
-        .withColumn("parte", F.conv(F.substring(digest, 1, 1), 16, 10).cast("int") % PARTS)
-        .groupBy("id_reserva", "parte")
+        .groupBy("id_reserva")
         .agg(F.array_sort(F.collect_list(person)).alias("participantes"))
     )
     return (
         bookings_detailed(t, id_reserva)
         .join(lists, "id_reserva", "left")
-        .withColumn("parte", F.coalesce("parte", F.lit(0)))
         .withColumn("participantes", F.coalesce("participantes", F.array()))
     )
 

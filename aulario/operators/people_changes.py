@@ -74,7 +74,11 @@ def register_participants(people: DataFrame, t: Tables) -> ChangeResult:
         participante=insert_rows(t.participante, accepted),
         participante_programa_academico=insert_rows(t.participante_programa_academico, accepted),
     )
-    return ChangeResult(tables, accepted, rejected)
+    touched = {
+        "participante": accepted.select("ci"),
+        "participante_programa_academico": accepted.select("id_alumno_programa"),
+    }
+    return ChangeResult(tables, accepted, rejected, touched)
 
 
 def update_participants(changes: DataFrame, t: Tables) -> ChangeResult:
@@ -95,14 +99,14 @@ def update_participants(changes: DataFrame, t: Tables) -> ChangeResult:
     )
     own = (F.col("titular") == F.col("ci")) & (F.col("otro_titular") == F.col("ci"))
     judged = cut(
-        judged.join(holders, "email", "left").withColumn(
+        judged.join(cut(holders), "email", "left").withColumn(
             "email_libre", F.col("titular").isNull() | own
         )
     )
     fit = F.col("existe") & F.col("email_libre")
     first = F.min(F.struct(turn().alias("turno"), F.col("ci"))).alias("p")
     takers = judged.filter(fit).groupBy("email").agg(first).select("email", F.col("p.ci").alias("dueno"))
-    judged = judged.join(takers, "email", "left").withColumn(
+    judged = judged.join(cut(takers), "email", "left").withColumn(
         "concedida", fit & F.coalesce(F.col("dueno") == F.col("ci"), F.lit(False))
     )
     judged = cut(judged)
@@ -118,7 +122,8 @@ def update_participants(changes: DataFrame, t: Tables) -> ChangeResult:
     accepted, rejected = split(judged, *columns)
     updates = accepted.select("ci", "nombre", "apellido", "email")
     updated = update_rows(t.participante, updates, ["ci"])
-    return ChangeResult(t.with_tables(participante=updated), accepted, rejected)
+    touched = {"participante": updates.select("ci")}
+    return ChangeResult(t.with_tables(participante=updated), accepted, rejected, touched)
 
 
 def delete_participants(asked: DataFrame, t: Tables) -> ChangeResult:
@@ -141,7 +146,11 @@ def delete_participants(asked: DataFrame, t: Tables) -> ChangeResult:
         participante_programa_academico=delete_rows(t.participante_programa_academico, gone, [CI]),
         participante=delete_rows(t.participante, gone, ["ci"]),
     )
-    return ChangeResult(tables, accepted, rejected)
+    touched = {
+        name: gone.select(CI)
+        for name in ("sancion_participante", "reserva_participante", "participante_programa_academico")
+    }
+    return ChangeResult(tables, accepted, rejected, touched | {"participante": gone.select("ci")})
 
 
 ENROLMENT = [CI, "nombre_programa"]
@@ -177,7 +186,9 @@ def add_enrolments(requests: DataFrame, t: Tables) -> ChangeResult:
     accepted, rejected = split(judged, *columns)
     created = assign_ids(accepted, t.participante_programa_academico, "id_alumno_programa", ORDER)
     enrolled = insert_rows(t.participante_programa_academico, created)
-    return ChangeResult(t.with_tables(participante_programa_academico=enrolled), created, rejected)
+    tables = t.with_tables(participante_programa_academico=enrolled)
+    touched = {"participante_programa_academico": created.select("id_alumno_programa")}
+    return ChangeResult(tables, created, rejected, touched)
 
 
 def remove_enrolments(requests: DataFrame, t: Tables) -> ChangeResult:
@@ -188,4 +199,6 @@ def remove_enrolments(requests: DataFrame, t: Tables) -> ChangeResult:
     )
     accepted, rejected = split(judged, *columns)
     kept = delete_rows(t.participante_programa_academico, accepted, ENROLMENT)
-    return ChangeResult(t.with_tables(participante_programa_academico=kept), accepted, rejected)
+    tables = t.with_tables(participante_programa_academico=kept)
+    touched = {"participante_programa_academico": accepted.select(*ENROLMENT)}
+    return ChangeResult(tables, accepted, rejected, touched)

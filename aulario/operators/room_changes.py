@@ -9,6 +9,7 @@ from aulario.functions.scalar import Date
 from aulario.operators import rules
 from aulario.operators.changes import (
     ChangeResult,
+    cut,
     delete_rows,
     first_reason,
     insert_rows,
@@ -47,7 +48,8 @@ def create_rooms(requests: DataFrame, t: Tables) -> ChangeResult:
         ),
     )
     accepted, rejected = split(judged, *columns)
-    return ChangeResult(t.with_tables(sala=insert_rows(t.sala, accepted)), accepted, rejected)
+    rooms = insert_rows(t.sala, accepted)
+    return ChangeResult(t.with_tables(sala=rooms), accepted, rejected, {"sala": accepted.select(*ROOM)})
 
 
 def update_rooms(changes: DataFrame, t: Tables, as_of: Date) -> ChangeResult:
@@ -57,6 +59,7 @@ def update_rooms(changes: DataFrame, t: Tables, as_of: Date) -> ChangeResult:
     has no bookings. A new name must be free before the batch and goes to the first request.
     """
     columns = changes.columns
+    changes = cut(changes)
     renamed = (F.col("nuevo_nombre_sala") != F.col("nombre_sala")) | (
         F.col("nuevo_edificio") != F.col("edificio")
     )
@@ -65,10 +68,10 @@ def update_rooms(changes: DataFrame, t: Tables, as_of: Date) -> ChangeResult:
     )
     judged = mark(judged, t.sala, ROOM, "existe")
     judged = rules.exists_in(
-        judged, t.sala, dict(zip(NEW_ROOM, ROOM, strict=True)), "nombre_ocupado"
+        judged, t.sala, dict(zip(NEW_ROOM, ROOM, strict=True)), "nombre_ocupado", changes
     )
     judged = (
-        rules.room_deletion_blocks(t, judged, as_of)
+        rules.room_deletion_blocks(t, judged, as_of, changes)
         .withColumn("cambia_nombre", renamed)
         .withColumn("valida", _valid_room())
     )
@@ -102,7 +105,9 @@ def update_rooms(changes: DataFrame, t: Tables, as_of: Date) -> ChangeResult:
         "capacidad",
         "tipo_sala",
     )
-    return ChangeResult(t.with_tables(sala=shaped_like(t.sala, moved)), accepted, rejected)
+    after = keys.select(*[F.col(n).alias(c) for n, c in zip(NEW_ROOM, ROOM, strict=True)])
+    touched = {"sala": keys.select(*ROOM).union(after).distinct()}
+    return ChangeResult(t.with_tables(sala=shaped_like(t.sala, moved)), accepted, rejected, touched)
 
 
 def delete_rooms(asked: DataFrame, t: Tables, as_of: Date) -> ChangeResult:
@@ -119,7 +124,8 @@ def delete_rooms(asked: DataFrame, t: Tables, as_of: Date) -> ChangeResult:
         ),
     )
     accepted, rejected = split(judged, *columns)
-    return ChangeResult(t.with_tables(sala=delete_rows(t.sala, accepted, ROOM)), accepted, rejected)
+    kept = delete_rows(t.sala, accepted, ROOM)
+    return ChangeResult(t.with_tables(sala=kept), accepted, rejected, {"sala": accepted.select(*ROOM)})
 
 
 def create_buildings(requests: DataFrame, t: Tables) -> ChangeResult:
@@ -137,4 +143,5 @@ def create_buildings(requests: DataFrame, t: Tables) -> ChangeResult:
     )
     accepted, rejected = split(judged, *columns)
     buildings = insert_rows(t.edificio, accepted)
-    return ChangeResult(t.with_tables(edificio=buildings), accepted, rejected)
+    touched = {"edificio": accepted.select("nombre_edificio")}
+    return ChangeResult(t.with_tables(edificio=buildings), accepted, rejected, touched)

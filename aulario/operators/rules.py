@@ -6,7 +6,9 @@ the cost follows the size of the change set; whether the narrowing side is
 broadcast is left to the size limits of the session.
 
 Requests carry ``id_solicitud`` (unique), ``ci_participante``, the four slot
-columns and ``solicitada_en``.
+columns and ``solicitada_en``. Rules that follow one another are given the requests
+as they were written first in ``asked``: state is narrowed by those, and not by all
+joins of the rules before.
 """
 
 from __future__ import annotations
@@ -37,6 +39,13 @@ def mark(df: DataFrame, keys: DataFrame, on: list[str], name: str) -> DataFrame:
     return df.join(present, on, "left").withColumn(name, F.coalesce(name, F.lit(False)))
 
 
+def flag(df: DataFrame, keys: DataFrame, on: list[str], name: str) -> DataFrame:
+    """Like ``mark``, for keys that are distinct and materialised already."""
+    return df.join(keys.select(*on, F.lit(True).alias(name)), on, "left").withColumn(
+        name, F.coalesce(name, F.lit(False))
+    )
+
+
 def no_sanction(requests: DataFrame, t: Tables, as_of: Date) -> DataFrame:
     """``sin_sancion``: no sanction in force on the reference date (not the booked date)."""
     banned = t.sancion_participante.filter(in_force(as_of))
@@ -55,14 +64,14 @@ def active_bookings_by_day(t: Tables, people: DataFrame) -> DataFrame:
     )
 
 
-def booked_that_day(requests: DataFrame, t: Tables) -> DataFrame:
+def booked_that_day(requests: DataFrame, t: Tables, asked: DataFrame | None = None) -> DataFrame:
     """Add ``activas_dia`` and ``activas_semana``, the active bookings the quotas count.
 
     Days travel as a map inside their week (at most seven entries), so the requests are
     joined once.
     """
     weekly = (
-        active_bookings_by_day(t, requests)
+        active_bookings_by_day(t, asked or requests)
         .groupBy(CI, week_start(F.col("fecha")).alias("lunes"))
         .agg(
             F.sum("activas").alias("activas_semana"),
@@ -136,18 +145,18 @@ def privileged(t: Tables, people: DataFrame | None = None) -> DataFrame:
     )
 
 
-def with_privilege(requests: DataFrame, t: Tables) -> DataFrame:
-    return requests.join(cut(privileged(t, requests)), CI, "left").withColumn(
+def with_privilege(requests: DataFrame, t: Tables, asked: DataFrame | None = None) -> DataFrame:
+    return requests.join(cut(privileged(t, asked or requests)), CI, "left").withColumn(
         "privilegiado", F.coalesce("privilegiado", F.lit(False))
     )
 
 
-def room_allowed(requests: DataFrame, t: Tables) -> DataFrame:
+def room_allowed(requests: DataFrame, t: Tables, asked: DataFrame | None = None) -> DataFrame:
     """``sala_permitida`` (and ``privilegiado``): free rooms for all, the others for the privileged."""
     kind = F.col("tipo_sala")
     reserved = kind.isin([r for r in ROOM_TYPES if r != "libre"])
     return (
-        with_privilege(requests, t)
+        with_privilege(requests, t, asked)
         .join(t.sala.select(*ROOM, "tipo_sala"), ROOM, "left")
         .withColumn(
             "sala_permitida",
@@ -162,9 +171,9 @@ def touched_slots(requests: DataFrame, t: Tables) -> DataFrame:
     return t.reserva.join(requests.select(*SLOT), SLOT, "left_semi")
 
 
-def slot_free(requests: DataFrame, t: Tables) -> DataFrame:
+def slot_free(requests: DataFrame, t: Tables, asked: DataFrame | None = None) -> DataFrame:
     """``turno_libre``: no booking of any status holds the slot."""
-    return mark(requests, touched_slots(requests, t), SLOT, "turno_libre").withColumn(
+    return mark(requests, touched_slots(asked or requests, t), SLOT, "turno_libre").withColumn(
         "turno_libre", ~F.col("turno_libre")
     )
 
@@ -199,9 +208,11 @@ def _with_active_bookings(t: Tables, people: DataFrame) -> DataFrame:
     return own.join(t.reserva.filter(in_state("activa")), "id_reserva", "left_semi").select(CI)
 
 
-def room_deletion_blocks(t: Tables, rooms: DataFrame, as_of: Date) -> DataFrame:
+def room_deletion_blocks(
+    t: Tables, rooms: DataFrame, as_of: Date, asked: DataFrame | None = None
+) -> DataFrame:
     """Whether each given room has active, future or any bookings."""
-    touched = t.reserva.join(rooms.select(*ROOM), ROOM, "left_semi")
+    touched = t.reserva.join((asked or rooms).select(*ROOM), ROOM, "left_semi")
     uses = touched.groupBy(*ROOM).agg(
         F.bool_or(in_state("activa")).alias("con_activas"),
         F.bool_or(F.col("fecha") >= day(as_of)).alias("con_futuras"),
@@ -330,19 +341,23 @@ def not_in_past(requests: DataFrame, as_of: Date) -> DataFrame:
     return requests.withColumn("no_pasada", F.col("fecha") >= day(as_of))
 
 
-def exists_in(df: DataFrame, parent: DataFrame, on: dict[str, str], name: str) -> DataFrame:
+def exists_in(
+    df: DataFrame, parent: DataFrame, on: dict[str, str], name: str, asked: DataFrame | None = None
+) -> DataFrame:
     """Add ``name``: whether the referenced parent row exists (``on`` maps child to parent).
 
     Of the parent only the keys asked for are kept.
     """
     keys = parent.select(*[F.col(p).alias(c) for c, p in on.items()])
-    return mark(df, keys.join(df.select(*on), list(on), "left_semi"), list(on), name)
+    wanted = (asked or df).select(*on)
+    return mark(df, keys.join(wanted, list(on), "left_semi"), list(on), name)
 
 
 def evaluate_requests(requests: DataFrame, t: Tables, as_of: Date) -> DataFrame:
     """Every booking rule for every request, each judged against the state alone."""
-    judged = room_allowed(no_sanction(requests, t, as_of), t)
-    judged = slot_free(booked_that_day(judged, t), t)
+    asked = cut(requests)
+    judged = room_allowed(no_sanction(asked, t, as_of), t, asked)
+    judged = slot_free(booked_that_day(judged, t, asked), t, asked)
     return (
         judged.withColumn("en_limite_dia", F.col("activas_dia") < MAX_BOOKINGS_PER_DAY)
         .withColumn("en_limite_semana", F.col("activas_semana") < MAX_BOOKINGS_PER_WEEK)

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
-
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,120 +19,12 @@ from aulario.operators.changes import (
     mark_first,
     split,
     turn,
-    union_all,
     update_rows,
 )
+from aulario.operators.periods import PERIOD, granted_in_order
 from aulario.operators.rules import CI, mark
 from aulario.tables import Tables
 
-PERIOD = ["fecha_inicio", "fecha_fin"]
-#: Changes of a participant that are walked through in one round.
-WALKED = 50_000
-
-
-def _earliest_disjoint(batch: pd.DataFrame) -> pd.DataFrame:
-    """Keep, in request order, each period that touches none kept before."""
-    starts: list = []
-    ends: dict = {}
-    keep = []
-    for start, end, request in (
-        batch.sort_values(ORDER, na_position="first")[[*PERIOD, ID]].itertuples(index=False, name=None)
-    ):
-        i = bisect_left(starts, start)
-        after = i < len(starts) and starts[i] <= end
-        before = i > 0 and ends[starts[i - 1]] >= start
-        if not after and not before:
-            insort(starts, start)
-            ends[start] = end
-            keep.append(request)
-    return pd.DataFrame({ID: keep})
-
-
-def _walk_changes(batch: pd.DataFrame, most: int) -> pd.DataFrame:
-    """Decide the changes of a participant in request order: granted is what touches no day of another sanction.
-
-    Days granted in earlier rounds come as rows with ``tramo``. Granted days of different sanctions are disjoint, so
-    they are held as ordered stretches, those of one sanction merged where they overlap: the calendar bounds them. With
-    ``most`` changes there may be more to come, and the stretches are given back with the turn of the last change.
-    """
-    starts: list = []
-    held: dict = {}  # start: (end, sanction)
-    asked = batch[~batch["tramo"]].sort_values(ORDER, na_position="first")
-
-    def grant(sanction, start, end) -> bool:
-        i = bisect_left(starts, start)
-        if i and held[starts[i - 1]][0] >= start:
-            i -= 1
-        last = i
-        while last < len(starts) and starts[last] <= end:
-            if held[starts[last]][1] != sanction:
-                return False
-            last += 1
-        if last > i:
-            start, end = min(start, starts[i]), max(end, held[starts[last - 1]][0])
-        for old in starts[i:last]:
-            del held[old]
-        starts[i:last] = [start]
-        held[start] = (end, sanction)
-        return True
-
-    columns = ["id_sancion", *PERIOD]
-    for row in batch.loc[batch["tramo"], columns].itertuples(index=False, name=None):
-        grant(*row)
-    kept = asked[[grant(*row) for row in asked[columns].itertuples(index=False, name=None)]]
-    if len(asked) < most:
-        return kept
-    stretches = pd.DataFrame(
-        [(held[start][1], start, held[start][0]) for start in starts], columns=columns
-    ).assign(**{CI: batch[CI].iloc[0], "tramo": True, **{c: asked[c].iloc[-1] for c in ORDER}})
-    return pd.concat([kept, stretches[kept.columns].astype(kept.dtypes.to_dict())], ignore_index=True)
-
-
-def _granted_changes(asked: DataFrame) -> DataFrame:
-    """The changes (CI, id_sancion, period) that one-at-a-time processing would grant.
-
-    In a round, the first undecided changes of each participant, a constant number cut inside map tasks, are walked
-    through. The days they hold then decide others without order, as these come later: what touches a day of another
-    sanction is refused, what lies within days of its own sanction is granted. The first change left always takes a new
-    day, so the calendar bounds the rounds; a crowded participant is settled in a few.
-    """
-    change = [CI, "id_sancion", *PERIOD]
-    most = WALKED
-    undecided = asked.select(*change, *ORDER).withColumn("tramo", F.lit(False))
-    schema = undecided.schema
-    in_turn = Window.partitionBy(CI).orderBy(*ORDER)
-    stretches, parts = None, []
-    while True:
-        undecided = cut(undecided)
-        first = undecided.withColumn("n", F.row_number().over(in_turn)).filter(F.col("n") <= most).drop("n")
-        if stretches is not None:
-            present = stretches.join(undecided.select(CI).distinct(), CI, "left_semi")
-            first = first.unionByName(present)
-        walked = cut(first.groupBy(CI).applyInPandas(lambda batch: _walk_changes(batch, most), schema))
-        parts.append(walked.filter("NOT tramo").select(*change))
-        stretches = walked.filter("tramo")
-        if stretches.isEmpty():
-            return union_all(parts)
-        days = cut(
-            stretches.groupBy(CI).agg(
-                F.max(turn()).alias("hasta"),
-                F.collect_list(F.struct("id_sancion", *PERIOD)).alias("tramos"),
-            )
-        )
-        rest = undecided.join(days, CI).filter(turn() > F.col("hasta"))
-        begin, end, own = F.col("fecha_inicio"), F.col("fecha_fin"), F.col("id_sancion")
-        refused = F.exists(
-            "tramos",
-            lambda d: (d["id_sancion"] != own) & (d["fecha_inicio"] <= end) & (d["fecha_fin"] >= begin),
-        )
-        covered = F.exists(
-            "tramos",
-            lambda d: (d["id_sancion"] == own) & (d["fecha_inicio"] <= begin) & (d["fecha_fin"] >= end),
-        )
-        judged = cut(rest.filter(~refused).withColumn("cubierta", covered).drop("hasta", "tramos"))
-        parts.append(judged.filter("cubierta").select(*change))
-        undecided = judged.filter("NOT cubierta").drop("cubierta")
-
 
 def candidates(requests: DataFrame) -> DataFrame:
     """The requests that could be kept when periods of a participant must not touch.
@@ -163,20 +52,6 @@ def candidates(requests: DataFrame) -> DataFrame:
     )
 
 
-def _disjoint_in_order(requests: DataFrame) -> DataFrame:
-    """Requests one-at-a-time processing would accept among themselves, per participant.
-
-    Kept periods exclude each other, so their order matters and the candidates of a
-    participant have to be walked through.
-    """
-    kept = (
-        candidates(requests)
-        .groupBy(CI)
-        .applyInPandas(_earliest_disjoint, requests.select(ID).schema)
-    )
-    return requests.join(kept, ID, "left_semi")
-
-
 def create_sanctions(requests: DataFrame, t: Tables) -> ChangeResult:
     """Create sanctions in request order.
 
@@ -189,24 +64,28 @@ def create_sanctions(requests: DataFrame, t: Tables) -> ChangeResult:
     judged = rules.overlaps_sanction(judged, t.sancion_participante)
     judged = cut(rules.dates_in_order(judged))
     ready = judged.filter("existe AND NOT solapada AND fechas_en_orden")
-    granted = cut(_disjoint_in_order(ready.select(*columns)))
+    # Every new sanction is one of its own, so no two of a participant may touch.
+    granted = granted_in_order(candidates(ready), ID)
     # A period between kept ones touches at most its neighbours, and kept periods touch
     # none of each other: the earliest granted turn among those touched decides.
-    judged = mark(judged, granted, [ID], "concedida")
     late = _touches_earlier(judged.filter("existe AND NOT solapada AND NOT fechas_en_orden"), granted)
-    judged = mark(judged, late, [ID], "solapada_en_lote").withColumn(
+    verdicts = granted.select(ID, F.lit(True).alias("concedida")).unionByName(
+        late.distinct().withColumn("concedida", F.lit(False))
+    )
+    judged = judged.join(cut(verdicts), ID, "left").withColumn(
         "motivo",
         first_reason(
             ("participante_inexistente", F.col("existe")),
-            ("periodo_solapado", ~F.col("solapada") & ~F.col("solapada_en_lote")),
+            ("periodo_solapado", ~F.col("solapada") & F.coalesce("concedida", F.lit(True))),
             ("fechas_invalidas", F.col("fechas_en_orden")),
             ("periodo_solapado", F.col("concedida")),
         ),
     )
-    _, rejected = split(judged, *columns)
-    created = assign_ids(granted, t.sancion_participante, "id_sancion", ORDER)
+    accepted, rejected = split(judged, *columns)
+    created = assign_ids(accepted, t.sancion_participante, "id_sancion", ORDER)
     tables = t.with_tables(sancion_participante=insert_rows(t.sancion_participante, created))
-    return ChangeResult(tables, created, rejected)
+    touched = {"sancion_participante": created.select("id_sancion")}
+    return ChangeResult(tables, created, rejected, touched)
 
 
 def _touches_earlier(backward: DataFrame, granted: DataFrame) -> DataFrame:
@@ -263,7 +142,7 @@ def update_sanctions(changes: DataFrame, t: Tables) -> ChangeResult:
     # Equal changes of a sanction share their verdict, so one of each is decided.
     change = [CI, "id_sancion", *PERIOD]
     asked = judged.filter(fit).groupBy(*change).agg(F.min(turn()).alias("t")).select(*change, *[f"t.{c}" for c in ORDER])
-    judged = cut(mark(judged, _granted_changes(asked), change, "concedida"))
+    judged = cut(mark(judged, granted_in_order(asked, "id_sancion"), change, "concedida"))
     latest = (
         judged.filter(fit & F.col("concedida"))
         .groupBy("id_sancion")
@@ -284,7 +163,8 @@ def update_sanctions(changes: DataFrame, t: Tables) -> ChangeResult:
     updated = update_rows(
         t.sancion_participante, accepted.select("id_sancion", *PERIOD), ["id_sancion"]
     )
-    return ChangeResult(t.with_tables(sancion_participante=updated), accepted, rejected)
+    touched = {"sancion_participante": accepted.select("id_sancion")}
+    return ChangeResult(t.with_tables(sancion_participante=updated), accepted, rejected, touched)
 
 
 def shift_sanctions(changes: DataFrame, t: Tables) -> ChangeResult:
@@ -325,7 +205,8 @@ def finish_sanctions(asked: DataFrame, t: Tables, as_of: Date) -> ChangeResult:
     accepted, rejected = split(judged, *columns)
     updates = accepted.select("id_sancion", day(as_of).alias("fecha_fin"))
     updated = update_rows(t.sancion_participante, updates, ["id_sancion"])
-    return ChangeResult(t.with_tables(sancion_participante=updated), accepted, rejected)
+    touched = {"sancion_participante": accepted.select("id_sancion")}
+    return ChangeResult(t.with_tables(sancion_participante=updated), accepted, rejected, touched)
 
 
 def delete_sanctions(asked: DataFrame, t: Tables) -> ChangeResult:
@@ -338,4 +219,5 @@ def delete_sanctions(asked: DataFrame, t: Tables) -> ChangeResult:
     )
     accepted, rejected = split(judged, *columns)
     kept = delete_rows(t.sancion_participante, accepted, ["id_sancion"])
-    return ChangeResult(t.with_tables(sancion_participante=kept), accepted, rejected)
+    touched = {"sancion_participante": accepted.select("id_sancion")}
+    return ChangeResult(t.with_tables(sancion_participante=kept), accepted, rejected, touched)

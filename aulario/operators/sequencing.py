@@ -71,7 +71,10 @@ def _mark_granted(undecided: DataFrame, limits: list[Limit]) -> DataFrame:
 
 def _use_up(rest: DataFrame, granted: DataFrame, limits: list[Limit]) -> DataFrame:
     for limit in limits:
-        taken = granted.filter(limit.concerns()).groupBy(*limit.keys).agg(F.count("*").alias("usado"))
+        # Room is equal for all requests of a key. Grouping by it too gives the join a shuffle of
+        # its own on both sides, so requests that crowd on a key can be split over tasks.
+        by = [*limit.keys, limit.free]
+        taken = granted.filter(limit.concerns()).groupBy(*by).agg(F.count("*").alias("usado")).drop(limit.free)
         rest = (
             rest.join(taken, limit.keys, "left")
             .withColumn(limit.free, F.col(limit.free) - F.coalesce("usado", F.lit(0)))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from aulario.sources.schemas import FOREIGN_KEYS, SCHEMAS, UNIQUE_KEYS
 from aulario.tables import MONTH, Tables
 
+
 def write_snapshot(
     tables: Tables,
     path: str,
@@ -56,6 +58,20 @@ def save_bucketed(tables: Tables, database: str, path: str, buckets: int) -> Non
         writer.option("path", f"{path}/{name}").saveAsTable(f"{database}.{name}")
 
 
+def collect_statistics(spark: SparkSession, database: str) -> None:
+    """Count rows of all catalog tables, and values of the columns that joins and filters use.
+
+    With ``spark.sql.cbo.enabled`` (set by ``create_session``) Spark then judges the sides of a join by the rows that
+    their filters leave, and not by the size of the files. One pass over each table; again after large changes.
+    """
+    for name, schema in SCHEMAS.items():
+        used = {c for key in UNIQUE_KEYS[name].values() for c in key}
+        used |= {c for key in FOREIGN_KEYS.get(name, []) for c in key.columns}
+        used |= {f.name for f in schema if f.dataType.typeName() in ("date", "timestamp")} | ({"estado"} & {*schema.names})
+        columns = ", ".join(c for c in schema.names if c in used)
+        spark.sql(f"ANALYZE TABLE {database}.{name} COMPUTE STATISTICS FOR COLUMNS {columns}")
+
+
 def export(df: DataFrame, path: str, fmt: str = "csv") -> None:
     """Write a report as csv (with header), json or parquet."""
     if fmt not in ("csv", "json", "parquet"):

@@ -257,16 +257,24 @@ LISTINGS: dict[str, str] = {
         WITH persona AS (
             SELECT id_reserva, '{"ci_participante":' || ci || ',"nombre":"' || nombre
                    || '","apellido":"' || apellido || '","email":"' || email
-                   || '","asistencia":' || coalesce(CAST(asistencia AS VARCHAR), 'null') || '}' AS txt,
-                   ci, instr('0123456789abcdef', substr(md5(CAST(ci AS VARCHAR)), 1, 1)) - 1 AS parte
+                   || '","asistencia":' || coalesce(CAST(asistencia AS VARCHAR), 'null') || '}' AS txt, ci
             FROM rp JOIN participante ON ci = ci_participante)
-        SELECT id_reserva, CAST(coalesce(parte, 0) AS INTEGER) AS parte,
-               '[' || coalesce(string_agg(txt, ',' ORDER BY ci), '') || ']' AS participantes
+        SELECT id_reserva, '[' || coalesce(string_agg(txt, ',' ORDER BY ci), '') || ']' AS participantes
         FROM reserva JOIN sala USING (nombre_sala, edificio) LEFT JOIN persona USING (id_reserva)
         GROUP BY ALL""",
     "l3_participantes_de_reservas": """
         SELECT id_reserva, ci_participante, nombre, apellido, email, asistencia
         FROM rp JOIN participante ON ci = ci_participante""",
+    "g2_reservas_por_programa_en_meses": """
+        SELECT nombre_programa, count(DISTINCT id_reserva) AS total_reservas
+        FROM rp JOIN reserva USING (id_reserva) JOIN inscripcion USING (ci_participante)
+        WHERE strftime(fecha, '%Y-%m') BETWEEN '1999-02' AND '2000-11' GROUP BY ALL""",
+    "g2_reservas_por_tipo_en_meses": """
+        SELECT CASE WHEN rol = 'docente' THEN 'Docente' WHEN tipo = 'posgrado' THEN 'Alumno Posgrado'
+                    ELSE 'Alumno Grado' END AS tipo_usuario, count(DISTINCT id_reserva) AS total_reservas
+        FROM rp JOIN reserva USING (id_reserva) JOIN inscripcion USING (ci_participante)
+        JOIN programa USING (nombre_programa)
+        WHERE strftime(fecha, '%Y-%m') BETWEEN '1999-02' AND '2000-11' GROUP BY ALL""",
     "l4_reservas_por_participante": """
         SELECT * EXCLUDE (hora_inicio) FROM (
             SELECT ci_participante, id_reserva, nombre_sala, edificio, fecha, hora_inicio, estado,

@@ -612,10 +612,10 @@ CHANGES |= {
         SELECT id_reserva, ci_participante, NULL FROM ({CHANGES["m5_agregar_participantes"]}) AS o
         JOIN alta_participante USING (id_solicitud) WHERE aceptada""",
     "m6_participaciones": f"""
-        SELECT id_reserva, ci_participante, asistencia FROM rp WHERE NOT EXISTS (
-            SELECT 1 FROM ({CHANGES["m6_quitar_participantes"]}) AS o
-            JOIN baja_participante AS q USING (id_solicitud) WHERE aceptada
-            AND q.id_reserva = rp.id_reserva AND q.ci_participante = rp.ci_participante)""",
+        SELECT id_reserva, ci_participante, asistencia FROM rp ANTI JOIN (
+            SELECT q.id_reserva, q.ci_participante FROM ({CHANGES["m6_quitar_participantes"]}) AS o
+            JOIN baja_participante AS q USING (id_solicitud) WHERE aceptada) AS g
+        USING (id_reserva, ci_participante)""",
     "m14_participantes": f"""
         SELECT ci, nombre, apellido, email FROM participante UNION ALL
         SELECT ci, nombre, apellido, email FROM ({REGISTRATION}) AS o
@@ -628,6 +628,46 @@ CHANGES |= {
         SELECT * FROM sala WHERE nombre_sala * 2 NOT IN (
             SELECT id_solicitud FROM ({CHANGES["m21_eliminar_salas"]}) AS o WHERE aceptada)""",
 }
+
+#: The audit of what a change touched.
+CHANGES |= {
+    "s2_altas_sin_control": """
+        WITH ahora AS (SELECT ci_participante, id_reserva FROM rp
+                       UNION ALL SELECT ci_participante, id_reserva FROM alta_participante),
+        clave AS (SELECT DISTINCT ci_participante, id_reserva FROM alta_participante)
+        SELECT 'reserva_participante' AS tabla, 'pk' AS regla,
+               CAST(ci_participante AS VARCHAR) || '|' || CAST(id_reserva AS VARCHAR) AS clave, count(*) AS filas
+        FROM ahora JOIN clave USING (ci_participante, id_reserva)
+        GROUP BY ci_participante, id_reserva HAVING count(*) > 1
+        UNION ALL
+        SELECT 'reserva_participante', 'fk_participante', CAST(ci_participante AS VARCHAR), count(*)
+        FROM ahora SEMI JOIN clave USING (ci_participante)
+        ANTI JOIN (SELECT ci AS ci_participante FROM participante) AS p USING (ci_participante)
+        GROUP BY ci_participante
+        UNION ALL
+        SELECT 'reserva_participante', 'fk_reserva', CAST(id_reserva AS VARCHAR), count(*)
+        FROM ahora SEMI JOIN clave USING (id_reserva) ANTI JOIN reserva USING (id_reserva)
+        GROUP BY id_reserva""",
+    "s2_reservas_admitidas": f"""
+        WITH ahora AS ({CHANGES["m1_reservas_nuevas"]}),
+        nueva AS (SELECT * FROM ahora WHERE id_reserva > (SELECT max(id_solicitud) FROM compra)),
+        persona AS ({CHANGES["m1_participaciones_nuevas"]})
+        SELECT 'reserva' AS tabla, 'pk' AS regla, CAST(id_reserva AS VARCHAR) AS clave, count(*) AS filas
+        FROM ahora SEMI JOIN nueva USING (id_reserva) GROUP BY id_reserva HAVING count(*) > 1
+        UNION ALL
+        SELECT 'reserva', 'uk_reserva', concat_ws('|', nombre_sala, edificio, fecha, id_turno), count(*)
+        FROM ahora SEMI JOIN nueva USING (nombre_sala, edificio, fecha, id_turno)
+        GROUP BY nombre_sala, edificio, fecha, id_turno HAVING count(*) > 1
+        UNION ALL
+        SELECT 'reserva_participante', 'fk_participante', CAST(ci_participante AS VARCHAR), count(*)
+        FROM persona WHERE ci_participante NOT IN (SELECT ci FROM participante)
+        AND ci_participante IN (SELECT ci_participante FROM persona SEMI JOIN nueva USING (id_reserva))
+        GROUP BY ci_participante""",
+    "s7_reservas_tras_purga": f"""
+        SELECT * FROM reserva ANTI JOIN (
+            SELECT id_reserva FROM ({CHANGES["m4_purgar_reservas"]}) AS o
+            JOIN baja_reserva USING (id_solicitud) WHERE aceptada) AS g USING (id_reserva)""",
+}
 for _name, _result, _requests in (
     ("m8_sanciones", creation("pedido_sancion"), "pedido_sancion"),
     ("m11_sanciones", creation("pedido_automatico"), "pedido_automatico"),

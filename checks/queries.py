@@ -11,6 +11,7 @@ from aulario.operators import (
     booking_changes as bc,
 )
 from aulario.operators import (
+    bitmaps,
     constraints,
     kpis,
     listings,
@@ -25,7 +26,10 @@ from aulario.operators import (
 from aulario.operators import (
     sanction_changes as sc,
 )
+from aulario.operators.changes import ChangeResult, insert_rows
 from aulario.plans.registry import REPORTS, report
+from aulario.session import work_folder
+from aulario.sources.versions import load_version, write_next_version, write_version
 from aulario.sources.writers import json_rows
 from aulario.tables import Tables
 from checks.change_sets import Source
@@ -71,7 +75,7 @@ LISTINGS: dict[str, Build] = {
     "l2_reservas_detalle": lambda s: listings.bookings_detailed(s.t),
     "l3_reservas_con_participantes": lambda s: _as_json(
         listings.bookings_with_participants(s.t), "participantes"
-    ).select("id_reserva", "parte", "participantes"),
+    ).select("id_reserva", "participantes"),
     "l3_participantes_de_reservas": lambda s: listings.booking_participants(s.t),
     "l4_reservas_por_participante": lambda s: listings.participant_bookings(s.t),
     "l6_salas": lambda s: listings.rooms(s.t),
@@ -104,6 +108,18 @@ LISTINGS: dict[str, Build] = {
     ),
 }
 
+#: Months that the stored bitmaps are asked for.
+MONTHS = ("1999-02", "2000-11")
+
+MONTHLY: dict[str, Build] = {
+    "g2_reservas_por_programa_en_meses": lambda s: bitmaps.bookings_in_months(
+        bitmaps.monthly_bookings_by_programme(s.t), "nombre_programa", *MONTHS
+    ),
+    "g2_reservas_por_tipo_en_meses": lambda s: bitmaps.bookings_in_months(
+        bitmaps.monthly_bookings_by_user_type(s.t), "tipo_usuario", *MONTHS
+    ),
+}
+
 KPIS: dict[str, Build] = {
     "k1_tablero": lambda s: kpis.dashboard(s.t, S),
     "k2_estadisticas_sala": lambda s: kpis.room_statistics(s.t),
@@ -196,7 +212,37 @@ def _finished(s: Source) -> Tables:
     return s.booking_state(STATE_AS_OF)
 
 
+def _unchecked_additions(s: Source) -> DataFrame:
+    """What the audit of a change says of participants put into bookings past all rules."""
+    new = s.additions().select(
+        "id_reserva",
+        "ci_participante",
+        F.col("solicitada_en").alias("fecha_solicitud_reserva"),
+        F.lit(None).cast("boolean").alias("asistencia"),
+    )
+    tables = s.t.with_tables(reserva_participante=insert_rows(s.t.reserva_participante, new))
+    touched = {"reserva_participante": new.select("ci_participante", "id_reserva")}
+    return constraints.check_changes(s.t, ChangeResult(tables, new, new.limit(0), touched))
+
+
+def _admitted(s: Source) -> DataFrame:
+    before = s.booking_state()
+    return constraints.check_changes(before, bc.admit_bookings(s.booking_requests(), before, REQUESTS_AS_OF))
+
+
+def _purged_version(s: Source) -> DataFrame:
+    """The bookings of the version after a purge, of which only the touched months were written."""
+    first, second = work_folder(s.spark), work_folder(s.spark)
+    write_version(s.t, first)
+    write_next_version(bc.purge_bookings(s.booking_ids(), load_version(s.spark, first)), first, second)
+    found = load_version(s.spark, second).reserva
+    return found.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in s.t.reserva.schema])
+
+
 CHANGES: dict[str, Build] = {
+    "s2_altas_sin_control": _unchecked_additions,
+    "s2_reservas_admitidas": _admitted,
+    "s7_reservas_tras_purga": _purged_version,
     "m1_admitir_reservas": lambda s: bc.admit_bookings(
         s.booking_requests(), s.booking_state(), REQUESTS_AS_OF
     ).outcomes(),
@@ -307,5 +353,5 @@ def _query(build: Build) -> Query:
 
 
 def all_queries() -> dict[str, Query]:
-    builds = {**_reports(), **LISTINGS, **KPIS, **RULES, **CHANGES}
+    builds = {**_reports(), **LISTINGS, **MONTHLY, **KPIS, **RULES, **CHANGES}
     return {name: _query(build) for name, build in builds.items()}

@@ -7,7 +7,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from aulario.operators import listings, rules, sanction_changes
+from aulario.operators import listings, periods, rules, sanction_changes
 from aulario.operators.sequencing import Limit, admit_in_order
 from aulario.plans.registry import report
 from aulario.session import ensure_checkpoint_dir
@@ -118,14 +118,17 @@ def test_date_bound_reaches_the_scan(seed):
     assert "GreaterThanOrEqual(fecha,2026-11-01)" in plan
 
 
-def test_crowded_booking_is_collected_in_parts(skewed, small_partitions):
+def test_crowded_booking_is_one_row_collected_in_parts(skewed, small_partitions):
     people = skewed.reserva_participante.select(F.col("ci_participante").alias("ci")).distinct()
     t = skewed.with_tables(participante=people.select(
         "ci", *[F.lit("x").alias(c) for c in ("nombre", "apellido", "email")]))
-    got = listings.bookings_with_participants(t).filter("id_reserva = 1")
-    sizes = [r[0] for r in rows(got.select(F.size("participantes")))]
-    assert sum(sizes) == skewed.reserva_participante.filter("id_reserva = 1").count()
-    assert len(sizes) > 10 and max(sizes) < 3 * sum(sizes) / len(sizes)
+    found = listings.bookings_with_participants(t)
+    got = found.filter("id_reserva = 1").select("participantes").collect()
+    inside = rows(skewed.reserva_participante.filter("id_reserva = 1").select("ci_participante"))
+    assert len(got) == 1 and [p.ci_participante for p in got[0][0]] == sorted(r[0] for r in inside)
+    plan = final_plan(found)
+    parts = plan[plan.index("ObjectHashAggregate(keys=[id_reserva"):]
+    assert "functions=[collect_list" in parts and "functions=[partial_collect_list" in parts
 
 
 def test_rounds_end_quickly_with_a_hot_key(spark):
@@ -173,31 +176,26 @@ def test_sanctions_of_one_person_are_bounded_by_the_calendar(spark, seed):
     assert sanction_changes.candidates(asked).count() < 90 * 40
 
 
-def test_changes_of_one_person_are_walked_through_in_bounded_parts(spark, seed, monkeypatch):
-    """However many changes one person gets, a task walks through a constant number of them and the days taken."""
-    monkeypatch.setattr(sanction_changes, "WALKED", 25)
-    walk, i, n = sanction_changes._walk_changes, F.col("id"), 900
-    sizes = spark.sparkContext.accumulator(0)
-
-    def counted(batch, most):
-        assert (~batch["tramo"]).sum() <= most
-        sizes.add(1)
-        return walk(batch, most)
-
-    monkeypatch.setattr(sanction_changes, "_walk_changes", counted)
+@pytest.mark.parametrize("in_time", [False, True], ids=["shuffled", "by date"])
+def test_changes_of_one_person_take_few_rounds(spark, seed, monkeypatch, in_time):
+    """However many changes one person gets, an expression decides a constant number; the days taken decide others."""
+    monkeypatch.setattr(periods, "DECIDED_AT_ONCE", 25)
+    rounds, decide = [], periods._in_order
+    monkeypatch.setattr(periods, "_in_order", lambda p, own: rounds.append(own) or decide(p, own))
+    i, n = F.col("id"), 900
     state = spark.range(40).select(
         i.cast("int").alias("id_sancion"),
         F.when(i < 30, "23456789").otherwise("34567890").alias("ci_participante"),
         F.date_add(F.lit("2020-01-01").cast("date"), (i * 2).cast("int")).alias("fecha_inicio"),
         F.date_add(F.lit("2020-01-01").cast("date"), (i * 2 + 1).cast("int")).alias("fecha_fin"),
     )
-    start = F.date_add(F.lit("2027-01-01").cast("date"), ((i * 37) % 90).cast("int"))
+    start = F.date_add(F.lit("2027-01-01").cast("date"), ((i / 10) if in_time else (i * 37) % 90).cast("int"))
     asked = spark.range(n, numPartitions=4).select(
         i.alias("id_solicitud"),
         ((i * 7) % 40).cast("int").alias("id_sancion"),
         start.alias("fecha_inicio"),
         F.date_add(start, ((i * 11) % 7 + 1).cast("int")).alias("fecha_fin"),
-        F.when(i % 50 > 0, (i * 7919) % n).alias("solicitada_en"),
+        F.when(i % 50 > 0, i if in_time else (i * 7919) % n).alias("solicitada_en"),
     )
     result = sanction_changes.update_sanctions(asked, seed.with_tables(sancion_participante=state))
     kept, latest = [], {}
@@ -210,7 +208,37 @@ def test_changes_of_one_person_are_walked_through_in_bounded_parts(spark, seed,
     assert {r.id_solicitud for r in result.accepted.collect()} == set(latest.values())
     replaced = result.rejected.filter("motivo = 'reemplazada'").count()
     assert replaced == len(kept) - len(latest) and result.rejected.count() == n - len(latest)
-    assert 2 < sizes.value < 60
+    assert 2 <= len(rounds) < 20
+
+
+def test_a_third_of_all_periods_in_one_participant_takes_few_rounds(spark, monkeypatch):
+    rounds, decide = [], periods._in_order
+    monkeypatch.setattr(periods, "_in_order", lambda p, own: rounds.append(own) or decide(p, own))
+    i = F.col("id")
+    start = F.date_add(F.lit("2020-01-01").cast("date"), (i * 7919 % 1500).cast("int"))
+    asked = spark.range(ROWS, numPartitions=8).select(
+        i.alias("id_solicitud"),
+        F.when(i % 3 == 0, "hot").otherwise((i % 5000).cast("string")).alias("ci_participante"),
+        (i % 101).alias("id_sancion"),
+        start.alias("fecha_inicio"),
+        F.date_add(start, (i * 11 % 30 + 1).cast("int")).alias("fecha_fin"),
+        (i * 104729 % ROWS).alias("solicitada_en"),
+    )
+    got = {r[0] for r in rows(periods.granted_in_order(asked, "id_sancion").select("id_solicitud"))}
+    kept: dict[str, list] = {}
+    want = set()
+    for r in sorted(asked.collect(), key=lambda r: (r.solicitada_en, r.id_solicitud)):
+        own = kept.setdefault(r.ci_participante, [])
+        if all(s == r.id_sancion or r.fecha_fin < a or r.fecha_inicio > b for s, a, b in own):
+            own.append((r.id_sancion, r.fecha_inicio, r.fecha_fin))
+            want.add(r.id_solicitud)
+    assert got == want and 2 <= len(rounds) < 20
+
+
+def test_no_python_runs_in_sanction_changes(spark, seed):
+    asked = spark.createDataFrame([], "id_solicitud int, id_sancion int, fecha_inicio date, fecha_fin date, solicitada_en timestamp")
+    plan = periods.granted_in_order(asked.withColumn("ci_participante", F.lit("1")), "id_sancion")
+    assert not re.search("Python|Pandas|Arrow", plan._jdf.queryExecution().executedPlan().toString())
 
 
 def test_checkpoint_folder_of_the_session_is_used(spark):

@@ -5,11 +5,13 @@ from __future__ import annotations
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from aulario.plans.registry import report
 from aulario.sources.readers import FOLDING_COLLATION, load_catalog, load_tables
 from aulario.sources.schemas import SCHEMAS, room_types
 from aulario.sources.writers import (
+    collect_statistics,
     export,
     json_array,
     json_rows,
@@ -63,6 +65,44 @@ def test_bucketed_bookings_join_without_a_shuffle(spark, seed, tmp_path):
         spark.sql("DROP DATABASE aulario_prueba CASCADE")
 
 
+def test_statistics_change_the_join(spark, seed, tmp_path):
+    """With counted values a filter on a key is known to leave few rows, which are then broadcast."""
+    many = spark.range(20000).select(
+        F.col("id").cast("string").alias("ci"), F.lit("n" * 50).alias("nombre"), F.lit("a").alias("apellido"),
+        F.col("id").cast("string").alias("email"),
+    )
+    more = spark.range(60000).select(
+        F.col("id").alias("id_sancion"), (F.col("id") % 20000).cast("string").alias("ci_participante"),
+        F.lit(TODAY).alias("fecha_inicio"), F.lit(TODAY).alias("fecha_fin"),
+    )
+    spark.sql("DROP DATABASE IF EXISTS aulario_conteo CASCADE")
+    save_bucketed(
+        seed.with_tables(participante=many, sancion_participante=more), "aulario_conteo", str(tmp_path / "db"), 2
+    )
+    conf = {
+        "spark.sql.cbo.enabled": "true",
+        "spark.sql.autoBroadcastJoinThreshold": "20KB",
+        "spark.sql.adaptive.enabled": "false",
+    }
+    before = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        def plan():
+            t = load_catalog(spark, "aulario_conteo")
+            some = t.sancion_participante.filter("id_sancion < 30")
+            return t.participante.join(some, F.col("ci") == F.col("ci_participante"))
+
+        assert "SortMergeJoin" in plan()._jdf.queryExecution().executedPlan().toString()
+        collect_statistics(spark, "aulario_conteo")
+        assert "BroadcastHashJoin" in plan()._jdf.queryExecution().executedPlan().toString()
+        assert plan().count() == 30
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+        spark.sql("DROP DATABASE aulario_conteo CASCADE")
+
+
 def test_folding_collation(spark, seed, tmp_path):
     write_snapshot(seed, str(tmp_path / "s"))
     folded = load_tables(spark, str(tmp_path / "s"), collation=FOLDING_COLLATION)
