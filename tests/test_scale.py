@@ -8,9 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from aulario.operators import listings, periods, rules, sanction_changes
-from aulario.operators.sequencing import Limit, admit_in_order
+from aulario.operators.sequencing import Limit, _use_up, admit_in_order
 from aulario.plans.registry import report
-from aulario.session import ensure_checkpoint_dir
+from aulario.session import cut, ensure_checkpoint_dir
 from tests.conftest import TODAY, rows
 
 ROWS = 60_000
@@ -103,6 +103,18 @@ def test_request_side_of_a_rule_is_split_at_a_hot_key(seed, hot_requests, small_
     assert re.search(rf"SortMergeJoin\(skew=true\) \[{key}#[^\n]*LeftOuter", plan)
 
 
+def test_joins_of_admission_rounds_are_split_at_a_hot_key(hot_requests, small_partitions):
+    """What a round grants is taken off the room of its keys; requests that crowd on a key are dealt to many tasks."""
+    limits = [Limit(["ci_participante"], "libre_persona", 2), Limit(["nombre_sala", "fecha"], "libre_sala", 1)]
+    room = hot_requests.withColumn("libre_persona", F.lit(2) + F.col("id_turno") * 0)
+    room = room.withColumn("libre_sala", F.lit(5) + F.col("id_turno") * 0)
+    granted = cut(room.filter("id_solicitud % 40 = 7"))
+    plan = final_plan(_use_up(room, granted, limits))
+    joins = re.findall(r"SortMergeJoin(\(skew=true\))? \[(\w+)#", plan)
+    assert {key for _, key in joins} == {"ci_participante", "nombre_sala"}
+    assert ("(skew=true)", "ci_participante") in joins and ("(skew=true)", "nombre_sala") in joins
+
+
 def test_rank_is_cut_before_the_shuffle(skewed):
     plan = listings.participant_bookings(skewed)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") == 2 and "Partial" in plan
