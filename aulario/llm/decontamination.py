@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from aulario.llm.texts import LOWER, WORD_BYTES, slices, text_bytes, word_hashes, words
+from aulario.llm.texts import LOWER, WORD_BYTES, slices, text_bytes, tidy, word_hashes, words
 from aulario.llm.work import written
 
 #: Bytes of test items that are sent to the tasks at once; more items are searched for block by block.
@@ -73,7 +73,7 @@ def positional_index(docs: DataFrame) -> DataFrame:
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return written(docs.select("doc_id", "text").mapInArrow(build, f"doc_id {kind}, {_INDEX}"))
+    return written(docs.select("doc_id", "text").mapInArrow(tidy(build), f"doc_id {kind}, {_INDEX}"))
 
 
 @dataclass
@@ -241,7 +241,7 @@ def find_items(index: DataFrame, items: DataFrame, window: int = 10, slack: int
                 for rows in _groups(batch):
                     yield _search(rows, vocabulary, tests, slack)
 
-        found = found.mapInArrow(search, kept)
+        found = found.mapInArrow(tidy(search), kept)
     ordered = F.array_sort("spans")
     # overlapping finds of different blocks become one span
     apart = F.aggregate(

@@ -6,12 +6,12 @@ the longest piece that matches (found by an Aho-Corasick automaton over the voca
 predecessor is taken; where none is left, the position is marked in a bitfield of failed positions and the search steps
 back to the next shorter piece. Characters that no piece holds become byte pieces.
 
-Texts are cut beforehand only between characters that no piece holds side by side, where no merge can reach across.
+Texts are cut beforehand only between characters that no piece holds side by side, where no merge can reach across; of
+the chunks of many texts each distinct one is searched once.
 """
 
 from __future__ import annotations
 
-import re
 from array import array
 from collections.abc import Iterator
 
@@ -19,14 +19,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from aulario.llm.texts import slices
+from aulario.llm.chunks import Ids, Remembered, runs, windows
+from aulario.llm.texts import slices, text_bytes, tidy
 
 SPACE = "▁"
 
-#: Encoded parts of chunks that a Python process remembers: twice as many at most, each of at most so many characters,
-#: and as many pairs and two thirds as many whole chunks. It saves work only.
-KEPT_CHUNKS = 180_000
+#: Chunks whose ids a Python process remembers, and of parts of chunks and of pairs twice as many as KEPT_PARTS at most,
+#: the parts of at most so many characters. It saves work only.
+KEPT_CHUNKS = 400_000
+KEPT_PARTS = 50_000
 KEPT_LENGTH = 48
+#: Text that is encoded at once, in bytes; a longer text in parts.
+AT_ONCE = 2 << 20
 PAIR = 1 << 24
 NEVER = float("inf")
 
@@ -37,7 +41,7 @@ class Memory(dict):
     Texts beyond KEPT_LENGTH are made anew each time.
     """
 
-    def __init__(self, make, most: int = KEPT_CHUNKS):
+    def __init__(self, make, most: int = KEPT_PARTS):
         self.make, self.most, self.older = make, most, {}
 
     def __missing__(self, key):
@@ -79,17 +83,11 @@ class MergeCodec:
         self.beside = {a + b for piece in self.ids for a, b in zip(piece, piece[1:])}
         self.edges: dict[str, tuple[list, list]] = {}
         self.compatible = Memory(self.fits)
-        self.known = Memory(self.chunk, KEPT_CHUNKS * 2 // 3)
+        self.distinct = Remembered(self.chunk_ids, KEPT_CHUNKS)
         self.inner = Memory(self.bounded)
         # a chunk is some spaces and what follows up to the next space, if no piece goes on with a space
-        spaced = any(pair[1] == SPACE != pair[0] for pair in self.beside)
-        feed = "\n" if not any("\n" in pair for pair in self.beside) else ""
-        ends = SPACE + feed
-        self.chunks = (
-            (lambda text: [text])
-            if spaced
-            else re.compile((f"{feed}|" if feed else "") + f"{SPACE}*[^{ends}]+|{SPACE}+").findall
-        )
+        self.spaced = any(pair[1] == SPACE != pair[0] for pair in self.beside)
+        self.feed = not any("\n" in pair for pair in self.beside)
 
     def merges(self, text: str) -> Iterator[tuple[float, list[str]]]:
         """The parts of a short text after each merge, with its cost: best-scored pair first, leftmost of equals."""
@@ -196,11 +194,45 @@ class MergeCodec:
                 return self.inner[text[:at]] + self.inner[text[at:]]
         return self.inner[text]
 
-    def encode(self, text: str) -> np.ndarray:
-        """Ids of a whole text, the end id last."""
-        pieces = self.chunks(SPACE + text.replace(" ", SPACE)) if text else ()
-        whole = b"".join(map(self.known.__getitem__, pieces))
-        return np.append(np.frombuffer(whole, dtype=np.int32), np.int32(self.end_id))
+    def cuts(self, data: np.ndarray, edges: np.ndarray) -> np.ndarray:
+        """Whether a chunk begins at each byte: at a space that follows none, and before and after a line feed."""
+        begins = np.zeros(len(data), dtype=bool)
+        if len(data) > 1 and not self.spaced:
+            here, after = data[:-1], data[1:]
+            # 0x81 is the last byte of the mark that stands for a space, and of other characters
+            begins[1:] = (after == 0x20) & (here != 0x20) & (here != 0x81)
+            if self.feed:
+                begins[1:] |= (after == 0x0A) | (here == 0x0A)
+        begins[edges] = True
+        return begins
+
+    def chunk_ids(self, texts: pa.Array) -> Ids:
+        found = [self.chunk(text.replace(" ", SPACE)) for text in texts.to_pylist()]
+        sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4
+        return np.frombuffer(b"".join(found), dtype=np.uint32), np.cumsum(sizes) - sizes, sizes
+
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after the other, each with the end id last, and the n + 1 bounds between texts."""
+        data, at = text_bytes(column)
+        # a text that is not empty begins with a space
+        sizes = np.diff(at)
+        data = np.insert(data, at[:-1][sizes > 0], 0x20)
+        at = np.concatenate([[0], np.cumsum(sizes + (sizes > 0))])
+        found, starts, counts = [], [], []
+        for begins, chunks in windows(data, at, self.cuts, AT_ONCE):
+            ids, first, count = self.distinct(chunks.dictionary)
+            order = chunks.indices.to_numpy()
+            found.append(ids[runs(first[order], count[order])])
+            starts.append(begins)
+            counts.append(count[order])
+        if not found:
+            bounds = np.zeros(len(at), dtype=np.int64)
+            whole = np.zeros(0, dtype=np.int32)
+        else:
+            before = np.concatenate([[0], np.cumsum(np.concatenate(counts))])
+            bounds = before[np.searchsorted(np.concatenate(starts), at)]
+            whole = np.concatenate(found).astype(np.int32)
+        return np.insert(whole, bounds[1:], self.end_id), bounds + np.arange(len(bounds))
 
     def surfaces(self) -> tuple[np.ndarray, np.ndarray]:
         """UTF-8 bytes of all pieces one after the other (nothing for silent ones), and their n + 1 bounds."""
@@ -216,22 +248,23 @@ class MergeCodec:
                 whole.append(piece.replace(SPACE, " ").encode())
         return np.frombuffer(b"".join(whole), dtype=np.uint8), np.cumsum([0, *map(len, whole)])
 
-    def decode(self, ids: np.ndarray) -> str:
-        """The text of ids; the space before the first word is left out, bytes that are no UTF-8 are replaced."""
+    def decode(self, ids: np.ndarray, bounds: np.ndarray) -> list[str]:
+        """The texts of ids; the space before the first word is left out, bytes that are no UTF-8 are replaced."""
         if not hasattr(self, "_surfaces"):
             self._surfaces = self.surfaces()
             self._spaced = np.array([p.startswith(SPACE) for p in self.pieces])
             self._silent = np.zeros(len(self.pieces), dtype=bool)
             self._silent[list(self.silent)] = True
         data, at = self._surfaces
-        ids = ids[~self._silent[ids]]
-        if not len(ids):
-            return ""
+        said = ~self._silent[ids]
+        bounds = np.concatenate([[0], np.cumsum(said)])[bounds]
+        ids = ids[said]
         sizes = at[ids + 1] - at[ids]
-        first = np.cumsum(sizes) - sizes
-        whole = data[np.repeat(at[ids] - first, sizes) + np.arange(int(sizes.sum()))]
-        text = whole.tobytes().decode("utf-8", errors="replace")
-        return text[1:] if self._spaced[ids[0]] else text
+        whole = data[runs(at[ids], sizes)].tobytes()
+        ends = np.concatenate([[0], np.cumsum(sizes)])[bounds].tolist()
+        texts = [whole[s:e].decode("utf-8", errors="replace") for s, e in zip(ends, ends[1:])]
+        first = ids[np.minimum(bounds[:-1], max(0, len(ids) - 1))] if len(ids) else np.zeros(len(texts), dtype=np.int32)
+        return [t[1:] if t and s else t for t, s in zip(texts, self._spaced[first].tolist())]
 
 
 _codecs: dict[int, MergeCodec] = {}
@@ -264,15 +297,14 @@ def round_trip(docs: DataFrame, model_path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(model)
         for batch in batches:
-            for part in slices(batch):
-                ids = [own.encode(text or "") for text in part.column(1).to_pylist()]
-                bounds = np.cumsum([0, *map(len, ids)]).astype(np.int32)
-                flat = pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32))
-                decoded = pa.array([own.decode(x) for x in ids], pa.string())
+            for part in slices(batch, most=AT_ONCE):
+                ids, bounds = own.encode(part.column(1))
+                decoded = pa.array(own.decode(ids, bounds), pa.string())
+                lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.ListArray.from_arrays(pa.array(bounds), flat), decoded],
+                    [part.column(0), lists, decoded],
                     ["doc_id", "ids", "decoded"],
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids array<int>, decoded string")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), f"doc_id {kind}, ids array<int>, decoded string")

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from aulario.llm.components import components
-from aulario.llm.texts import slices, text_bytes
+from aulario.llm.texts import slices, text_bytes, tidy
 from aulario.llm.work import written
 
 BITS = 64
@@ -70,7 +70,7 @@ def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fingerprint long")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), f"doc_id {kind}, fingerprint long")
 
 
 def segment_plan(distance: int, segments: int) -> list[tuple[int, int, int]]:

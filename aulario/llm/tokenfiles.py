@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from aulario.llm.bytelevel import encoder
 from aulario.llm.chunks import added
-from aulario.llm.texts import slices
+from aulario.llm.texts import slices, tidy
 from aulario.llm.work import shared_folder
 
 #: Ids after which a block is closed.
@@ -103,7 +103,7 @@ def count_ids(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(counts[found])], ["id", "n"])
 
     ends = docs.agg(F.lit(end_id).cast("long").alias("id"), F.count("*").alias("n"))
-    counts = docs.select("text").mapInArrow(run, "id long, n long").union(ends).where("n > 0")
+    counts = docs.select("text").mapInArrow(tidy(run), "id long, n long").union(ends).where("n > 0")
     # as many rows as the tokenizer has ids
     total = counts.groupBy("id").agg(F.sum("n").alias("n"))
     place = F.row_number().over(Window.orderBy(F.desc("n"), "id")) - 1
@@ -164,7 +164,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, path: str) -
     keys = ["doc_id", F.xxhash64("text"), F.monotonically_increasing_id()]
     ranged = docs.repartitionByRange(*keys).sortWithinPartitions("doc_id", F.xxhash64("text"))
     blocks = ranged.mapInArrow(
-        _block_writer(tokenizer, rank_of, end_id),
+        tidy(_block_writer(tokenizer, rank_of, end_id)),
         "shard int, block int, start long, n long, doc_ids array<long>, sizes array<long>, control binary, data binary",
     )
     blocks.write.option("compression", "none").parquet(f"{path}/blocks")
@@ -204,7 +204,7 @@ def read_token_files(spark, path: str, ids_type: str = "ids array<long>", digest
 
     blocks = spark.read.parquet(f"{path}/blocks")
     columns = ["shard", "start", "n", "doc_ids", "sizes", "control", "data"]
-    found = blocks.select(*columns).mapInArrow(run, f"doc_id long, shard int, place long, n_tokens long, {name} {kind}")
+    found = blocks.select(*columns).mapInArrow(tidy(run), f"doc_id long, shard int, place long, n_tokens long, {name} {kind}")
     # one row a shard
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     shards = blocks.groupBy("shard").agg(F.sum("n").alias("n"))

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from aulario.llm.ngrams import Rows, buckets, code_points, sigmoid
-from aulario.llm.texts import slices
+from aulario.llm.texts import slices, tidy
 from aulario.llm.work import written
 
 ORDERS = (3, 4, 5, 6)
@@ -75,16 +75,19 @@ def scores(texts: list[str | None], table: np.ndarray, bias: float) -> np.ndarra
 def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int) -> tuple[DataFrame, dict[int, int]]:
     """(label, text) of at most `per_class` labelled documents of each class, written; and how many there are of each.
 
-    `labels` has (doc_id, label); which documents are taken depends on hashes of their ids only. The ids taken are at
-    most 2 * per_class, so they may be broadcast.
+    `labels` has (doc_id, label); which documents are taken depends on hashes of their ids only. A document counts once:
+    its label is 1 if any of its label rows says so, and of several rows with its id the least text stands for it. The
+    ids taken are at most 2 * per_class, so they may be broadcast.
     """
-    sound = labels.where("doc_id is not null and label in (0, 1)").select("doc_id", F.col("label").cast("int"))
+    sound = labels.where("doc_id is not null and label in (0, 1)")
+    sound = sound.groupBy("doc_id").agg(F.max(F.col("label").cast("int")).alias("label"))
     counts = {r[0]: r[1] for r in sound.groupBy("label").count().collect()}
     order = (F.xxhash64("doc_id"), F.col("doc_id"))
     taken = [sound.where(F.col("label") == c).orderBy(*order).limit(per_class) for c in (0, 1)]
     ids = taken[0].union(taken[1]).withColumnRenamed("doc_id", "taken_id")
     both = docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("taken_id"))
-    return written(both.select("label", "text")), counts
+    one = both.groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    return written(one.select("label", "text")), counts
 
 
 def _strongest(sample: DataFrame) -> list[tuple[int, float]]:
@@ -101,7 +104,7 @@ def _strongest(sample: DataFrame) -> list[tuple[int, float]]:
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], ["bucket", "n", "toxic", "other"])
 
     mass = (
-        sample.mapInArrow(run, "bucket long, n long, toxic double, other double")
+        sample.mapInArrow(tidy(run), "bucket long, n long, toxic double, other double")
         .groupBy("bucket")
         .agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
     )
@@ -168,7 +171,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS)
                     ["label", "columns", "value"],
                 )
 
-    rows = sample.mapInArrow(run, "label int, columns binary, value binary").toArrow()
+    rows = sample.mapInArrow(tidy(run), "label int, columns binary, value binary").toArrow()
     y = rows.column("label").to_numpy().astype(np.float64)
     sizes = [len(x) // 2 for x in rows.column("columns").to_pylist()]
     columns = np.frombuffer(b"".join(rows.column("columns").to_pylist()), "<u2").astype(np.int32)
@@ -195,7 +198,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found)], ["doc_id", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), f"doc_id {kind}, score double")
 
 
 def without_toxic(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
@@ -208,4 +211,4 @@ def without_toxic(docs: DataFrame, model: Model, threshold: float = 0.7) -> Data
                 texts = part.column(part.schema.get_field_index("text")).to_pylist()
                 yield part.filter(pa.array(scores(texts, table, model.bias) < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

@@ -7,6 +7,7 @@ import random
 import numpy as np
 import public_tokenizers
 import pytest
+import pyarrow as pa
 import sentencepiece as library
 from pyspark.sql import functions as F
 
@@ -187,14 +188,22 @@ def odd_texts():
     return ["".join(rng.choice(bits) for _ in range(rng.randint(0, 30))) for _ in range(3000)]
 
 
-def test_encoding_equals_the_library(spark):
+def each(ids, bounds):
+    return [ids[s:e].tolist() for s, e in zip(bounds, bounds[1:])]
+
+
+@pytest.mark.parametrize("at_once", [50, 8 << 20])
+def test_encoding_equals_the_library(monkeypatch, at_once):
+    monkeypatch.setattr(sentencepiece, "AT_ONCE", at_once)
     own = sentencepiece.MergeCodec(sentencepiece.model_bytes(MODEL))
     other = library.SentencePieceProcessor(model_file=MODEL)
     texts = odd_texts() + ["", " ", "x" * 3000 + "中" * 2000, " " * 999, "ab" * 9000]
-    for text in texts:
-        ids = own.encode(text)
-        assert ids.tolist() == other.encode(text, add_eos=True)
-        assert own.decode(ids) == other.decode(ids.tolist())
+    texts = texts[:400] + texts[-5:] if at_once < 100 else texts
+    ids, bounds = own.encode(pa.array([*texts, None]))
+    want = [other.encode(text, add_eos=True) for text in [*texts, ""]]
+    assert each(ids, bounds) == want
+    assert own.decode(ids, bounds) == [other.decode(x) for x in want]
+    assert [len(x) for x in own.encode(pa.array([], pa.string()))] == [0, 1]
 
 
 def test_search_steps_back_where_the_longest_pieces_do_not_fit():
@@ -206,9 +215,10 @@ def test_search_steps_back_where_the_longest_pieces_do_not_fit():
 def test_bounded_memory_of_chunks_changes_nothing(monkeypatch):
     own = sentencepiece.MergeCodec(sentencepiece.model_bytes(MODEL))
     small = sentencepiece.MergeCodec(sentencepiece.model_bytes(MODEL))
-    small.known.most = small.inner.most = small.compatible.most = 3
-    for text in odd_texts()[:300]:
-        assert own.encode(text).tolist() == small.encode(text).tolist()
+    small.distinct.most = small.inner.most = small.compatible.most = 3
+    texts = pa.array(odd_texts()[:300])
+    for _ in range(2):
+        assert each(*own.encode(texts)) == each(*small.encode(texts))
 
 
 def test_round_trip_rows(spark):
