@@ -73,7 +73,7 @@ def test_quality_on_held_out_texts(spark):
     learned, asked = quality_rows(400, 0), quality_rows(200, 5000)
     docs = frame(spark, [(i, t, "k", "k") for i, t, _ in learned + asked] + [(*d, "k", "k") for d in ODD + ODD[:1]], DOCS)
     labels = frame(spark, [(i, y) for i, _, y in learned] + [(None, 1), (7, None)], "doc_id long, label int")
-    model = quality.train(docs, labels, most_positive=150, most_unlabelled=300)
+    model = quality.train(docs, labels, most_positive=150)
     found = {r[0]: r[1] for r in rows(quality.score(docs, model))}
     right = sum((found[i] >= 0.3) == bool(y) for i, _, y in asked)
     assert right >= 0.95 * len(asked)
@@ -87,13 +87,42 @@ def test_quality_without_labels_or_rows(spark):
     assert quality.score(docs.limit(0), quality.train(docs.limit(0), none)).count() == 0
 
 
-def test_a_fall_below_zero_of_the_bad_risk_turns_the_step(spark):
+def test_repeated_documents_and_labels_count_once(spark):
+    learned = toxic_rows(60, 0)
+    docs = [(i, t, "k", "k") for i, t, _ in learned]
+    plain = frame(spark, docs, DOCS)
+    repeated = spark.createDataFrame(docs + docs[:5] * 40, DOCS).repartition(7)
+    once = frame(spark, [(i, y) for i, _, y in learned], "doc_id long, label int")
+    often = spark.createDataFrame([(i, y) for i, _, y in learned for _ in range(1 + i % 4)], "doc_id long, label int")
+    sample, counts = toxicity.labelled_sample(repeated, often, 10)
+    assert sample.count() == 20 and counts == toxicity.labelled_sample(plain, once, 10)[1]
+    assert sorted(rows(sample)) == sorted(rows(toxicity.labelled_sample(plain, once, 10)[0]))
+    a, b = (quality._positives(d, m.where("label = 1").select("doc_id"), 15) for d, m in ((plain, once), (repeated, often)))
+    assert a.shape == b.shape and (a == b).all()
+    marks = frame(spark, [(1, 0), (1, 1)], "doc_id long, label int")
+    assert rows(toxicity.labelled_sample(plain, marks, 10)[0].select("label")) == [(1,)]
+
+
+def test_a_step_below_zero_of_the_bad_risk_is_taken_back():
     import numpy as np
 
     rng = np.random.default_rng(0)
-    same = rng.normal(size=(50, quality.WIDTH))
-    weight, bias = quality.fit(same, same, 0.99)  # no negatives at all: nothing to tell apart
-    assert np.isfinite(weight).all() and np.isfinite(bias) and (same @ weight + bias > 0).mean() > 0.9
+    same = rng.normal(size=(300, quality.WIDTH))
+    v = quality.fit(same, lambda at: quality.sums(same, at), 0.99)  # no negatives at all: nothing to tell apart
+    g = quality.with_one(same) @ v
+    assert np.isfinite(v).all() and np.logaddexp(0, g).mean() - 0.99 * np.logaddexp(0, g).mean() >= 0
+
+
+def test_prior_is_the_share_of_positives():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    bounds = np.linspace(-6, 6, quality.BINS - 1)
+    counts = lambda x: np.bincount(np.searchsorted(bounds, x), minlength=quality.BINS)
+    positive = counts(rng.normal(2, 1, 4000))
+    for share in (0.2, 0.5, 0.9):
+        web = np.concatenate([rng.normal(2, 1, int(20000 * share)), rng.normal(-2, 1, int(20000 * (1 - share)))])
+        assert abs(quality.estimated_prior(positive, counts(web)) - share) < 0.05
 
 
 TEXTS = ["", "\\", "\\\\l", "<turn>", "</turn>\n", "\\</turn>", "<|says|>", "<|", "\\l|x", "a\nb<turn", "é😀<|image|>", None]
