@@ -76,3 +76,39 @@ def test_pipeline_stages(spark):
         i: (other.encode(r.text, add_eos=True), r.text) for i, r in before.items()
     }
     assert corpus_pipeline.run(spark, SF_DIR).count() == last
+
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+ITEM = "one two three four five six seven eight nine ten eleven"
+BASE = [
+    (1, "clean words here and there", "en", "a", 26),
+    (2, f"before {ITEM} after", "en", "b", 60),
+    (3, "stupid idiot scum " * 9, "en", "c", 160),
+    (4, "long " * 60000, "en", None, 300000),
+    (5, "clean words here and there", None, "d", 26),
+]
+ODD = [(6, None, None, None, None), (7, "", "en", "a", 0), (None, "no id at all", None, None, None), (8, " \n ", "en", "a", 3)]
+
+
+@pytest.mark.parametrize(
+    "rows_,labelled",
+    [([], True), (BASE, False), (BASE + ODD, True), (BASE * 3 + ODD * 2, True)],
+    ids=["empty", "no labels", "nulls", "repeated"],
+)
+def test_pipeline_of_odd_tables(spark, tmp_path, rows_, labelled):
+    tables = {
+        "documents": (rows_, DOCS),
+        "labels": ([(3, 0, 1), (1, 1, 0), (None, None, None)] if labelled else [], "doc_id long, quality int, toxic int"),
+        "benchmark": ([("i1", ITEM), ("i2", None), ("i3", "")], "item_id string, text string"),
+    }
+    for name, (data, schema) in tables.items():
+        spark.createDataFrame(data, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    found = [r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()]
+    if not rows_:
+        assert found == []
+        return
+    times = 3 if len(rows_) > len(BASE + ODD) else 1
+    assert 2 not in found and found.count(1) == times and found.count(4) == times  # a leak goes, clean ones stay
+    assert 5 not in found  # a copy of 1
+    if ODD[0] in rows_:
+        assert None in found and 6 in found and 7 not in found and 8 not in found  # texts without words are copies
