@@ -25,7 +25,7 @@ from aulario.llm.chunks import Ids, Remembered, added, runs, windows
 from aulario.llm.texts import text_bytes
 
 #: Chunks whose ids are remembered.
-REMEMBERED = 600_000
+REMEMBERED = 1_500_000
 #: Chunks that are given to the library at once.
 AT_ONCE = 8_000
 #: Chunks without white space but for a space in front: a line feed between two of them is a piece of its own.

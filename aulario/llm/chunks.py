@@ -12,6 +12,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from aulario.llm.texts import text_bytes, word_hashes
+
 #: Bytes in which cuts are looked for at once; chunks that are distinct among them are encoded once.
 WINDOW = 16 << 20
 
@@ -72,11 +74,33 @@ class Remembered:
     def __init__(self, encode: Callable[[pa.Array], Ids], most: int, longest: int = 48):
         self.encode, self.most, self.longest = encode, most, longest
         self.known = pa.array([], pa.large_string())
+        self.hashes, self.places = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)  # ascending by hash
         self.ids = np.zeros(0, dtype=np.uint32)
         self.first, self.sizes = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
 
+    def _found(self, texts: pa.Array, hashes: np.ndarray) -> np.ndarray:
+        """Where each text is kept, or -1: found by its hash, and the same text."""
+        place = np.full(len(texts), -1, dtype=np.int64)
+        if len(self.known):
+            at = np.searchsorted(self.hashes, hashes).clip(max=len(self.hashes) - 1)
+            hit = np.flatnonzero(self.hashes[at] == hashes)
+            kept = self.places[at[hit]]
+            same = pc.equal(self.known.take(pa.array(kept)), texts.take(pa.array(hit))).to_numpy(zero_copy_only=False)
+            place[hit[same]] = kept[same]
+        return place
+
+    def _keep(self, texts: pa.Array, hashes: np.ndarray) -> None:
+        places = len(self.known) + np.arange(len(texts))
+        self.known = pa.concat_arrays([self.known, texts])
+        order = np.argsort(hashes, kind="stable")
+        at = np.searchsorted(self.hashes, hashes[order])
+        self.hashes = np.insert(self.hashes, at, hashes[order])
+        self.places = np.insert(self.places, at, places[order])
+
     def __call__(self, texts: pa.Array) -> Ids:
-        place = pc.index_in(texts, value_set=self.known).fill_null(-1).to_numpy()
+        data, at = text_bytes(texts)
+        hashes = word_hashes(data, at[:-1], at[1:])
+        place = self._found(texts, hashes)
         missing = np.flatnonzero(place < 0)
         new = texts.take(pa.array(missing))
         ids, new_first, new_sizes = self.encode(new)
@@ -90,7 +114,7 @@ class Remembered:
             kept = pc.binary_length(new).to_numpy() <= self.longest
             held = new_sizes[kept]
             own = ids[runs(new_first[kept], held)]
-            self.known = pa.concat_arrays([self.known, new.filter(pa.array(kept))])
+            self._keep(new.filter(pa.array(kept)), hashes[missing[kept]])
             self.first = np.concatenate([self.first, len(self.ids) + np.cumsum(held) - held])
             self.sizes = np.concatenate([self.sizes, held])
             self.ids = np.concatenate([self.ids, own])
