@@ -28,6 +28,10 @@ from aulario.llm.texts import text_bytes
 REMEMBERED = 1_500_000
 #: Chunks that are given to the library at once.
 AT_ONCE = 8_000
+#: Bytes that are looked at for cuts at once.
+BLOCK = 1 << 18
+#: Bytes whose distinct chunks are looked up at once.
+WINDOW = 4 << 20
 #: Chunks without white space but for a space in front: a line feed between two of them is a piece of its own.
 _LINE = r"^ ?[^\s\x0b\x1c-\x1f\x{85}\pZ]+$"
 
@@ -55,8 +59,7 @@ def _kinds() -> np.ndarray:
 _KINDS = _kinds()
 
 
-def cuts(data: np.ndarray, edges: np.ndarray) -> np.ndarray:
-    """Whether a chunk begins at each byte for certain; `edges` are the bytes at which a text begins, 0 left out."""
+def _cuts(data: np.ndarray, edges: np.ndarray) -> np.ndarray:
     begins = np.zeros(len(data), dtype=bool)
     if len(data) < 2:
         return begins
@@ -73,6 +76,19 @@ def cuts(data: np.ndarray, edges: np.ndarray) -> np.ndarray:
     return begins
 
 
+def cuts(data: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """Whether a chunk begins at each byte for certain; `edges` are the bytes at which a text begins, 0 left out.
+
+    Bytes are looked at in blocks, so the arrays in between stay small; two bytes before and one behind decide.
+    """
+    begins = np.empty(len(data), dtype=bool)
+    for low in range(0, len(data), BLOCK):
+        high, first, last = min(len(data), low + BLOCK), max(0, low - 2), min(len(data), low + BLOCK + 1)
+        own = edges[np.searchsorted(edges, first, side="right") : np.searchsorted(edges, last)] - first
+        begins[low:high] = _cuts(data[first:last], own)[low - first : high - first]
+    return begins
+
+
 def cuttable(config: dict) -> bool:
     """Whether the tokenizer's own cuts are those described above."""
     before = config.get("pre_tokenizer") or {}
@@ -138,7 +154,7 @@ class Encoder:
         counts = np.zeros(0, dtype=np.int64)
         if not self.cut:
             return np.bincount(self.encode(column)[0]).astype(np.int64)
-        for _, chunks in windows(*text_bytes(column), cuts):
+        for _, chunks in windows(*text_bytes(column), cuts, WINDOW):
             ids, first, sizes = self.distinct(chunks.dictionary)
             times = np.bincount(chunks.indices.to_numpy(), minlength=len(sizes))
             own = np.bincount(ids[runs(first, sizes)], weights=np.repeat(times, sizes)).astype(np.int64)
@@ -152,7 +168,7 @@ class Encoder:
             ids, sizes = self._one_by_one([data[s:e].tobytes().decode() for s, e in zip(at, at[1:])])
             return ids, np.concatenate([[0], np.cumsum(sizes)])
         found, starts, counts = [], [], []
-        for begins, chunks in windows(data, at, cuts):
+        for begins, chunks in windows(data, at, cuts, WINDOW):
             ids, first, sizes = self.distinct(chunks.dictionary)
             order = chunks.indices.to_numpy()
             found.append(ids[runs(first[order], sizes[order])])

@@ -74,9 +74,9 @@ class Remembered:
     def __init__(self, encode: Callable[[pa.Array], Ids], most: int, longest: int = 48):
         self.encode, self.most, self.longest = encode, most, longest
         self.known = pa.array([], pa.large_string())
-        self.hashes, self.places = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)  # ascending by hash
+        self.hashes, self.places = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int32)  # ascending by hash
         self.ids = np.zeros(0, dtype=np.uint32)
-        self.first, self.sizes = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        self.first, self.sizes = np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int32)
 
     def _found(self, texts: pa.Array, hashes: np.ndarray) -> np.ndarray:
         """Where each text is kept, or -1: found by its hash, and the same text."""
@@ -90,7 +90,7 @@ class Remembered:
         return place
 
     def _keep(self, texts: pa.Array, hashes: np.ndarray) -> None:
-        places = len(self.known) + np.arange(len(texts))
+        places = len(self.known) + np.arange(len(texts), dtype=np.int32)
         self.known = pa.concat_arrays([self.known, texts])
         order = np.argsort(hashes, kind="stable")
         at = np.searchsorted(self.hashes, hashes[order])
@@ -115,7 +115,7 @@ class Remembered:
             held = new_sizes[kept]
             own = ids[runs(new_first[kept], held)]
             self._keep(new.filter(pa.array(kept)), hashes[missing[kept]])
-            self.first = np.concatenate([self.first, len(self.ids) + np.cumsum(held) - held])
-            self.sizes = np.concatenate([self.sizes, held])
+            self.first = np.concatenate([self.first, (len(self.ids) + np.cumsum(held) - held).astype(np.int32)])
+            self.sizes = np.concatenate([self.sizes, held.astype(np.int32)])
             self.ids = np.concatenate([self.ids, own])
         return ids, first, sizes

@@ -36,7 +36,7 @@ from aulario.llm.work import shared_folder
 #: Ids after which a block is closed.
 BLOCK_IDS = 1 << 16
 #: Text that is encoded at once inside a task, in bytes; a longer text alone.
-TEXT_BYTES = 16 << 20
+TEXT_BYTES = 4 << 20
 
 # By control byte: bytes of each of its four values, bytes of the values before each, bytes of all four.
 _LENGTHS = (((np.arange(256)[:, None] >> (2 * np.arange(4))) & 3) + 1).astype(np.int8)

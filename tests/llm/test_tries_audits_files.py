@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import tracemalloc
 import zlib
 from itertools import permutations
 
@@ -273,3 +274,20 @@ def test_token_files_without_rows(spark):
     assert tokenfiles.token_digests(frame(spark, [], DOCS), TOKENIZER).count() == 0
     one = frame(spark, [(1, None, "k", "k", 1, 1, 1)], DOCS)
     assert rows(tokenfiles.token_digests(one, TOKENIZER)) == [(1, 0, 1, zlib.crc32(b"\0\0\0\0"))]
+
+
+def test_cuts_are_found_in_blocks_with_little_memory(monkeypatch):
+    random = np.random.default_rng(3)
+    letters = np.frombuffer("ab 1.\n\tÀ×ÿ".encode(), dtype=np.uint8)
+    data, edges = random.choice(letters, 5_000), np.unique(random.integers(1, 5_000, 400))
+    whole = bytelevel.cuts(data, edges)
+    for size in (1, 2, 3, 7, 64):
+        monkeypatch.setattr(bytelevel, "BLOCK", size)
+        assert np.array_equal(bytelevel.cuts(data, edges), whole)
+    monkeypatch.undo()
+    data = random.choice(letters, 8 << 20)
+    tracemalloc.start()
+    bytelevel.cuts(data, np.zeros(0, dtype=np.int64))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 2 * len(data)
