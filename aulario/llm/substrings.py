@@ -4,16 +4,18 @@ The words of a document are covered by windows of `window` words, and each windo
 windows of documents with smaller ids. These are too many for one place, so they are dealt into blocks by content: the
 anchor of a window is the run of `ANCHOR` words in it with the least hash, and a block holds the windows of some anchors.
 Equal windows have equal anchors, so everything that a window can match lies in one block. Consecutive windows with one
-anchor form a stretch, the unit that is sent to a block; found windows in a row are one factor, and the union of the
-factors is what windows of equal words cover. This is no relative Lempel-Ziv parsing: neighbouring windows may come
-from different documents, and no longest match in one reference is grown, as the union does not need it.
+anchor form a stretch; found windows in a row are one factor, and the union of the factors is what windows of equal
+words cover. A task sends its stretches of one block as one row, column by column, which takes less than a row for each.
+This is no relative Lempel-Ziv parsing: neighbouring windows may come from different documents, and no longest match in
+one reference is grown, as the union does not need it.
 
 An anchor that very many places share would be a block without a bound. So the documents of a sample are cut first to
 find crowded anchors; the sample decides only which way an anchor goes, never a result. Windows of crowded anchors are rows
-of their own, dealt by their hash: the least document of each is found by aggregation, which combines equal windows in map
-tasks, and windows that more than one document has are joined back to their places, where the places are the streamed side.
+of their own, dealt by their hash, and equal ones of a task are one row with their places: the least document of each is
+found by aggregation, and windows that more than one document has are joined back to the rows with their places. What is
+found is gathered by groups of documents, where places in a row become one span.
 
-A block knows a window by 32 bits of its anchor and a 64-bit hash of all its words, which settles the anchor's place. Words
+A block knows a window by 30 bits of its anchor and a 64-bit hash of all its words, which settles the anchor's place. Words
 are not compared: with n distinct windows of one anchor, about n^2 / 2^65 are found falsely (2.4e-7 for 3 million).
 """
 
@@ -27,6 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from aulario.llm.chunks import runs
 from aulario.llm.texts import NOT_SPACE, mix, run_hashes, slices, text_bytes, word_hashes, words
 from aulario.llm.work import written
 
@@ -40,11 +43,22 @@ _SAMPLED = 16
 #: An anchor is crowded with this share of all stretches, but not below the first and always from the second bound on.
 _CROWDED_SHARE, _CROWDED = 1 / 1024, (1 << 10, 1 << 18)
 
-_STRETCH = "anchor int, doc_id long, first int, prints binary, others binary"
+#: Bits of an anchor that name its block, and stretches of whole blocks that are looked at together.
+_BLOCK_BITS, _TOGETHER = 14, 1 << 16
+#: Places of equal windows in one row, and groups of documents for the places found.
+_PLACES, _GROUPS = 256, 1 << 10
+
+#: The stretches that a task has of a block: upper parts that all share, and for each what is left.
+_STRETCHES = (
+    "block int, doc_high int, first_high int, "
+    "anchors binary, docs binary, firsts binary, sizes binary, prints binary, others binary"
+)
 _COUNT = "anchor int, n long"
-_WINDOW = "anchor int, print long, doc_id long, first int"
+_WINDOW = "anchor int, print long, least long, greatest long, places binary"
+_FOUND = "block int, places binary"
 _SPAN = "doc_id long, first int, until int"
 _ENTRY = np.dtype([("doc", "<i8"), ("first", "<i4")])
+_OTHER = np.dtype([("owner", "<u4"), ("doc", "<i8"), ("first", "<i4")])
 
 
 def _binary(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
@@ -112,46 +126,66 @@ class _Stretches:
         return pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(n)], ["anchor", "n"])
 
     def windows(self) -> pa.RecordBatch:
-        """Every window with its place."""
+        """Windows with their places; equal ones become one row, or several if they have many places."""
         anchor, doc, first, _, sizes, prints = self._taken()
-        step = np.arange(len(prints), dtype=np.int32) - np.repeat((np.cumsum(sizes) - sizes).astype(np.int32), sizes)
+        anchor, row = np.repeat(anchor, sizes), np.repeat(np.arange(len(doc)), sizes)
+        places = np.empty(len(prints), dtype=_ENTRY)
+        places["doc"], places["first"] = doc[row], first[row] + np.arange(len(prints)) - (np.cumsum(sizes) - sizes)[row]
+        order = np.lexsort((prints, anchor))
+        anchor, prints, places = anchor[order], prints[order], places[order]
+        change = np.append(True, (prints[1:] != prints[:-1]) | (anchor[1:] != anchor[:-1]))
+        opens = np.flatnonzero(change)
+        nth = np.arange(len(prints)) - np.repeat(opens, np.diff(np.append(opens, len(prints))))
+        opens = np.flatnonzero(nth % _PLACES == 0)
         return pa.RecordBatch.from_arrays(
             [
-                pa.array(np.repeat(anchor, sizes)),
-                pa.array(prints),
-                pa.array(np.repeat(doc, sizes)),
-                pa.array(np.repeat(first, sizes) + step),
+                pa.array(anchor[opens]),
+                pa.array(prints[opens]),
+                pa.array(np.minimum.reduceat(places["doc"], opens)),
+                pa.array(np.maximum.reduceat(places["doc"], opens)),
+                _binary(places, np.append(opens, len(prints))),
             ],
-            ["anchor", "print", "doc_id", "first"],
+            ["anchor", "print", "least", "greatest", "places"],
         )
 
     def rows(self) -> pa.RecordBatch:
-        """Stretches; equal ones become one row with all places."""
+        """Stretches by block; equal ones are one with all places."""
         anchor, doc, first, content, sizes, prints = self._taken()
         order = np.lexsort((first, doc, content))
         change = np.append(True, content[order][1:] != content[order][:-1])
         for also in (anchor[order], sizes[order]):
             change[1:] |= also[1:] != also[:-1]
         opens = np.flatnonzero(change)
+        more = np.diff(np.append(opens, len(order))) - 1
         head = order[opens]  # of equal stretches the one in the smallest document
-        rest = np.ones(len(order), dtype=bool)
-        rest[opens] = False
-        others = np.zeros(int(rest.sum()), dtype=_ENTRY)
-        others["doc"], others["first"] = doc[order[rest]], first[order[rest]]
-        bounds = np.append(opens, len(order)) - np.arange(len(opens) + 1)
-        begins, sizes_of = np.cumsum(sizes) - sizes, sizes[head]
-        until = np.cumsum(sizes_of)
+
+        key = (doc[head] >> 32 << 32) | (first[head].astype(np.int64) >> 16 << _BLOCK_BITS)
+        key |= anchor[head] & ((1 << _BLOCK_BITS) - 1)
+        by = np.argsort(key, kind="stable")
+        key, head, more, opens = key[by], head[by], more[by], opens[by]
+        starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        edges = np.append(starts, len(key))
+
+        others = np.empty(int(more.sum()), dtype=_OTHER)
+        rest = order[runs(opens + 1, more)]
+        others["doc"], others["first"] = doc[rest], first[rest]
+        others["owner"] = np.repeat(np.arange(len(key)) - np.repeat(starts, np.diff(edges)), more)
+        bounds = np.append(0, np.cumsum(more))[edges]
         alone = pa.array(bounds[1:] == bounds[:-1])
-        picked = prints[np.repeat(begins[head] - (until - sizes_of), sizes_of) + np.arange(int(until[-1]))]
+        held = sizes[head]
         return pa.RecordBatch.from_arrays(
             [
-                pa.array(anchor[head]),
-                pa.array(doc[head]),
-                pa.array(first[head]),
-                _binary(picked, np.append(0, until)),
+                pa.array((key[starts] & ((1 << _BLOCK_BITS) - 1)).astype(np.int32)),
+                pa.array((key[starts] >> 32).astype(np.int32)),
+                pa.array(((key[starts] & 0xFFFFFFFF) >> _BLOCK_BITS).astype(np.int32)),
+                _binary((anchor[head].view(np.uint32) >> np.uint32(16)).astype("<u2"), edges),
+                _binary((doc[head] & 0xFFFFFFFF).astype("<u4"), edges),
+                _binary((first[head] & 0xFFFF).astype("<u2"), edges),
+                _binary((held - 1).astype("<u1"), edges),
+                _binary(prints[runs((np.cumsum(sizes) - sizes)[head], held)], np.append(0, np.cumsum(held))[edges]),
                 pc.if_else(alone, pa.scalar(None, pa.binary()), _binary(others, bounds)),
             ],
-            ["anchor", "doc_id", "first", "prints", "others"],
+            ["block", "doc_high", "first_high", "anchors", "docs", "firsts", "sizes", "prints", "others"],
         )
 
 
@@ -164,33 +198,57 @@ def _values(column: pa.Array, kind: np.dtype) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(whole.tobytes(), dtype=kind), np.diff(at) // kind.itemsize
 
 
-def _factors(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
-    """Duplicate spans of the stretches of one block, which come ordered by anchor and document."""
-    carried, seen, seen_doc = None, np.zeros(0, np.int64), np.zeros(0, np.int64)  # of the anchor at the end of a batch
+def _whole_blocks(batches: Iterator[pa.RecordBatch], measure: str, most: int) -> Iterator[pa.Table]:
+    """The rows, which come ordered by block, in parts of whole blocks: of one, or with at most so many bytes in a column."""
+    held: list[pa.RecordBatch] = []  # of the last block so far
     for batch in batches:
         if not batch.num_rows:
             continue
-        anchor, doc, first = (batch.column(i).to_numpy() for i in range(3))
-        prints, sizes = _values(batch.column(3), np.dtype("<i8"))
-        others, more = _values(batch.column(4), _ENTRY)
-        change = np.append(carried is None or anchor[0] != carried, anchor[1:] != anchor[:-1])
-        group = np.cumsum(change)  # 0: goes on with what the batch before has seen
-        if change[0]:
-            seen, seen_doc = seen[:0], seen_doc[:0]
+        block = batch.column("block").to_numpy()
+        if held and held[-1].column("block")[0].as_py() != block[0]:
+            yield pa.Table.from_batches(held)
+            held = []
+        ends = np.flatnonzero(block[1:] != block[:-1]) + 1
+        until = np.append(0, np.cumsum(pc.binary_length(batch.column(measure)).to_numpy(), dtype=np.int64))
+        low = 0
+        while len(ends):
+            last = max(1, int(np.searchsorted(until[ends], until[low] + most, side="right")))
+            yield pa.Table.from_batches([*held, batch.slice(low, int(ends[last - 1]) - low)])
+            held, low, ends = [], int(ends[last - 1]), ends[last:]
+        held.append(batch.slice(low))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _factors(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
+    """Duplicate spans of the stretches of some blocks, which come ordered by block."""
+    for part in _whole_blocks(batches, "sizes", _TOGETHER):
+        columns = [c.combine_chunks() for c in part.columns]
+        block, doc_high, first_high = (c.to_numpy().astype(np.int64) for c in columns[:3])
+        kinds = ("<u2", "<u4", "<u2", "<u1", "<i8")
+        anchor, doc, first, sizes, prints = (_values(c, np.dtype(k))[0] for c, k in zip(columns[3:8], kinds, strict=True))
+        others, more = _values(columns[8], _OTHER)
+        held = pc.binary_length(columns[6]).to_numpy()  # stretches of each row
+        owner = others["owner"] + np.repeat(np.cumsum(held) - held, more)
+        sizes = sizes.astype(np.int64) + 1
+        doc = doc + np.repeat(doc_high << 32, held)
+        by = np.argsort(doc, kind="stable")
+        prints = prints[runs((np.cumsum(sizes) - sizes)[by], sizes[by])]
+        group = (anchor + np.repeat(block << 16, held))[by]
+        doc, first, sizes = doc[by], (first + np.repeat(first_high << 16, held))[by], sizes[by]
+        place = np.empty(len(by), dtype=np.int64)
+        place[by] = np.arange(len(by))
+        owner = place[owner]
+
         row = np.repeat(np.arange(len(doc)), sizes)
-        step = np.arange(len(prints)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        keys, docs = np.append(seen, prints), np.append(seen_doc, doc[row])
-        groups = np.append(np.zeros(len(seen), group.dtype), group[row])
-        order = np.lexsort((keys, groups))  # stable, and rows ascend by document: of equal windows the least comes first
-        known, of = keys[order], groups[order]
+        step = np.arange(len(prints)) - (np.cumsum(sizes) - sizes)[row]
+        groups = group[row]
+        order = np.lexsort((prints, groups))  # stable, and rows ascend by document: of equal windows the least comes first
+        known, of = prints[order], groups[order]
         heads = np.append(True, (known[1:] != known[:-1]) | (of[1:] != of[:-1]))
-        least = docs[order[heads]]
         back = np.empty(len(order), np.int64)
         back[order] = np.cumsum(heads) - 1
-        found = least[back[len(seen) :]] < doc[row]
-        carried = anchor[-1]
-        last = of[heads] == group[-1]
-        seen, seen_doc = known[heads][last], least[last]
+        found = doc[row][order[heads]][back] < doc[row]
 
         # a factor is a run of windows that the block holds
         opens = found.copy()
@@ -200,7 +258,6 @@ def _factors(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Reco
         opens, closes = np.flatnonzero(opens), np.flatnonzero(closes)
         out = [(doc[row[opens]], first[row[opens]] + step[opens], first[row[opens]] + step[closes] + window)]
         if len(others):
-            owner = np.repeat(np.arange(len(doc)), more)
             later = others["doc"] > doc[owner]  # the row's own document holds the whole stretch
             begin = others["first"][later]
             out.append((others["doc"][later], begin, begin + sizes[owner[later]] - 1 + window))
@@ -252,9 +309,9 @@ def duplicate_spans(docs: DataFrame, window: int = 13) -> DataFrame:
     sample = read.where(F.pmod(F.xxhash64("doc_id"), F.lit(_SAMPLED)) == 0)
     crowded = _crowded_anchors(sample.mapInArrow(cut(_Stretches.counts), _COUNT))
     blocks = (
-        read.mapInArrow(cut(_Stretches.rows, crowded), _STRETCH)
-        .repartition("anchor")
-        .sortWithinPartitions("anchor", "doc_id")
+        read.mapInArrow(cut(_Stretches.rows, crowded), _STRETCHES)
+        .repartition("block")
+        .sortWithinPartitions("block")
     )
     spans = blocks.mapInArrow(factor, _SPAN)
     if not len(crowded):
@@ -276,12 +333,52 @@ def _crowded_spans(places: DataFrame, window: int) -> DataFrame:
     """Spans of the windows in `places` that a smaller document has too."""
     shared = written(
         places.groupBy("anchor", "print")
-        .agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("greatest"))
-        .where("least < greatest")
-        .select(F.col("anchor").alias("a"), F.col("print").alias("p"), "least")
+        .agg(F.min("least").alias("smallest"), F.max("greatest").alias("largest"))
+        .where("smallest < largest")
+        .select(F.col("anchor").alias("a"), F.col("print").alias("p"), "smallest")
+    )
+    again = (F.col("anchor") == F.col("a")) & (F.col("print") == F.col("p")) & (F.col("greatest") > F.col("smallest"))
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[np.ndarray] = []
+        for batch in batches:
+            found, sizes = _values(batch.column(0), _ENTRY)
+            parts.append(found[found["doc"] > np.repeat(batch.column(1).to_numpy(), sizes)])
+            if sum(map(len, parts)) >= _AT_ONCE:
+                yield _by_document(np.concatenate(parts))
+                parts = []
+        if parts:
+            yield _by_document(np.concatenate(parts))
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _whole_blocks(batches, "places", _TOGETHER * _ENTRY.itemsize):
+            yield _spans_of(_values(part.column("places").combine_chunks(), _ENTRY)[0], window)
+
+    found = places.join(shared, again).select("places", "smallest").mapInArrow(spread, _FOUND)
+    return found.repartition("block").sortWithinPartitions("block").mapInArrow(merged, _SPAN)
+
+
+def _by_document(found: np.ndarray) -> pa.RecordBatch:
+    """Places by the group of their document."""
+    group = (mix(found["doc"].astype(np.uint64)) & np.uint64(_GROUPS - 1)).astype(np.int32)
+    order = np.argsort(group, kind="stable")
+    group = group[order]
+    starts = np.flatnonzero(np.append(True, group[1:] != group[:-1])[: len(group)])
+    return pa.RecordBatch.from_arrays(
+        [pa.array(group[starts]), _binary(found[order], np.append(starts, len(group)))], ["block", "places"]
+    )
+
+
+def _spans_of(found: np.ndarray, window: int) -> pa.RecordBatch:
+    """Spans of the windows that begin at some places; windows that touch are one span."""
+    found = found[np.lexsort((found["first"], found["doc"]))]
+    doc, first = found["doc"].astype(np.int64), found["first"].astype(np.int32)
+    opens = np.append(True, (doc[1:] != doc[:-1]) | (first[1:] > first[:-1] + window))[: len(doc)]
+    closes = np.append(opens[1:], True)[: len(doc)]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(doc[opens]), pa.array(first[opens]), pa.array(first[closes] + np.int32(window))],
+        ["doc_id", "first", "until"],
     )
-    again = (F.col("anchor") == F.col("a")) & (F.col("print") == F.col("p")) & (F.col("doc_id") > F.col("least"))
-    return places.join(shared, again).select("doc_id", "first", (F.col("first") + window).alias("until"))
 
 
 def _keep(texts: list[str | None], spans: list[list[dict] | None]) -> Iterator[tuple[int, int, str]]:

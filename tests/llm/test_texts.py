@@ -80,6 +80,43 @@ def test_crowded_anchors_are_spread(spark, monkeypatch):
     assert places.groupBy("print").count().where("count > 400").count() == 0
 
 
+def test_stretches_of_a_block_and_places_of_a_window_are_one_row(spark, monkeypatch):
+    rng = random.Random(5)
+    line = [f"l{i}" for i in range(15)]
+    texts_of = [" ".join([f"w{rng.randrange(10**6)}" for _ in range(300)] + line) for _ in range(300)]
+    held = substrings._Stretches(13)
+    made = pa.array(texts_of)
+    held.add(np.arange(300), *texts.text_bytes(made))
+    stretches = held.held
+    batch = held.rows()
+    assert stretches > 14_000 and batch.num_rows < 12_000 and sum(map(len, batch.column("sizes").to_pylist())) < stretches
+    held.add(np.arange(300), *texts.text_bytes(made))
+    batch = held.windows()
+    # a window of the line is in 300 texts: a row for 256 places
+    assert max(len(p) for p in batch.column("places").to_pylist()) == 256 * 12
+    assert batch.num_rows <= 300 * 303 - 3 * 300 + 3 * 2
+
+
+def test_places_found_are_gathered_by_document():
+    places = np.array([(d, f) for f in range(50) for d in range(2000)], dtype=substrings._ENTRY)
+    batch = substrings._by_document(places)
+    assert batch.num_rows <= 1 << 10
+    found = [substrings._spans_of(np.frombuffer(p, substrings._ENTRY), 13) for p in batch.column("places").to_pylist()]
+    spans = [r for b in found for r in b.to_pylist()]
+    assert sorted(r["doc_id"] for r in spans) == list(range(2000))
+    assert {(r["first"], r["until"]) for r in spans} == {(0, 62)}
+    assert substrings._spans_of(places[:0], 13).num_rows == substrings._by_document(places[:0]).num_rows == 0
+
+
+def test_repeated_passages_of_far_ids_and_places(spark, small_batches):
+    rng = random.Random(6)
+    line = [f"l{i}" for i in range(20)]
+    long = [f"w{rng.randrange(10**6)}" for _ in range(70_000)]
+    docs = [(-5, " ".join(line)), ((1 << 40) + 3, " ".join([*long, *line])), (1 << 40, " ".join(["x", *line])), (7, " ".join(long))]
+    found = rows(substrings.remove_repeated_passages(frame(spark, docs, "doc_id long, text string").repartition(3)))
+    assert {r[0]: tuple(r[1:]) for r in found} == brute.kept_words(docs, 13)
+
+
 def test_windows_that_share_half_a_hash_are_told_apart(spark):
     head = [f"h{i}" for i in range(12)]
     n = 400_000
