@@ -88,16 +88,18 @@ def bookings_by_programme(t: Tables, as_of: Date) -> DataFrame:
     """Distinct existing bookings per programme.
 
     The distinct pairs are formed before counting, which keeps one popular programme from
-    becoming one task.
+    becoming one task, and before the bookings are looked up, so no task holds the pairs and
+    the sorted sides of that join at once.
     """
-    counts = (
-        t.reserva_participante.join(t.reserva.select("id_reserva"), "id_reserva", "left_semi")
-        .join(
-            t.participante_programa_academico.select("ci_participante", "nombre_programa"),
-            "ci_participante",
-        )
+    enrolled = t.participante_programa_academico.select("ci_participante", "nombre_programa")
+    pairs = (
+        t.reserva_participante.select("ci_participante", "id_reserva")
+        .join(enrolled, "ci_participante")
         .select("nombre_programa", "id_reserva")
         .distinct()
+    )
+    counts = (
+        pairs.join(t.reserva.select("id_reserva"), "id_reserva", "left_semi")
         .groupBy("nombre_programa")
         .agg(F.count("id_reserva").alias("reservas"))
     )

@@ -67,6 +67,12 @@ def test_hot_participant_is_split_in_joins(skewed, small_partitions, name):
     assert "skew=true" in final_plan(report(name)(skewed, TODAY))
 
 
+def test_programmes_of_bookings_are_distinct_before_the_join(skewed, small_partitions):
+    plan = report("reservas_por_carrera")(skewed, TODAY)._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    (at,) = [i for i, line in enumerate(plan) if "Join LeftSemi" in line]
+    assert "Aggregate [" in plan[at + 1]
+
+
 @pytest.fixture(scope="module")
 def hot_requests(spark, tmp_path_factory):
     """Booking requests of which a third come from one person and a third want one slot."""
