@@ -73,7 +73,11 @@ def broken_row_rules(df: DataFrame, table: str) -> DataFrame:
 
 
 def check_constraints(t: Tables, only: list[str] | None = None) -> DataFrame:
-    """All violations as (tabla, regla, clave, filas); empty for a sound data set."""
+    """All violations as (tabla, regla, clave, filas); empty for a sound data set.
+
+    The violations of each rule are dealt anew: their groups are then a stage of their own. In a
+    stage of all rules together, the tasks would be shared out among them, a few for each.
+    """
     parts: list[DataFrame] = []
     for table, df in t.items():
         if only is not None and table not in only:
@@ -82,7 +86,7 @@ def check_constraints(t: Tables, only: list[str] | None = None) -> DataFrame:
             parts.append(duplicate_keys(df, table, rule, columns))
         parts += dangling_references(t, table)
         parts.append(broken_row_rules(df, table))
-    return reduce(DataFrame.unionByName, parts)
+    return reduce(DataFrame.unionByName, [part.repartition("clave") for part in parts])
 
 
 def _same_keys(df: DataFrame, keys: DataFrame, columns: tuple[str, ...]) -> DataFrame:

@@ -7,10 +7,11 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from aulario.operators import listings, periods, rules, sanction_changes
+from aulario.operators import constraints, listings, periods, rules, sanction_changes
 from aulario.operators.sequencing import Limit, _use_up, admit_in_order
 from aulario.plans.registry import report
 from aulario.session import cut, ensure_checkpoint_dir
+from aulario.sources.schemas import FOREIGN_KEYS, UNIQUE_KEYS
 from tests.conftest import TODAY, rows
 
 ROWS = 60_000
@@ -73,6 +74,12 @@ def test_programmes_of_bookings_are_distinct_before_the_join(skewed, small_parti
     assert "Aggregate [" in plan[at + 1]
 
 
+def test_rules_of_the_audit_are_grouped_in_stages_of_their_own(seed):
+    plan = constraints.check_constraints(seed)._jdf.queryExecution().executedPlan().toString()
+    rules_of = [len(UNIQUE_KEYS[n]) + len(FOREIGN_KEYS.get(n, [])) + 1 for n in seed.names()]
+    assert plan.count("REPARTITION_BY_COL") == sum(rules_of)
+
+
 @pytest.fixture(scope="module")
 def hot_requests(spark, tmp_path_factory):
     """Booking requests of which a third come from one person and a third want one slot."""
