@@ -8,6 +8,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from aulario.operators import booking_changes
 from aulario.operators.booking_changes import (
     add_participants,
     admit_bookings,
@@ -184,6 +185,20 @@ def test_remove_participants(spark, seed, number):
     assert after == inside
 
 
+def test_removals_are_judged_when_verdicts_are_asked_for(spark, seed, monkeypatch):
+    judged = []
+    whole = booking_changes.split
+    monkeypatch.setattr(booking_changes, "split", lambda *a: judged.append(a) or whole(*a))
+    inside = sorted((r.id_reserva, r.ci_participante) for r in seed.reserva_participante.collect())
+    batch = [(i, b, ci, T0) for i, (b, ci) in enumerate([*inside, *inside, (99, "00000000")])]
+    result = remove_participants(frame(spark, batch, PERSON_REQUEST), seed)
+    left = sorted((r.id_reserva, r.ci_participante) for r in result.tables.reserva_participante.collect())
+    gone = sorted((r.id_reserva, r.ci_participante) for r in result.touched["reserva_participante"].collect())
+    assert sorted(left + gone) == inside and len(left) == len({b for b, _ in inside}) and not judged
+    assert sorted((r.id_reserva, r.ci_participante) for r in result.accepted.collect()) == gone
+    assert len(outcomes(result)) == len(batch) and len(judged) == 1
+
+
 SANCTION_REQUEST = (
     "id_solicitud int, ci_participante string, fecha_inicio date, fecha_fin date, solicitada_en timestamp"
 )
